@@ -30,7 +30,8 @@ END_ID = 1
 #: Lower-case words, digits and signs as the vocabulary's pre-tokenizer cuts them, for texts below U+0180.
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
 WORD = re.compile(r"[a-zªµºß-öø-ÿĀ-ſ]+")
-OTHER = re.compile(r"[^\x00-ſ]|İ|ŉ")
+#: Anything else in a chunk goes to the library as it stands: other scripts, white space and controls.
+OTHER = re.compile(r"[^\x21-\x7e¡-ſ]|İ|ŉ")
 
 _encoders: dict[int, PieceCache] = {}
 
