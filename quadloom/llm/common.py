@@ -65,11 +65,11 @@ class PieceCache:
     """Ids of text pieces: each distinct piece goes through the tokenizer once while a bounded cache holds it.
 
     many: gives for a list of pieces the int32 ids of each, as bytes. Emptied at `most` pieces; pieces over
-    `longest` bytes are not kept. Neither changes a result.
+    `longest` bytes are not kept. Neither changes a result. ordered: give new pieces in byte order.
     """
 
-    def __init__(self, many, most: int = 800_000, longest: int = 256) -> None:
-        self.many, self.most, self.longest, self.known = many, most, longest, {}
+    def __init__(self, many, most: int = 800_000, longest: int = 256, ordered: bool = False) -> None:
+        self.many, self.most, self.longest, self.ordered, self.known = many, most, longest, ordered, {}
 
     def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and n + 1 offsets of the texts."""
@@ -79,6 +79,8 @@ class PieceCache:
         found = [list(map(get, x)) for x in texts]
         missing = list({p for x, f in zip(texts, found, strict=True) if None in f for p, q in zip(x, f, strict=True) if q is None})
         if missing:
+            if self.ordered:
+                missing.sort()
             self.known.update(zip(missing, self.many(missing), strict=True))
             found = [list(map(get, x)) if None in f else f for x, f in zip(texts, found, strict=True)]
             for p in missing:

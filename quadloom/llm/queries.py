@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import byte_bpe, packing, sharding
+from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [byte_bpe.op3_byte_bpe, packing.op5_packing, sharding.op8_sharding]
+    ops = [
+        token_counts.op1_token_counts,
+        byte_bpe.op3_byte_bpe,
+        langid.op4_langid,
+        packing.op5_packing,
+        quality.op6_quality,
+        simhash.op7_simhash,
+        sharding.op8_sharding,
+    ]
     return {f.__name__: f for f in ops}
 
 
