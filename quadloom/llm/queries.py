@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, token_counts
+from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         token_counts.op1_token_counts,
+        topk.op2_topk,
         byte_bpe.op3_byte_bpe,
         langid.op4_langid,
         packing.op5_packing,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": topk.OP2_SQL}
