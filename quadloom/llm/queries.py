@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, token_counts, topk
+from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, substrings, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op6_quality,
         simhash.op7_simhash,
         sharding.op8_sharding,
+        substrings.op9_suffix_dedup,
     ]
     return {f.__name__: f for f in ops}
 
