@@ -68,7 +68,7 @@ def chunk_encoder(raw: bytes) -> PieceCache:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).tobytes()
 
     def many(chunks: list[bytes]) -> list[bytes]:
-        if len(words) > 1_000_000:
+        if len(words) > 600_000:
             words.clear()
         texts = [c.decode() for c in chunks]
         cut = [None if len(t) > 1000 or OTHER.search(t) else LATIN.findall(t.lower()) for t in texts]
@@ -78,13 +78,14 @@ def chunk_encoder(raw: bytes) -> PieceCache:
         get = words.__getitem__
         return [direct(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
 
-    return _encoders.setdefault(hash(raw), PieceCache(many, most=600_000))
+    return _encoders.setdefault(hash(raw), PieceCache(many, most=400_000))
 
 
-def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row for each piece of each document: its ids and then end_id, cut only when longer than the capacity.
 
-    Columns: id, piece, start, length, ids (array<int>). Null or empty texts are end_id alone; repeated rows each
+    Columns: id, piece, start, length, ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit numbers)
+    and, with_ids, ids (array<int>). Null or empty texts are end_id alone; repeated rows each
     give their pieces; an empty table gives none; other columns are not read.
     """
     raw = vocabulary(docs.sparkSession, vocabulary_path or public_tokenizers.path(VOCABULARY))
@@ -106,11 +107,14 @@ def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity:
                 length = np.minimum(np.repeat(n, count) - start, capacity)
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 rows = pa.array(np.repeat(np.arange(lo, hi), count))
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(with_end))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids], names=[id_col, "piece", "start", "length", "ids"])
+                raw_ids, cuts = memoryview(with_end.astype("<u4", copy=False)).cast("B"), (offsets * 4).tolist()
+                crc = [zlib.crc32(raw_ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                arrays = [batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                ids = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(with_end))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([*arrays, *ids], names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     source = only(docs, id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, piece int, start long, length long, ids array<int>")
+    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -209,26 +213,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(pieces, "length").select(*pieces.columns, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def ids_crc32(pieces: DataFrame) -> DataFrame:
-    """Replace ids by ids_crc32: unsigned CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-
-    def run(batches):
-        for batch in batches:
-            k = batch.schema.names.index("ids")
-            at, data = batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()
-            crc = pa.array([zlib.crc32(data[a:b].astype("<u4", copy=False)) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), crc], names=[*(n for n in batch.schema.names if n != "ids"), "ids_crc32"])
-
-    return pieces.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes if n != "ids") + ", ids_crc32 long")
-
-
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pack whole documents; see token_pieces and pack for nulls, repeats and empty tables.
 
     The ids themselves are left out unless asked for: they stay in place and are told by (doc_id, start, length).
     """
-    pieces = token_pieces(docs, vocabulary_path, capacity)
-    return pack(staged(pieces if with_ids else ids_crc32(pieces)), capacity)
+    return pack(staged(token_pieces(docs, vocabulary_path, capacity, with_ids=with_ids)), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
