@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -68,24 +70,27 @@ class PieceCache:
     `longest` bytes are not kept. Neither changes a result. ordered: give new pieces in byte order.
     """
 
-    def __init__(self, many, most: int = 800_000, longest: int = 256, ordered: bool = False) -> None:
+    def __init__(self, many, most: int = 200_000, longest: int = 256, ordered: bool = False) -> None:
         self.many, self.most, self.longest, self.ordered, self.known = many, most, longest, ordered, {}
 
     def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and n + 1 offsets of the texts."""
         if len(self.known) > self.most:
             self.known.clear()
-        get = self.known.get
-        found = [list(map(get, x)) for x in texts]
-        missing = list({p for x, f in zip(texts, found, strict=True) if None in f for p, q in zip(x, f, strict=True) if q is None})
+        known = self.known
+        found = [list(map(known.get, x)) for x in texts]
+        holes = [list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
+        missing = list({p for x, h in zip(texts, holes, strict=True) for p in map(x.__getitem__, h)})
         if missing:
             if self.ordered:
                 missing.sort()
-            self.known.update(zip(missing, self.many(missing), strict=True))
-            found = [list(map(get, x)) if None in f else f for x, f in zip(texts, found, strict=True)]
+            known.update(zip(missing, self.many(missing), strict=True))
+            for x, f, h in zip(texts, found, holes, strict=True):
+                for i in h:
+                    f[i] = known[x[i]]
             for p in missing:
                 if len(p) > self.longest:
-                    del self.known[p]
+                    del known[p]
         blobs = [b"".join(x) for x in found]
         ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs], dtype=np.int64)])
         return np.frombuffer(b"".join(blobs), np.int32), ends
