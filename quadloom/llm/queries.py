@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import byte_bpe, langid, packing, quality, sharding, simhash, substrings, token_counts, topk
+import corpus_pipeline
+from quadloom.llm import byte_bpe, langid, packing, pii, quality, sharding, simhash, substrings, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         simhash.op7_simhash,
         sharding.op8_sharding,
         substrings.op9_suffix_dedup,
+        pii.op10_pii,
     ]
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import only, slices, table, utf8_buffer
+from quadloom.llm.common import slices, table, utf8_buffer
 from quadloom.llm.quality import BYTE, mixed, powers, spans_hash
 from quadloom.llm.sharding import gapless_slots
 from quadloom.sources.staging import staged
@@ -189,15 +189,12 @@ class _Gather:
         self.parts, self.size = [], 0
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(doc, text) with a unique number for each different document, in the order of ids; and whether that is the id."""
-    ids = only(docs, id_col).toDF("doc")
-    plain = dict(ids.dtypes)["doc"] in ("bigint", "int")
-    if plain:
-        n, distinct, low = ids.agg(F.count(F.lit(1)), F.count_distinct("doc"), F.min("doc")).first()
-        if n == distinct and (low is None or low >= 0):
-            return only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), True
-    return only(docs, id_col, text_col).toDF("doc", "text"), False
+def _ids_are_keys(ids: DataFrame) -> bool:
+    if ids.dtypes[0][1] not in ("bigint", "int"):
+        return False
+    ids = ids.toDF("doc")
+    n, distinct, low = ids.agg(F.count(F.lit(1)), F.count_distinct("doc"), F.min("doc")).first()
+    return n == distinct and (low is None or low >= 0)
 
 
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, flush: int = FLUSH) -> DataFrame:
@@ -241,28 +238,34 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, f
     return covered.select("doc", "lo", "n")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", flush: int = FLUSH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", flush: int = FLUSH, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """id, n_bytes, kept (binary: the bytes left), removed (array of struct<start, length>, maximal runs) of every row.
 
     Every byte in a string of `length` bytes that also starts earlier is removed, judged on the input. Null texts are
     empty. Rows that repeat an id and text are one document and get the same result; rows that share an id with
-    another text are ordered by a hash of the text; null ids come first. An empty table gives an empty result;
-    other columns are not read.
+    another text are ordered by a hash of the text; null ids come first. An empty table gives an empty result.
+    carry: other columns to keep beside; the rest are not read. as_text: kept is a string, without the bytes of
+    characters that were cut through.
     """
-    texts, by_id = _keyed(docs, id_col, text_col)
-    if not by_id:
-        rows = texts.select(F.col("doc").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.lit(0).alias("_one"))
-        keys = gapless_slots(rows.select("_id", "_h", "_one").distinct(), "_one", ["_id", "_h"], "doc")
+    names = list(carry or [])
+    rest = F.struct(*(F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(names))) if names else F.lit(None).cast("int")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), rest.alias("rest"))
+    by_id = _ids_are_keys(rows.select("_id"))
+    if by_id:
+        rows = rows.select(F.col("_id").cast("long").alias("doc"), "text", "rest", "_id")
+        texts = rows
+    else:
+        rows = rows.withColumn("_h", F.xxhash64("text"))
+        keys = gapless_slots(rows.select("_id", "_h", F.lit(0).alias("_one")).distinct(), "_one", ["_id", "_h"], "doc")
         match = rows["_id"].eqNullSafe(keys["_id"]) & (rows["_h"] == keys["_h"])
-        named = staged(rows.join(keys, match).select(keys["doc"], rows["text"], rows["_id"]))
-        texts = named.groupBy("doc").agg(F.first("text").alias("text"))
-        texts = staged(texts)
-    spans = repeated_strings(texts, length, gram, flush).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
+        rows = staged(rows.join(keys, match).select(keys["doc"], rows["text"], rows["rest"], rows["_id"]))
+        texts = staged(rows.groupBy("doc").agg(F.first("text").alias("text")))
+    spans = repeated_strings(texts.select("doc", "text"), length, gram, flush).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
 
     def cut(batches):
         for batch in batches:
-            data, at = utf8_buffer(batch.column(1))
-            lists = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
+            data, at = utf8_buffer(batch.column(0))
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
             cuts = lists.offsets.to_numpy()
             los, ns = (lists.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
             kept, removed = [], []
@@ -273,14 +276,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 np.add.at(edge, los[cuts[i] : cuts[i + 1]] + ns[cuts[i] : cuts[i + 1]] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                kept.append(text[~gone].tobytes())
+                left = text[~gone].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 removed.append([{"start": int(a), "length": int(b - a)} for a, b in turn.reshape(-1, 2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=["doc", "n_bytes", "kept", "removed"])
+            runs = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.diff(at)), pa.array(kept, pa.string() if as_text else pa.binary()), runs], names=[*batch.schema.names[2:], "n_bytes", "kept", "removed"])
 
-    out = texts.join(spans, "doc", "left").select("doc", "text", "s").mapInArrow(cut, "doc long, n_bytes long, kept binary, removed array<struct<start: long, length: long>>")
-    if by_id:
-        return out.select(F.col("doc").cast(dict(docs.dtypes)[id_col]).alias(id_col), "n_bytes", "kept", "removed")
-    return named.select("doc", "_id").join(out, "doc").select(F.col("_id").alias(id_col), "n_bytes", "kept", "removed")
+    joined = rows.join(spans, "doc", "left").select("text", "s", "_id", "rest")
+    kinds = dict(joined.dtypes)
+    out = joined.mapInArrow(cut, f"_id {kinds['_id']}, rest {kinds['rest']}, n_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<start: long, length: long>>")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"rest.c{i}").alias(x) for i, x in enumerate(names)), "n_bytes", "kept", "removed")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
