@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -77,26 +75,29 @@ def _pieces(text: bytes) -> list[bytes]:
     return [first, *[b" " + x for x in rest]]
 
 
-def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id and `ids` (array<int>) of every whole text, as the tiktoken library gives without special tokens.
 
     Texts are cut at safe boundaries and each distinct piece is encoded by tiktoken once, as long as a bounded
     cache holds it. A null or empty text has no ids. Rows are kept one for one, repeated rows and null ids too;
-    an empty table stays empty; other columns are not read. Nothing is shuffled.
+    an empty table stays empty; other columns are not read. Nothing is shuffled. decoded: also give the bytes that
+    the ids decode to, in the same pass.
     """
     raw = vocabulary(docs.sparkSession, rank_path or public_tokenizers.path(RANKS))
 
     def run(batches):
+        strings = id_strings(raw.value, pattern) if decoded else None
         cache = _piece_encoder(raw.value, pattern)
         for batch in batches:
             data, at = utf8_buffer(batch.column(1))
             for lo, hi in slices(at, 4 << 20):
                 flat, ends = cache.ids([_pieces(data[at[i] : at[i + 1]].tobytes()) for i in range(lo, hi)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=[id_col, "ids"])
+                back = [bytes_of(flat, ends, strings)] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, *back], names=[id_col, "ids", *["decoded"] * decoded])
 
     source = only(docs, id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, ids array<int>")
+    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def laid_out(ids: np.ndarray, blob: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,52 +112,43 @@ def strings_of(by_id: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(length) - length, length
 
 
+def id_strings(raw: bytes, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    of = codec(raw, pattern)[1]
+    return strings_of([of.get(i, b"") for i in range(max(of) + 1)])
+
+
+def bytes_of(ids: np.ndarray, at: np.ndarray, strings: tuple) -> pa.Array:
+    """The raw bytes of each list ids[at[i]:at[i + 1]]."""
+    data, ends = laid_out(ids, *strings)
+    ends = np.concatenate([[0], ends])[at]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def decode_documents(encoded: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids") -> DataFrame:
     """Add `decoded` (binary): the raw bytes of the ids, joined. Null ids give no bytes; an id outside the file fails."""
     raw = vocabulary(encoded.sparkSession, rank_path or public_tokenizers.path(RANKS))
 
     def run(batches):
-        of = codec(raw.value, pattern)[1]
-        strings = strings_of([of.get(i, b"") for i in range(max(of) + 1)])
+        strings = id_strings(raw.value, pattern)
         for batch in batches:
             lists = batch.column(ids_col).fill_null([]) if batch.column(ids_col).null_count else batch.column(ids_col)
             at = lists.offsets.to_numpy()
             values = lists.values.to_numpy()
             for lo, hi in slices(at.astype(np.int64), 1 << 20):
-                data, ends = laid_out(values[at[lo] : at[hi]], *strings)
-                ends = np.concatenate([[0], ends])[at[lo : hi + 1] - at[lo]]
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                decoded = bytes_of(values[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], strings)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
 
 
-def ids_sha256(ids: Column) -> Column:
+def ids_sha256(ids: Column | str) -> Column:
     """Lowercase hex SHA-256 of the decimal ids joined by commas."""
-
-    @F.pandas_udf("string")
-    def digest(lists: pd.Series) -> pd.Series:
-        out = []
-        for x in lists:
-            decimals = _decimals(int(x.max()) + 1 if len(x) else 0)
-            out.append(hashlib.sha256(laid_out(x, *decimals)[0][:-1].tobytes()).hexdigest())
-        return pd.Series(out)
-
-    return digest(ids)
-
-
-_decimal: list = [0]
-
-
-def _decimals(n: int) -> tuple:
-    if _decimal[0] < n:
-        _decimal[:] = [max(n, 1 << 16), strings_of([b"%d," % i for i in range(max(n, 1 << 16))])]
-    return _decimal[1] if n else strings_of([b","])
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
-    return decoded.select(
+    return encode_documents(table(spark, sf_dir, "documents"), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         ids_sha256(F.col("ids")).alias("ids_sha256"),

@@ -44,6 +44,8 @@ def test_byte_bpe(docs):
     by_text = Counter((tuple(plain.encode_ordinary(t or "")), i) for i, t in text)
     assert {(tuple(r.ids), r.doc_id) for r in out} == set(by_text)
     assert {(r.doc_id, bytes(r.decoded).decode()) for r in out} == {(i, t or "") for i, t in text}
+    both = byte_bpe.encode_documents(docs, decoded=True).collect()
+    assert sorted((r.doc_id or -1, tuple(r.ids), bytes(r.decoded)) for r in both) == sorted((r.doc_id or -1, tuple(r.ids), bytes(r.decoded)) for r in out)
     long = "".join(chr(97 + i % 7) + (" ," if i % 11 == 0 else "9") for i in range(150_000))
     assert [x for p in byte_bpe.parts(long, 1000) for x in plain.encode_ordinary(p)] == plain.encode_ordinary(long)
 
