@@ -43,8 +43,10 @@ def types(quads: DataFrame, predicates: bool = False) -> DataFrame:
     below = edges.select(F.col("src").alias("c"), F.col("dst").alias("mid"))
     if predicates:
         below = below.union(quads.where("t <> 'type'").select("pid", "t"))
-        loose = quads.where("t <> 'type'").select(F.col("t").alias("c"), F.col("t").alias("sup"))
-        top = top.union(loose).distinct()
+        used = quads.where("t <> 'type'").select(F.col("t").alias("c")).distinct()
+        above = edges.join(used, F.col("src") == F.col("c")).select("c", F.col("dst").alias("mid"))
+        above = above.join(top.select(F.col("c").alias("mid"), "sup"), "mid").select("c", "sup")
+        top = top.union(used.select("c", F.col("c").alias("sup"))).union(above).distinct()
     own = below.select("c", F.col("c").alias("sup"))
     lifted = below.join(top.select(F.col("c").alias("mid"), "sup"), "mid").select("c", "sup")
     return top.union(own).union(lifted).distinct()

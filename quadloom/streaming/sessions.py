@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Salience lost with each turn, and concepts that a session remembers.
@@ -47,4 +48,4 @@ def attention(events: DataFrame) -> DataFrame:
 
 def first_uses(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each concept of a session once: the history of what was used, with state bounded by the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session", "concept"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session", "concept"])
