@@ -172,11 +172,11 @@ for _n in (1, 5):
 @query("salience_matvec", """
 WITH g AS (SELECT concat('c:', c_custkey) AS c, least(1.0, greatest(0.0, c_acctbal / 10000)) AS salience FROM customer UNION ALL SELECT concat('o:', o_orderkey), CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.5 END FROM orders),
 m AS (SELECT q.o AS c, sum(g.salience) * 0.1 AS x FROM quads q JOIN g ON g.c = q.s WHERE q.t = 'place' GROUP BY q.o)
-SELECT g.c, round(least(1.0, g.salience + coalesce(m.x, 0.0)), 6) AS salience FROM g LEFT JOIN m ON m.c = g.c""", "star")
+SELECT g.c, round(least(1.0, g.salience + coalesce(m.x, 0.0)) + 1e-9, 6) AS salience FROM g LEFT JOIN m ON m.c = g.c""", "star")
 def salience_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = star_graph(spark, sf_dir).where("t = 'place'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
     given = star_salience(spark, sf_dir).where("c NOT LIKE 'p:%'")
-    return rel.matvec(edges, given).select("c", F.round("salience", 6).alias("salience"))
+    return rel.matvec(edges, given).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience"))
 
 
 @query("pregel_sum", """

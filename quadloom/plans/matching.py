@@ -153,12 +153,12 @@ def subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("maximal_sets", """
-WITH p AS (SELECT DISTINCT concat('o:', l_orderkey) AS c, concat('s:', l_suppkey) AS x FROM lineitem), n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+WITH p AS (SELECT DISTINCT concat('o:', l_orderkey) AS c, concat('p:', l_partkey) AS x FROM lineitem), n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
 inside AS (SELECT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c JOIN n m ON m.c = b.c WHERE n.n <= 2 GROUP BY a.c, b.c, n.n, m.n HAVING count(*) = n.n AND (m.n > n.n OR b.c < a.c))
 SELECT c FROM n WHERE n <= 2 AND c NOT IN (SELECT a FROM inside)""")
 def maximal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    sets = li.select(F.concat(F.lit("o:"), "l_orderkey").alias("c"), F.concat(F.lit("s:"), "l_suppkey").alias("x")).distinct()
+    sets = li.select(F.concat(F.lit("o:"), "l_orderkey").alias("c"), F.concat(F.lit("p:"), "l_partkey").alias("x")).distinct()
     return retrieve.maximal(sets, 2)
 
 
