@@ -116,7 +116,8 @@ def bounded_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
     last = small.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_last"))
     # one row a language
-    return labelled.join(F.broadcast(last.limit(10_000)), "lang").where("_h <= _last").select("doc_id", "text", "lang")
+    found = labelled.join(F.broadcast(last.limit(10_000)), "lang").where("_h <= _last")
+    return found.dropDuplicates(["lang", "_h"]).select("doc_id", "text", "lang")  # repeated rows count once
 
 
 def features_of(docs: DataFrame) -> DataFrame:
