@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quadloom.operators.match import match
 
 
-def cycle(quads: DataFrame, pattern: list[tuple]) -> DataFrame:
-    """A pattern with a cycle: the last edge closes it over two bound variables, so it joins on both."""
-    return match(quads, pattern)
+def meeting(quads: DataFrame, one: list[tuple], other: list[tuple]) -> DataFrame:
+    """Matches of a pattern with a cycle, cut into two paths that share their ends: each path is matched by itself and
+    they meet on all shared variables at once, so neither end's fan-out multiplies the other's."""
+    a, b = match(quads, one), match(quads, other)
+    return a.join(b, [c for c in b.columns if c in a.columns])
 
 
 def having_all(have: DataFrame, needed: list[str]) -> DataFrame:

@@ -29,8 +29,9 @@ def match_path2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT concat('n:', c_nationkey) AS n, CAST(count(*) AS BIGINT) AS n_matches FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN (SELECT DISTINCT l_suppkey AS sk, l_partkey AS pk FROM lineitem) sp ON sp.pk = l_partkey JOIN supplier ON s_suppkey = sp.sk AND s_nationkey = c_nationkey GROUP BY c_nationkey""")
 def match_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = [("?c", "in", "?n"), ("?s", "in", "?n"), ("?c", "place", "?o"), ("?o", "contain", "?p", "?line"), ("?s", "supply", "?p")]
-    return retrieve.cycle(star_graph(spark, sf_dir), pattern).groupBy("n").agg(F.count("*").alias("n_matches"))
+    buyer = [("?c", "in", "?n"), ("?c", "place", "?o"), ("?o", "contain", "?p", "?line")]
+    seller = [("?s", "in", "?n"), ("?s", "supply", "?p")]
+    return retrieve.meeting(star_graph(spark, sf_dir), buyer, seller).groupBy("n").agg(F.count("*").alias("n_matches"))
 
 
 @query("match_counts", """
