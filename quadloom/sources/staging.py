@@ -17,9 +17,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's setting that drops an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: short lineage, stable rows, survives lost executors."""
+    """Write df to the shared folder as Parquet and read it back: short lineage, stable rows, survives lost executors.
+
+    The shuffle files that made the table are no longer needed once it is written, so Spark may drop them then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
