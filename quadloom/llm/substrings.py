@@ -21,12 +21,13 @@ from quadloom.sources.staging import staged
 LENGTH, GRAM = 100, 40
 #: Entries that a task compares among themselves before it sends the rest.
 FLUSH = 1_000_000
-#: Buckets of hashes in each shuffle partition.
+#: Buckets of hashes in each shuffle partition; a task sends at most one row for each bucket at a time.
 BUCKETS = 8
 
 COVERED, WANTED, ENTRY = 1, 2, 0
 MARK_TYPES = (("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"))
-ENTRY_TYPES = (("h", "<u4"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("many", "u1"))
+#: A hash's rest within its bucket, 48 bits of the other hash, and where the entry starts.
+ENTRY_TYPES = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("many", "u1"))
 _second = np.roll(BYTE, 97) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
 
 
@@ -117,14 +118,15 @@ def _sent(h, c, doc, lo, n, buckets: int, whole: bool):
     want = new_c & many
     yield from _marks(WANTED, doc[want], lo[want], n[want], buckets)
     bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
-    columns = {"h": h & np.uint64(0xFFFFFFFF), "c": c, "doc": doc, "lo": lo, "n": n, "many": many}
+    columns = {"h": h & np.uint64(0xFFFFFFFF), "c": c & np.uint64(0xFFFFFFFF), "d": c >> np.uint64(48), "doc": doc, "lo": lo, "n": n, "many": many}
     by_place = np.lexsort((lo[new_h], doc[new_h]))
     yield from _rows(ENTRY, bucket[new_h][by_place], ENTRY_TYPES, {k: x[new_h][by_place] for k, x in columns.items()})
 
 
 def _settle(entries: dict[str, np.ndarray], whole: bool):
     """Marks (kind, doc, lo, n) of a bucket's entries from all tasks."""
-    h, c, doc, lo, n, many = (entries[k] for k in ("h", "c", "doc", "lo", "n", "many"))
+    h, doc, lo, n, many = (entries[k] for k in ("h", "doc", "lo", "n", "many"))
+    c = entries["c"].astype(np.uint64) | entries["d"].astype(np.uint64) << np.uint64(32)
     order = np.lexsort((lo, doc, c, h))
     h, c, doc, lo, n, many = (x[order] for x in (h, c, doc, lo, n, many))
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -233,7 +235,7 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, f
     sent = "kind int, bucket int, blob binary"
     marks = staged(_compared(texts.mapInArrow(find, sent), buckets, False))
     wanted = marks.where(F.col("kind") == WANTED).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("w"))
-    closer = _compared(texts.join(wanted, "doc").select("doc", "text", "w").mapInArrow(look, sent), buckets, True)
+    closer = staged(_compared(texts.join(wanted, "doc").select("doc", "text", "w").mapInArrow(look, sent), buckets, True))
     covered = marks.where(F.col("kind") == COVERED).union(closer.where(F.col("kind") == COVERED))
     return covered.select("doc", "lo", "n")
 
