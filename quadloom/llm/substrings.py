@@ -22,7 +22,7 @@ LENGTH, GRAM = 100, 40
 #: Entries that a task compares among themselves before it sends the rest.
 FLUSH = 1_000_000
 #: Buckets of hashes in each shuffle partition; a task sends at most one row for each bucket at a time.
-BUCKETS = 8
+BUCKETS = 3
 
 COVERED, WANTED, ENTRY = 1, 2, 0
 MARK_TYPES = (("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"))
