@@ -33,7 +33,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack_documents(docs, keep_cache=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def _with_n_chars(docs: DataFrame) -> DataFrame:

@@ -78,15 +78,18 @@ def chunk_encoder(raw: bytes) -> PieceCache:
         get = words.__getitem__
         return [direct(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
 
-    return _encoders.setdefault(hash(raw), PieceCache(many, most=400_000))
+    cache = _encoders.setdefault(hash(raw), PieceCache(many, most=400_000))
+    cache.words = words
+    return cache
 
 
-def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep_cache: bool = True) -> DataFrame:
     """A row for each piece of each document: its ids and then end_id, cut only when longer than the capacity.
 
     Columns: id, piece, start, length, ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit numbers)
     and, with_ids, ids (array<int>). Null or empty texts are end_id alone; repeated rows each
-    give their pieces; an empty table gives none; other columns are not read.
+    give their pieces; an empty table gives none; other columns are not read. keep_cache: whether a Python process
+    keeps what it has learnt of words for its next task, or gives the memory back for other work.
     """
     raw = vocabulary(docs.sparkSession, vocabulary_path or public_tokenizers.path(VOCABULARY))
 
@@ -112,6 +115,9 @@ def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity:
                 arrays = [batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 ids = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(with_end))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([*arrays, *ids], names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        if not keep_cache:
+            cache.known.clear()
+            cache.words.clear()
 
     source = only(docs, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -213,12 +219,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(pieces, "length").select(*pieces.columns, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Pack whole documents; see token_pieces and pack for nulls, repeats and empty tables.
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
+    """Pack whole documents; see token_pieces and pack for nulls, repeats, empty tables and keep_cache.
 
     The ids themselves are left out unless asked for: they stay in place and are told by (doc_id, start, length).
     """
-    return pack(staged(token_pieces(docs, vocabulary_path, capacity, with_ids=with_ids)), capacity)
+    return pack(staged(token_pieces(docs, vocabulary_path, capacity, with_ids=with_ids, keep_cache=keep_cache)), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
