@@ -20,16 +20,23 @@ PARTS = 4
 TILE = 4096
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, as a signed number; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles, one for each place; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(x, SEED) for x in joined], np.uint64)
+    return np.array([digest(x, SEED) for x in joined], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, as a signed number; 0 for a text without words."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
@@ -159,19 +166,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return near_groups(staged(fingerprints(docs, shingle, id_col, text_col)), radius, id_col)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id's; of rows that agree in id and text, one."""
-    mark = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    marked = docs.select("*", mark[0].alias("_text"), mark[1].alias("_id"))
-    prints = staged(fingerprints(docs.select(F.struct("doc_id", mark[0].alias("_text"), mark[1].alias("_id")).alias("row"), "text"), shingle, "row").select("row.*", "fp"))
-    grouped = near_groups(prints, radius)
+def marked_rows(docs: DataFrame) -> DataFrame:
+    """docs with _text and _id, by which rows are told apart."""
+    return docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """docs with one row of each component in grouped (doc_id, _text, _id, component_id)."""
     first = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "_text")
     stay = grouped.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_id", "_text").distinct()
     again = Window.partitionBy("_id", "_text").orderBy("_id")
-    kept = marked.join(stay, ["_id", "_text"]).withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    kept = marked_rows(docs).join(stay, ["_id", "_text"]).withColumn("_n", F.row_number().over(again)).where("_n = 1")
     return kept.select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's; of rows that agree in id and text, one."""
+    prints = staged(fingerprints(marked_rows(docs).select(F.struct("doc_id", "_text", "_id").alias("row"), "text"), shingle, "row").select("row.*", "fp"))
+    return keep_first(docs, near_groups(prints, radius))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
