@@ -13,6 +13,8 @@ from quadloom.sources.staging import staged
 #: The secret that surrogates depend on; a user gives their own.
 KEY = "surrogates"
 MAX_ROUNDS = 40
+#: Attempts after which a private address may leave its block.
+CROWDED = 8
 
 MEN = "Mr|Herr|Monsieur|Señor|Sr|господин"
 WOMEN = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
@@ -85,6 +87,8 @@ def _ip(found: Column, key: str, attempt: Column) -> Column:
     stream = _stream(key, "ip", found, attempt, F.lit(4))
     private = F.regexp_extract(found, r"^(?:10\.|192\.168\.)", 0)
     fresh = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+    # a full block is left: 192.168/16 for 10/8, and both at last for all addresses
+    private = F.when(attempt >= 2 * CROWDED, "").when(attempt >= CROWDED, F.when(F.length(private) > 0, "10.").otherwise("")).otherwise(private)
     return F.concat(private, F.when(F.length(private) == 3, F.regexp_replace(fresh, r"^\d+\.", "")).when(F.length(private) > 3, F.regexp_replace(fresh, r"^\d+\.\d+\.", "")).otherwise(fresh))
 
 
@@ -104,34 +108,39 @@ def _card(found: Column, key: str, attempt: Column) -> Column:
     return F.when(_luhn(F.regexp_replace(found, "[^0-9]", "")) == 0, right).otherwise(fresh)
 
 
-def _person(found: Column, key: str, attempt: Column) -> Column:
+def _spelled_name(role: Column, word: Column, key: str, attempt: Column) -> Column:
+    """A name for a word as surname (role s), a woman's (f) or a man's (m) first name; each attempt has one more syllable than the last."""
+    stream = _stream(key, "person", F.concat(role, word), attempt, attempt + 6)
+
+    def spelled(parts: list[str], feminine: str, masculine: str, family: str) -> Column:
+        syllable = lambda k: F.element_at(F.array(*map(F.lit, parts)), _byte(stream, k) % len(parts) + 1)
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(4), attempt + 3), syllable), "")).otherwise("")
+        ending = F.when(role == "s", family).when(role == "f", feminine).otherwise(masculine)
+        return F.initcap(F.concat(*[syllable(F.lit(k)) for k in range(4)], more, ending))
+
+    return F.when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), spelled(CYRILLIC, "на", "н", "ко")).otherwise(spelled(LATIN, "na", "n", "ck"))
+
+
+def _person(found: Column, key: str, attempt: Column, family: Column) -> Column:
     """The title stays; names are of the title's gender and the name's script.
 
-    Each name word has its own surrogate, so a person's short and full forms agree; attempts change first names,
-    or a surname that stands alone.
+    Each name word has its own surrogate, so a person's short and full forms agree; attempts change first names.
+    family: the attempt of the surname, the same in all forms.
     """
     words = F.split(found, " ")
     n = F.size(words)
     woman = F.regexp_like(found, F.lit(rf"^(?:{WOMEN})\.? "))
 
     def name(word: Column, i: Column) -> Column:
-        surname = (i == n - 1) & (n > 2)
-        again = F.when(surname, 0).otherwise(attempt)
         role = F.when(i == n - 1, "s").when(woman, "f").otherwise("m")
-        stream = _stream(key, "person", F.concat(role, word), again, F.lit(6))
-
-        def spelled(parts: list[str], feminine: str, masculine: str, family: str) -> Column:
-            syllables = F.concat(*[F.element_at(F.array(*map(F.lit, parts)), _byte(stream, F.lit(k)) % len(parts) + 1) for k in range(4)])
-            ending = F.when(role == "s", family).when(role == "f", feminine).otherwise(masculine)
-            return F.initcap(F.concat(syllables, ending))
-
-        return F.when(i == 0, word).when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), spelled(CYRILLIC, "на", "н", "ко")).otherwise(spelled(LATIN, "na", "n", "ck"))
+        return F.when(i == 0, word).otherwise(_spelled_name(role, word, key, F.when(i == n - 1, family).otherwise(attempt)))
 
     return F.array_join(F.transform(words, name), " ")
 
 
-def surrogate(found: Column, key: str, attempt: Column | int = 0) -> Column:
-    """A replacement of the same kind and format, that depends on the key, the entity and the attempt alone."""
+def surrogate(found: Column, key: str, attempt: Column | int = 0, family: Column | int = 0) -> Column:
+    """A replacement of the same kind and format, that depends on the key, the entity and the attempts alone."""
+    family = F.lit(family) if isinstance(family, int) else family
     attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
     made = {
         "email": _email(found, key, attempt),
@@ -141,7 +150,7 @@ def surrogate(found: Column, key: str, attempt: Column | int = 0) -> Column:
         "phone": _with_head(found, r"\+\d{1,3}", key, "phone", attempt),
         "ssn": _with_head(found, "", key, "ssn", attempt),
         "card": _card(found, key, attempt),
-        "person": _person(found, key, attempt),
+        "person": _person(found, key, attempt, family),
     }
     kind = kind_of(found)
     return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), made.items(), found)
@@ -154,26 +163,45 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.distinct()
 
 
+def surnames(people: DataFrame, key: str) -> DataFrame:
+    """(word, family) of the surnames whose surrogate is not that of their first attempt: another's, or a real surname."""
+    now = staged(people.select(F.element_at(F.split("found", " "), -1).alias("word")).distinct()).withColumn("family", F.lit(0))
+    taken = now.select(F.col("word").alias("s"), F.lit(True).alias("real"))
+    for _ in range(MAX_ROUNDS):
+        made = now.withColumn("s", _spelled_name(F.lit("s"), F.col("word"), key, F.col("family")))
+        first = F.min(F.struct("family", "word")).over(Window.partitionBy("s"))
+        ranked = made.withColumn("late", F.col("word") != first["word"]).join(taken, "s", "left")
+        made = staged(ranked.select("word", "family", (F.col("late") | F.col("real").isNotNull()).alias("clash")))
+        if made.where("clash").isEmpty():
+            return made.where("family > 0").select("word", "family")
+        now = made.select("word", (F.col("family") + F.col("clash").cast("int")).alias("family"))
+    raise RuntimeError("surnames still collide")
+
+
 def collisions(found: DataFrame, key: str) -> DataFrame:
     """(found, surrogate) of the entities whose first surrogate would be another's, or a real entity.
 
     Each round gives those that collide the next attempt, all but the first of each surrogate; ends when all are
-    distinct. Same-case spellings of an email address are one entity.
+    distinct. Same-case spellings of an email address are one entity. Surnames are told apart first, word by word,
+    so that short and full forms of a name keep one surname; then first names are.
     """
     real = staged(found)
+    person = kind_of(F.col("found")) == "person"
+    families = surnames(real.where(person), key)
     same = F.when(kind_of(F.col("found")) == "email", F.lower("found")).otherwise(F.col("found"))
-    now = real.select("found", same.alias("entity"), F.lit(0).alias("attempt"))
+    last = F.when(person, F.element_at(F.split("found", " "), -1))
+    now = real.withColumn("word", last).join(families, "word", "left").select("found", same.alias("entity"), F.lit(0).alias("attempt"), F.coalesce("family", F.lit(0)).alias("family"))
     taken = real.select(same.alias("s")).distinct()
     for _ in range(MAX_ROUNDS):
-        made = now.withColumn("surrogate", surrogate(F.col("found"), key, F.col("attempt")))
+        made = now.withColumn("surrogate", surrogate(F.col("found"), key, F.col("attempt"), F.col("family")))
         made = made.withColumn("s", F.when(kind_of(F.col("found")) == "email", F.lower("surrogate")).otherwise(F.col("surrogate")))
         first = F.min(F.struct("attempt", "entity")).over(Window.partitionBy("s"))
         ranked = made.withColumn("late", F.col("entity") != first["entity"])
         hit = taken.withColumn("real", F.lit(True))
-        made = staged(ranked.join(hit, "s", "left").withColumn("clash", F.col("late") | F.col("real").isNotNull()).select("found", "entity", "attempt", "surrogate", "clash"))
+        made = staged(ranked.join(hit, "s", "left").withColumn("clash", F.col("late") | F.col("real").isNotNull()).select("found", "entity", "attempt", "family", "surrogate", "clash"))
         if made.where("clash").isEmpty():
-            return made.where("attempt > 0").select("found", "surrogate")
-        now = made.select("found", "entity", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+            return made.where("attempt > 0 or family > 0").select("found", "surrogate")
+        now = made.select("found", "entity", "family", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
     raise RuntimeError("surrogates still collide; the formats hold too few values")
 
 
