@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -18,7 +19,7 @@ SHIFT, SCALE = 2.7, 1_000_000
 #: Each byte of a character outside the vocabulary is one token and scores this much below the rarest piece.
 BYTE_PENALTY = 10.0
 #: Trie nodes and counts kept by a process; emptied beyond, which changes no result.
-MOST_NODES, MOST_COUNTS = 300_000, 200_000
+MOST_NODES, MOST_COUNTS = 600_000, 300_000
 
 _counters: dict[int, PieceCache] = {}
 
@@ -37,50 +38,96 @@ def piece_scores(raw: bytes) -> tuple[dict[str, int], int]:
     return scores, min(scores.values(), default=0) - round(SCALE * BYTE_PENALTY)
 
 
+class Pieces:
+    """Which pieces end at a place: an automaton over the vocabulary, its states made when first reached.
+
+    A state is the longest suffix of what was read that begins a piece: (suffix, next states by character, (length,
+    score) of the pieces that end here). States are at most the beginnings of pieces, whatever is read.
+    """
+
+    def __init__(self, scores: dict[str, int]) -> None:
+        self.scores = scores
+        self.begins = {p[:i] for p in scores for i in range(len(p) + 1)} | {""}
+        self.states: dict[str, tuple] = {}
+        self.start = self.state("")
+
+    def state(self, suffix: str) -> tuple:
+        if suffix not in self.states:
+            ways = tuple((len(suffix) - i, self.scores[suffix[i:]]) for i in range(len(suffix)) if suffix[i:] in self.scores)
+            self.states[suffix] = (suffix, {}, ways)
+        return self.states[suffix]
+
+    def step(self, state: tuple, char: str) -> tuple:
+        suffix = state[0] + char
+        while suffix not in self.begins:
+            suffix = suffix[1:]
+        state[1][char] = after = self.state(suffix)
+        return after
+
+
 class UnigramTrie:
     """Distinct pre-tokens share the forward pass of their common prefixes.
 
-    A node stands for a prefix and holds the best score of a segmentation of it and that one's fewest tokens, made
-    from the nodes above it when it is inserted; terminals keep their counts.
+    A node stands for a prefix: its children, the best score of a segmentation of it, that one's fewest tokens
+    (negative), and the automaton's state. A node is scored once, when it is inserted, from the nodes above it; the
+    counts at a word's last node are the word's.
     """
 
     def __init__(self, scores: dict[str, int], byte_score: int) -> None:
-        self.scores, self.byte_score = scores, byte_score
-        self.longest = max(map(len, scores), default=1)
+        self.pieces, self.byte_score = Pieces(scores), byte_score
         self.clear()
 
     def clear(self) -> None:
-        self.nodes, self.root = 1, ({}, 0, 0)
+        self.nodes, self.root = 1, ({}, 0, 0, self.pieces.start)
 
     def insert(self, word: str) -> tuple[int, int]:
         """Best score of the word, and the fewest tokens with it."""
         if self.nodes > MOST_NODES:
             self.clear()
-        node, path, scores = self.root, [self.root], self.scores
-        for i, char in enumerate(word):
+        node = self.root
+        path = [node]
+        push = path.append
+        for char in word:
             below = node[0].get(char)
             if below is None:
-                n = len(char.encode())
-                best = (path[i][1] + n * self.byte_score, -path[i][2] - n) if char not in scores else None
-                for j in range(max(0, i + 1 - self.longest), i + 1):
-                    score = scores.get(word[j : i + 1])
-                    if score is not None:
-                        way = (path[j][1] + score, -path[j][2] - 1)
-                        if best is None or way > best:
-                            best = way
-                below = node[0][char] = ({}, best[0], -best[1])
+                state = node[3]
+                state = state[1].get(char) or self.pieces.step(state, char)
+                score = None
+                for length, piece in state[2]:
+                    above = path[-length]
+                    way = above[1] + piece
+                    if score is None or way > score or (way == score and above[2] > more):
+                        score, more = way, above[2]
+                tokens = 0 if score is None else more - 1
+                if score is None or state[2][-1][0] > 1:  # the character is no piece
+                    n = len(char.encode())
+                    way = node[1] + n * self.byte_score
+                    if score is None or way > score or (way == score and node[2] - n > tokens):
+                        score, tokens = way, node[2] - n
+                below = node[0][char] = ({}, score, tokens, state)
                 self.nodes += 1
-            path.append(below)
+            push(below)
             node = below
-        return node[1], node[2]
+        return node[1], -node[2]
 
 
 def counter(raw: bytes) -> PieceCache:
     """Score and tokens (two int64) of pre-tokens without white space, each marked as a word's start."""
     if hash(raw) not in _counters:
         trie = UnigramTrie(*piece_scores(raw))
-        # in order, so that a batch's words with a common prefix meet before the trie is emptied
-        many = lambda words: [np.array(trie.insert(MARK + w.decode()), np.int64).tobytes() for w in words]
+
+        def many(words: list[bytes]) -> list[bytes]:
+            # in order, so that a batch's words with a common prefix meet before the trie is emptied; nodes hold no
+            # cycles, so the collector, which would walk all of them again and again, has nothing to find
+            gc.disable()
+            try:
+                found = [x for w in words for x in trie.insert(MARK + w.decode())]
+            finally:
+                gc.freeze()
+                gc.enable()
+            blob = np.array(found, np.int64).tobytes()
+            return [blob[i : i + 16] for i in range(0, len(blob), 16)]
+
         _counters[hash(raw)] = PieceCache(many, MOST_COUNTS, ordered=True)
     return _counters[hash(raw)]
 
