@@ -25,30 +25,48 @@ PART_CHARS = 1 << 16
 #: A space after white space, or after a sign that might be taken for white space: no safe boundary.
 UNSAFE_SPACE = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff] ")
 
+#: White space longer than a part: tiktoken's pattern would step back over it sign by sign, and fail at a million.
+LONG_SPACE = regex.compile(r"\p{White_Space}{%d,}" % PART_CHARS)
+
 _codecs: dict[tuple[int, str], tuple] = {}
 
 
 def codec(raw: bytes, pattern: str):
-    """A tiktoken encoding of a rank file's bytes, and the bytes of each id; made once in a process."""
+    """A tiktoken encoding of a rank file's bytes, one that takes any text for one match, and the bytes of each id; made once in a process."""
     import tiktoken
 
     key = (hash(raw), pattern)
     if key not in _codecs:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-        _codecs[key] = (tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {b: a for a, b in ranks.items()})
+        split, whole = (tiktoken.Encoding("local", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, r"(?s:.+)"))
+        _codecs[key] = (split, whole, {b: a for a, b in ranks.items()})
     return _codecs[key]
 
 
 def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """Cut a long text at safe places only, so that the parts' ids joined are those of the whole text."""
+    """Cut a long text at safe places only, so that the parts' ids joined are those of the whole text.
+
+    Long white space comes apart from what stands around it: the pattern matches it but for its last sign, which may
+    belong to what follows, and at a text's end with it. No match crosses into it from before.
+    """
     at = 0
-    while len(text) - at > size:
-        cut = SAFE.search(text, at + size)
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        yield from _safe_parts(text, at, run.start(), size)
+        yield text[run.start() : stop]
+        at = stop
+    yield from _safe_parts(text, at, len(text), size) if at < len(text) or not text else ()
+
+
+def _safe_parts(text: str, at: int, end: int, size: int) -> Iterator[str]:
+    while end - at > size:
+        cut = SAFE.search(text, at + size, end)
         if not cut:
             break
         yield text[at : cut.start()]
         at = cut.start()
-    yield text[at:] if at else text
+    if at < end or not text:
+        yield text[at:end]
 
 
 _caches: dict[tuple[int, str], PieceCache] = {}
@@ -58,11 +76,14 @@ def _piece_encoder(raw: bytes, pattern: str) -> PieceCache:
     """Ids of pieces, by a cache that a process fills as it goes. Pieces are UTF-8 and may start with a space."""
     if (hash(raw), pattern) in _caches:
         return _caches[hash(raw), pattern]
-    encode = codec(raw, pattern)[0].encode_ordinary
+    split, whole = (x.encode_ordinary for x in codec(raw, pattern)[:2])
+
+    def part(text: str) -> list[int]:
+        return whole(text) if len(text) >= PART_CHARS - 1 and LONG_SPACE.fullmatch(text + " ") else split(text)
 
     def many(pieces: list[bytes]) -> list[bytes]:
         texts = (p.decode() for p in pieces)
-        return [np.array(encode(t) if len(t) <= PART_CHARS else [x for q in parts(t) for x in encode(q)], np.int32).tobytes() for t in texts]
+        return [np.array(split(t) if len(t) < PART_CHARS - 1 else [x for q in parts(t) for x in part(q)], np.int32).tobytes() for t in texts]
 
     return _caches.setdefault((hash(raw), pattern), PieceCache(many))
 
@@ -113,7 +134,7 @@ def strings_of(by_id: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def id_strings(raw: bytes, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    of = codec(raw, pattern)[1]
+    of = codec(raw, pattern)[2]
     return strings_of([of.get(i, b"") for i in range(max(of) + 1)])
 
 
