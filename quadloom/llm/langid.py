@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ CALIBRATION = 5
 UNKNOWN = "und"
 #: Documents scoring less than this are rejected by the filter.
 MIN_SCORE = 0.4
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _letters = np.zeros(256, bool)
 _letters[[*range(65, 91), *range(97, 123)]] = True
@@ -110,14 +108,19 @@ def logit(model: dict, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
-    """At most per_lang documents of each non-null language, by hashed id; a language's rows never meet in one task."""
-    labelled = docs.where("text is not null and lang is not null").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
-    small = labelled.select("doc_id", "lang", "_h")
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    last = small.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_last"))
-    # one row a language
-    found = labelled.join(F.broadcast(last.limit(10_000)), "lang").where("_h <= _last")
-    return found.dropDuplicates(["lang", "_h"]).select("doc_id", "text", "lang")  # repeated rows count once
+    """At most per_lang documents (lang, text) of each non-null language, those of the smallest hashes of id and text.
+
+    A language's share of the hash range is set from its count, so that about 1.5 per_lang rows stay; only those,
+    however many the language has, meet in the task that cuts exactly. Rows that agree in id and text count once. A language
+    that chance gives fewer rows than per_lang keeps those.
+    """
+    marked = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")).alias("_h"))
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_lang + 50) / F.count("*"))
+    limits = marked.groupBy("lang").agg((share * float(1 << 63) * 2 - float(1 << 63)).alias("_most"))
+    some = marked.select("lang", "_h").join(limits, "lang").where(F.col("_h") <= F.col("_most")).select("lang", "_h").distinct()
+    last = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_last"))
+    found = marked.join(last, "lang").where("_h <= _last")
+    return found.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def features_of(docs: DataFrame) -> DataFrame:
@@ -139,37 +142,43 @@ def train(docs: DataFrame, per_lang: int = SAMPLE) -> dict:
     Only the sample's features, at most FEATURES numbers a document, come to the driver. Without any labelled text the model has
     no languages and predicts UNKNOWN.
     """
-    rows = features_of(bounded_sample(docs, per_lang)).toArrow().sort_by("lang").to_pylist()
+    rows = features_of(bounded_sample(docs, per_lang)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["ids"], r["counts"]))
     return fit([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["lang"]) for r in rows])
 
 
+def _scored(batches, text_at: int, model: dict):
+    """Each batch in slices of bounded size, with the language and score of each row's text."""
+    for batch in batches:
+        data, at = utf8_buffer(batch.column(text_at))
+        for lo, hi in slices(at, 1 << 20):
+            part, ends = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            ascii_letters = np.diff(np.concatenate([[0], np.cumsum(_letters[part], dtype=np.int64)])[ends]) > 0
+            langs, scores = [], []
+            for k, (ids, counts) in enumerate(ngram_counts(part, ends)):
+                lettered = ascii_letters[k] or LETTER.search(part[ends[k] : ends[k + 1]].tobytes().decode())
+                if not lettered or not model["langs"]:
+                    langs.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                p = softmax(logit(model, ids, counts) / model["t"])
+                langs.append(model["langs"][int(p.argmax())])
+                scores.append(min(1.0, float(p.max())))
+            yield batch.slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (calibrated probability) of every whole text.
 
-    UNKNOWN with score 0 for null texts, texts without a letter, and where the model knows no language. Repeated
-    rows and null ids are kept; an empty table stays empty; other columns are not read.
+    UNKNOWN with score 0 for null texts, texts without a letter, and where the model knows no language. Of languages
+    with equal probability the first by name is given. Repeated rows and null ids are kept; an empty table stays
+    empty; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
-        for batch in batches:
-            data, at = utf8_buffer(batch.column(1))
-            for lo, hi in slices(at, 1 << 20):
-                part, ends = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                ascii_letters = np.diff(np.concatenate([[0], np.cumsum(_letters[part], dtype=np.int64)])[ends]) > 0
-                langs, scores = [], []
-                for k, (ids, counts) in enumerate(ngram_counts(part, ends)):
-                    lettered = ascii_letters[k] or LETTER.search(part[ends[k] : ends[k + 1]].tobytes().decode())
-                    if not lettered or not m["langs"]:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    p = softmax(logit(m, ids, counts) / m["t"])
-                    langs.append(m["langs"][int(p.argmax())])
-                    scores.append(min(1.0, float(p.max())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+        for rows, langs, scores in _scored(batches, 1, sent.value):
+            yield pa.RecordBatch.from_arrays([rows.column(0), langs, scores], names=[id_col, "lang_pred", "score"])
 
     source = only(docs, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double")
@@ -186,26 +195,22 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those whose language can't be told: UNKNOWN, or a best probability below min_score."""
-    model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """docs without those whose language can't be told: UNKNOWN, or a best probability below min_score.
+
+    Learns from lang where it is given; without a lang column, or any label, nothing can be told and all rows go.
+    """
+    known = docs.withColumn("lang", F.lit(None).cast("string")) if "lang" not in docs.columns else docs
+    model = train(known.where(~held_out()).select("doc_id", F.col(f"`{text_col}`").alias("text"), "lang"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    score = _score_udf(sent)
-    return docs.where(score(F.col("text")) >= min_score)
-
-
-def _score_udf(sent):
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        m, out = sent.value, []
-        for lo in range(0, len(texts), 256):
-            raw = [(t or "").encode() for t in texts.iloc[lo : lo + 256]]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-            for t, (ids, counts) in zip(raw, ngram_counts(np.frombuffer(b"".join(raw), np.uint8), at), strict=True):
-                out.append(float(softmax(logit(m, ids, counts) / m["t"]).max()) if m["langs"] and LETTER.search(t.decode()) else 0.0)
-        return pd.Series(out, dtype="float64")
-
-    return score
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for rows, _, scores in _scored(batches, at, sent.value):
+            keep = pa.array(scores.to_numpy(zero_copy_only=False) >= max(min_score, 1e-300))
+            yield pa.RecordBatch.from_arrays(rows.filter(keep).columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
