@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import only, slices, table, utf8_buffer
 from quadloom.llm.quality import BYTE, mixed, spans_hash
+from quadloom.sources.staging import staged
 
 #: Character n-gram lengths and the number of hashed features.
 LENGTHS, FEATURES = (1, 2, 3), 1 << 15
@@ -116,9 +117,10 @@ def bounded_sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     """
     marked = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")).alias("_h"))
     share = F.least(F.lit(1.0), F.lit(1.5 * per_lang + 50) / F.count("*"))
-    limits = marked.groupBy("lang").agg((share * float(1 << 63) * 2 - float(1 << 63)).alias("_most"))
+    # stored, so that Spark knows their size and sends them to all tasks while they are small
+    limits = staged(marked.groupBy("lang").agg((share * float(1 << 63) * 2 - float(1 << 63)).alias("_most")))
     some = marked.select("lang", "_h").join(limits, "lang").where(F.col("_h") <= F.col("_most")).select("lang", "_h").distinct()
-    last = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_last"))
+    last = staged(some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_last")))
     found = marked.join(last, "lang").where("_h <= _last")
     return found.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
 
