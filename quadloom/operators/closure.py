@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.sources.staging import staged
 
+#: Rounds after which the tables of a loop are put together, so that plans don't grow with the rounds.
+MERGE = 16
+
 
-def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(c, sup): all (c, x) of start, and (c, y) for every edge (src, dst) from a reached x to y.
 
     Semi-naive: only pairs new in the last round are joined with the edges, and those known are left out by an
     anti-join, so cycles end. Every round is written, so that lineage stays short and lost executors cost one round.
+    Goes on until nothing is new, in as many rounds as the longest path has edges; more than max_rounds is an error.
     """
     seen = staged(start.select("c", "sup").distinct())
     new = seen
     edges = staged(edges.select(F.col("src").alias("sup"), F.col("dst").alias("_next")).distinct())
-    for _ in range(max_rounds):
+    for n in count(1):
         step = new.join(edges, "sup").select("c", F.col("_next").alias("sup")).distinct()
         new = staged(step.join(seen, ["c", "sup"], "left_anti"))
         if new.isEmpty():
-            break
+            return seen
+        bounded(n, max_rounds)
         seen = seen.union(new)
-    return seen
+        if n % MERGE == 0:
+            seen = staged(seen)  # one table instead of many
+
+
+def bounded(n: int, max_rounds: int | None) -> None:
+    """Raise when a loop with something left to do has had its rounds."""
+    if max_rounds is not None and n >= max_rounds:
+        raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
 def type_edges(quads: DataFrame) -> DataFrame:
@@ -52,13 +67,32 @@ def types(quads: DataFrame, predicates: bool = False) -> DataFrame:
     return top.union(own).union(lifted).distinct()
 
 
-def reach(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(c, node, hop): nodes within so many undirected steps of each start (c), with the fewest steps."""
+def paths(edges: DataFrame) -> DataFrame:
+    """(start, end, path): from every source the ways `a -> b -> c` along edges (src, dst) to where they end.
+
+    A way ends where no edge goes on to a node that isn't on it yet, so cycles end as well.
+    """
+    edges = staged(edges.select("src", "dst").where("src <> dst").distinct())
+    rows, done = edges.select(F.col("src").alias("start"), F.col("src").alias("end"), F.array("src").alias("path")).distinct(), []
+    while True:
+        on = rows.join(edges, F.col("end") == F.col("src"), "left").withColumn("dst", F.when(~F.array_contains("path", F.col("dst")), F.col("dst")))
+        on = staged(on.groupBy("start", "end", "path").agg(F.collect_set("dst").alias("more")))
+        done.append(on.where(F.size("more") == 0).select("start", "end", F.array_join("path", " -> ").alias("path")))
+        rows = on.select("start", F.explode("more").alias("end"), "path").select("start", "end", F.array_append("path", F.col("end")).alias("path"))
+        if rows.isEmpty():
+            return reduce(DataFrame.union, done)
+
+
+def reach(start: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """(c, node, hop): nodes within so many undirected steps of each start (c), or any number, with the fewest steps."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     seen = start.select("c", F.col("c").alias("node"), F.lit(0).alias("hop"))
     new = seen
-    for k in range(1, hops + 1):
+    for k in count(1):
+        if hops is not None and k > hops:
+            return seen
         step = new.join(both, F.col("node") == F.col("src")).select("c", F.col("dst").alias("node")).distinct()
         new = staged(step.join(seen, ["c", "node"], "left_anti").select("c", "node", F.lit(k).alias("hop")))
+        if new.isEmpty():
+            return seen
         seen = seen.union(new)
-    return seen

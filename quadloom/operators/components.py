@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.operators.closure import bounded
 from quadloom.sources.staging import staged
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """(node, component): each node that has an edge to another, with the smallest node it reaches.
 
     Alternates large stars (a node's larger neighbours move to its smallest neighbour) and small stars (its smaller
     ones do) until the edges are stars around the smallest nodes; rounds grow with the logarithm of the size, and
     the edges never grow in number. Each round is written to the shared folder. Null ends and loops are dropped.
+    Goes on until the edges are stars; more than max_rounds is an error.
     """
     a, b = F.col(f"`{src}`"), F.col(f"`{dst}`")
     now = staged(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     last = None
-    for _ in range(max_rounds):
+    for n in count():
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last or sign[0] == 0:
             break
+        bounded(n, max_rounds)
         last = sign
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

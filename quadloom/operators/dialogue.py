@@ -46,9 +46,14 @@ def request_status(requests: DataFrame, answered: DataFrame) -> DataFrame:
 
 def answering(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """(q, cand): candidates whose values hold every constraint of a question; questions (q, x), candidates (cand, x)."""
-    sizes = questions.distinct().groupBy("q").agg(F.count("*").alias("n"))
-    both = questions.distinct().join(candidates.distinct(), "x").groupBy("q", "cand").agg(F.count("*").alias("k"))
-    return both.join(sizes, "q").where("k = n").select("q", "cand")
+    asked = questions.distinct()
+    often = candidates.groupBy("x").agg(F.count("*").alias("_often"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)), "x"))), lambda e: e["x"])
+    whole = asked.join(often, "x", "left").groupBy("q").agg(order.alias("needs"))
+    held = candidates.groupBy("cand").agg(F.collect_set("x").alias("has"))
+    # looked up under its rarest constraint alone, so that frequent values make no pairs; then compared whole
+    meet = whole.select("q", "needs", F.col("needs")[0].alias("x")).join(candidates.distinct(), "x")
+    return meet.join(held, "cand").where(F.size(F.array_except("needs", "has")) == 0).select("q", "cand")
 
 
 def normalised(templates: DataFrame) -> DataFrame:

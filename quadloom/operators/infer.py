@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.operators.closure import MERGE
 from quadloom.operators.match import edge_rows, is_variable, match, with_mark, without_doubt
 from quadloom.operators.mutate import FACT
 from quadloom.sources.staging import staged
@@ -32,9 +36,12 @@ def named_ids(pattern: list[tuple]) -> list[tuple]:
 
 def solutions(quads: DataFrame, rule: Rule, types: DataFrame | None = None) -> DataFrame:
     """A row for each solution of the precondition; predicates without a stated confidence must be sure."""
-    pre = named_ids(rule.pre)
-    out = match(quads, pre, types, rule.var_types)
-    for edge in pre:
+    return settled(match(quads, named_ids(rule.pre), types, rule.var_types), quads, rule)
+
+
+def settled(out: DataFrame, quads: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of matched preconditions whose predicates have the confidence that the rule asks for."""
+    for edge in named_ids(rule.pre):
         pid = edge[3]
         if not is_variable(pid):
             continue
@@ -65,8 +72,8 @@ def apply(found: DataFrame, rule: Rule) -> DataFrame:
 
 
 def unfired(made: DataFrame, fired: DataFrame) -> DataFrame:
-    """One firing for each rule and evidence set that isn't in fired (rule, evidence)."""
-    return made.dropDuplicates(["rule", "evidence", "pid"]).join(fired, ["rule", "evidence"], "left_anti")
+    """One firing for each graph, rule and evidence set that isn't in fired (graph_id, rule, evidence)."""
+    return made.dropDuplicates(["graph_id", "rule", "evidence", "pid"]).join(fired, ["graph_id", "rule", "evidence"], "left_anti")
 
 
 def provenance(made: DataFrame) -> DataFrame:
@@ -77,27 +84,72 @@ def provenance(made: DataFrame) -> DataFrame:
     return causes.union(rows.select("node", "pid", F.lit("implies"))).distinct()
 
 
-def chain(quads: DataFrame, rules: Iterable[Rule], rounds: int, types: DataFrame | None = None) -> DataFrame:
-    """Facts that follow in so many rounds, or fewer when nothing new follows: (FACT) of what wasn't there before.
+def chain(quads: DataFrame, rules: Iterable[Rule], rounds: int | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Facts that follow in so many rounds, or in as many as bring something new: (FACT) of what wasn't there before.
 
-    A fact is new when no fact of its graph says the same, whatever its id.
+    A fact is new when no fact of its graph says the same, whatever its id. Semi-naive: after the first round a
+    precondition is matched once for each of its edges, that edge among the last round's facts alone, the edges before it
+    among older facts and those after it among all, so no solution is found twice.
     """
     rules = list(rules)
     known = staged(quads.select(FACT))
     says = lambda q: q.select("graph_id", "s", "t", F.coalesce("o", F.lit("")).alias("oo")).distinct()
-    new = None
-    for _ in range(rounds):
+    parts, older, fresh = [], None, None
+    for n in count(1):
+        if rounds is not None and n > rounds:
+            break
         made = None
         for rule in rules:
-            rows = apply(solutions(known, rule, types), rule).select(FACT)
+            found = solutions(known, rule, types) if fresh is None else _new_solutions(older, fresh, known, rule, types)
+            rows = apply(found, rule).select(FACT)
             made = rows if made is None else made.union(rows)
         made = made.dropDuplicates(["graph_id", "s", "t", "o"]).withColumn("oo", F.coalesce("o", F.lit("")))
         fresh = staged(made.join(says(known), ["graph_id", "s", "t", "oo"], "left_anti").select(FACT))
         if fresh.isEmpty():
             break
-        new = fresh if new is None else new.union(fresh)
-        known = known.union(fresh)
-    return new if new is not None else quads.select(FACT).limit(0)
+        parts.append(fresh)
+        older, known = known, known.union(fresh)
+        if n % MERGE == 0:
+            known = staged(known)
+    return reduce(DataFrame.union, parts) if parts else quads.select(FACT).limit(0)
+
+
+def _new_solutions(older: DataFrame, fresh: DataFrame, known: DataFrame, rule: Rule, types: DataFrame | None) -> DataFrame:
+    """Solutions over known that use at least one fact of fresh; known is older and fresh together."""
+    pre = named_ids(rule.pre)
+    out = None
+    for i in range(len(pre)):
+        tables = [older if j < i else fresh if j == i else known for j in range(len(pre))]
+        rows = settled(match(tables, pre, types, rule.var_types), known, rule)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def solve_alike(quads: DataFrame, edges: DataFrame) -> DataFrame:
+    """Solutions of many stored preconditions of one shape: (graph_id, rule, and a column for each variable).
+
+    edges: (rule, nth, s, t, o); rules whose edges differ in constants alone have one shape, and are matched together,
+    the constants of a place coming from a joined table with a row for each rule. Each shape is one job branch.
+    """
+    named = lambda c: F.when(F.col(c).startswith("?"), F.col(c)).otherwise(F.lit("="))
+    place = F.struct("nth", named("s").alias("s"), named("t").alias("t"), named("o").alias("o"))
+    shapes = edges.groupBy("rule").agg(F.array_sort(F.collect_list(place)).alias("shape"), F.array_sort(F.collect_list(F.struct("nth", "s", "t", "o"))).alias("edges"))
+    out = None
+    for row in shapes.select("shape").distinct().collect():  # shapes are program text, so they are few
+        same = shapes.where(F.to_json("shape") == F.lit(json.dumps([e.asDict() for e in row["shape"]], separators=(",", ":"))))
+        found = same.select("rule")
+        for i, edge in enumerate(row["shape"]):
+            constants = same.select("rule", *[F.col("edges")[i][c].alias(c) for c in ("s", "t", "o") if edge[c] == "="])
+            keys = [c for c in constants.columns if c != "rule"]
+            facts = quads.join(constants, keys) if keys else quads.crossJoin(constants)
+            names = {c: edge[c][1:] for c in ("s", "t", "o") if edge[c] != "="}
+            for c, v in names.items():
+                first = next(k for k, x in names.items() if x == v)
+                facts = facts if first == c else facts.where(F.col(first) == F.col(c))
+            rows = facts.select("graph_id", "rule", *[F.col(next(k for k, x in names.items() if x == v)).alias(v) for v in dict.fromkeys(names.values())])
+            found = found.join(rows, [c for c in rows.columns if c in found.columns])
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
 
 
 def of_class(pairs: DataFrame, types: DataFrame, specific: bool) -> DataFrame:
@@ -116,17 +168,17 @@ def virtual_types(nodes: DataFrame, types: DataFrame, quads: DataFrame) -> DataF
 
 
 def affirmed(quads: DataFrame, pids: DataFrame) -> DataFrame:
-    """quads where the given facts carry no doubt any more."""
-    marks = quads.where(F.col("t").isin("not", "maybe")).join(pids.withColumnRenamed("pid", "s"), "s", "left_semi").select("graph_id", "pid")
+    """quads where the given facts (graph_id, pid) carry no doubt any more."""
+    marks = quads.where(F.col("t").isin("not", "maybe")).join(pids.withColumnRenamed("pid", "s"), ["graph_id", "s"], "left_semi").select("graph_id", "pid")
     return quads.join(marks, ["graph_id", "pid"], "left_anti").select(FACT)
 
 
 def rejected(quads: DataFrame, pids: DataFrame) -> DataFrame:
-    """quads where the given facts are denied: marked not, and no longer maybe."""
+    """quads where the given facts (graph_id, pid) are denied: marked not, and no longer maybe."""
     of = pids.withColumnRenamed("pid", "s")
-    marks = quads.where("t = 'maybe'").join(of, "s", "left_semi").select("graph_id", "pid")
+    marks = quads.where("t = 'maybe'").join(of, ["graph_id", "s"], "left_semi").select("graph_id", "pid")
     denied = quads.where("t = 'not'").select("graph_id", "s")
-    facts = quads.select("graph_id", F.col("pid").alias("s")).join(of, "s", "left_semi").join(denied, ["graph_id", "s"], "left_anti")
+    facts = quads.select("graph_id", F.col("pid").alias("s")).join(of, ["graph_id", "s"], "left_semi").join(denied, ["graph_id", "s"], "left_anti")
     new = facts.select("graph_id", "s", F.lit("not").alias("t"), F.lit(None).cast("string").alias("o"), F.concat(F.lit("q:"), "s", F.lit("|not|")).alias("pid"))
     return quads.join(marks, ["graph_id", "pid"], "left_anti").select(FACT).union(new)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.operators.closure import types
@@ -11,15 +13,20 @@ from quadloom.operators.closure import types
 def predicates(quads: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Facts by any of s, t and o: those that agree with a row of bound in all its columns; all without bound.
 
-    A bound s and t without o finds one- and two-argument predicates alike.
+    A bound s and t without o finds one- and two-argument predicates alike; a null o in bound finds those with one.
     """
     facts = quads.select("s", "t", "o", "pid")
-    return facts if bound is None else facts.join(bound.distinct(), bound.columns, "left_semi").select("s", "t", "o", "pid")
+    return facts if bound is None else facts.join(bound.distinct().alias("b"), agree("b", facts, bound.columns), "left_semi").select("s", "t", "o", "pid")
+
+
+def agree(alias: str, rows: DataFrame, columns: list[str]) -> Column:
+    """Equality with the columns of an aliased table; null objects agree with each other."""
+    return reduce(Column.__and__, (rows[c].eqNullSafe(F.col(f"{alias}.{c}")) if c == "o" else rows[c] == F.col(f"{alias}.{c}") for c in columns))
 
 
 def existing(asked: DataFrame, quads: DataFrame) -> DataFrame:
     """The rows of asked (any of s, t, o, pid) that some fact agrees with."""
-    return asked.join(quads, asked.columns, "left_semi")
+    return asked.join(quads.alias("b"), agree("b", asked, asked.columns), "left_semi")
 
 
 def subjects(quads: DataFrame, t: str) -> DataFrame:
@@ -84,9 +91,9 @@ def degree(quads: DataFrame) -> DataFrame:
 
 
 def rendered(quads: DataFrame) -> DataFrame:
-    """(t, text): id/type(s,o) of all facts of a type in the order of ids."""
+    """(graph_id, t, pid, text): id/type(s,o) of every fact, or id/type(s). A row for each fact, as a type may have any number."""
     one = F.concat("pid", F.lit("/"), "t", F.lit("("), "s", F.coalesce(F.concat(F.lit(","), "o"), F.lit("")), F.lit(")"))
-    return quads.groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pid", one.alias("x")))), lambda r: r["x"]), ";").alias("text"))
+    return quads.select("graph_id", "t", "pid", one.alias("text"))
 
 
 def labelled(nodes: DataFrame, quads: DataFrame) -> DataFrame:

@@ -55,22 +55,24 @@ def ordered(pattern: list[tuple]) -> list[tuple]:
     return out
 
 
-def match(quads: DataFrame, pattern: list[tuple], types: DataFrame | None = None, var_types: dict[str, str] | None = None, subpredicates: bool = False, confident: list[str] | None = None) -> DataFrame:
+def match(quads: DataFrame | list[DataFrame], pattern: list[tuple], types: DataFrame | None = None, var_types: dict[str, str] | None = None, subpredicates: bool = False, confident: list[str] | None = None) -> DataFrame:
     """All assignments of the pattern's variables, in each graph: graph_id and a column for each variable.
 
-    A chain of equi-joins; two variables may be bound to one node. var_types: variables that must be of a type, by the
+    A chain of equi-joins; two variables may be bound to one node. quads: facts, or a table of facts for each edge. var_types: variables that must be of a type, by the
     closure types (c, sup). confident: variables bound to predicate ids that must not be marked not or maybe.
     """
     parts = []
+    tables = quads if isinstance(quads, list) else [quads] * len(pattern)
+    of = {id(edge): table for edge, table in zip(pattern, tables, strict=True)}
     for edge in ordered(pattern):
-        rows = edge_rows(quads, edge, types if subpredicates else None)
+        rows = edge_rows(of[id(edge)], edge, types if subpredicates else None)
         for v, kind in (var_types or {}).items():
             if v in rows.columns:
-                of = types.where(F.col("sup") == kind).select(F.col("c").alias(v)).distinct()
-                rows = rows.join(of, v, "left_semi")
+                within = types.where(F.col("sup") == kind).select(F.col("c").alias(v)).distinct()
+                rows = rows.join(within, v, "left_semi")
         for v in confident or []:
             if v in rows.columns:
-                rows = without_doubt(rows, quads, v)
+                rows = without_doubt(rows, of[id(edge)], v)
         parts.append(rows)
     join = lambda a, b: a.join(b, [c for c in b.columns if c in a.columns])
     return reduce(join, parts)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.operators.closure import MERGE, bounded
 from quadloom.operators.components import connected_components
 from quadloom.sources.staging import staged
 
@@ -51,10 +54,11 @@ def concatenated(quads: DataFrame, other: DataFrame, namespace: str, own: Column
     return add(quads, moved.select("graph_id", move("s"), "t", move("o"), move("pid")))
 
 
-def remove(quads: DataFrame, concepts: DataFrame | None = None, pids: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def remove(quads: DataFrame, concepts: DataFrame | None = None, pids: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """quads without the given concepts (graph_id, c) or predicates (graph_id, pid), and without facts about what goes.
 
-    A loop: facts whose subject or object has gone go too. Types don't cascade.
+    A loop until nothing more goes: facts whose subject or object has gone go too. Types don't cascade. More than
+    max_rounds is an error.
     """
     quads = staged(quads)
     gone = None
@@ -65,45 +69,61 @@ def remove(quads: DataFrame, concepts: DataFrame | None = None, pids: DataFrame
     if pids is not None:
         gone = pids.select("graph_id", "pid") if gone is None else gone.union(pids.select("graph_id", "pid"))
     new = gone = staged(gone.distinct())
-    for _ in range(max_rounds):
+    for n in count(1):
         about = [quads.join(new.withColumnRenamed("pid", k), ["graph_id", k], "left_semi").select("graph_id", "pid") for k in ("s", "o")]
         new = staged(about[0].union(about[1]).distinct().join(gone, ["graph_id", "pid"], "left_anti"))
         if new.isEmpty():
             break
+        bounded(n, max_rounds)
         gone = gone.union(new)
+        if n % MERGE == 0:
+            gone = staged(gone)
     return quads.join(gone, ["graph_id", "pid"], "left_anti").select(FACT)
 
 
 def representatives(pairs: DataFrame, generated: str | None = None) -> DataFrame:
-    """(old, new) for nodes of pairs (a, b), linked in groups: the smallest one that isn't generated, else the smallest."""
-    groups = connected_components(pairs, "a", "b")
-    rank = F.struct(F.col("node").rlike(generated) if generated else F.lit(False), F.col("node").alias("node"))
+    """(old, new) for nodes of pairs (a, b), linked in groups: the smallest one that isn't generated, else the smallest.
+
+    With a column graph_id in pairs nodes are linked within their graph, and it is in the result.
+    """
+    own = "graph_id" in pairs.columns
+    node = lambda c: F.struct("graph_id", F.col(c).alias("node")) if own else F.struct(F.col(c).alias("node"))
+    groups = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    name = F.col("node.node")
+    rank = F.struct(name.rlike(generated) if generated else F.lit(False), name.alias("node"))
     best = groups.groupBy("component").agg(F.min(rank).alias("m"))
-    return groups.join(best, "component").select(F.col("node").alias("old"), F.col("m.node").alias("new"))
+    keep = [F.col("node.graph_id").alias("graph_id")] if own else []
+    return groups.join(best, "component").select(*keep, name.alias("old"), F.col("m.node").alias("new"))
 
 
-def merged(quads: DataFrame, pairs: DataFrame, generated: str | None = None, max_rounds: int = 20) -> DataFrame:
-    """quads after merging the pairs (a, b) of nodes of one graph.
+def merged(quads: DataFrame, pairs: DataFrame, generated: str | None = None, max_rounds: int | None = None) -> DataFrame:
+    """quads after merging the pairs (graph_id, a, b) of nodes; each graph's pairs touch that graph alone.
 
     Groups go to one representative each. Facts of a UNIQUE type that then agree in s, t and o become one; merged
-    predicate ids force their subjects and objects to merge as well, until nothing more is forced.
+    predicate ids force their subjects and objects to merge as well, until nothing more is forced. A round
+    touches only the facts that hold a renamed node; the forced pairs come from those that agree with one of them.
     """
-    quads, wanted = staged(quads), pairs.select("a", "b")
-    for _ in range(max_rounds):
+    quads, wanted = staged(quads.select(FACT).distinct()), pairs.select("graph_id", "a", "b")
+    first = True
+    for n in count(1):
         names = staged(representatives(wanted, generated).where("old <> new"))
-        each = names.withColumn("graph_id", F.lit(None).cast("string"))
-        rows = quads.select(FACT)
-        for c in ("s", "t", "o", "pid"):
-            m = each.select(F.col("old").alias(c), F.col("new").alias("_new"))
-            rows = rows.join(m, c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
-        rows = staged(rows.select(FACT).distinct())
-        same = rows.where(F.col("t").isin(*UNIQUE)).groupBy("graph_id", "s", "t", "o").agg(F.min("pid").alias("a"), F.collect_set("pid").alias("all")).where(F.size("all") > 1)
-        forced = same.select("a", F.explode("all").alias("b")).where("a <> b")
-        by_pid = rows.groupBy("graph_id", "pid").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min("o").alias("o1"), F.max("o").alias("o2"))
-        forced = forced.union(by_pid.where("s1 <> s2").select("s1", "s2")).union(by_pid.where("o1 <> o2").select("o1", "o2"))
-        new = staged(forced.distinct())
-        quads = rows
-        if new.isEmpty():
+        if names.isEmpty() and not first:
+            return quads
+        old = names.select("graph_id", F.col("old").alias("_node"))
+        holds = quads.select(*FACT, F.explode(F.array_distinct(F.array_compact(F.array("s", "t", "o", "pid")))).alias("_node"))
+        touched = staged(holds.join(old, ["graph_id", "_node"], "left_semi").select(FACT).distinct())
+        new = staged(renamed(touched, names).select(FACT).distinct())
+        key = ["graph_id", "pid"]
+        rest = quads.join(touched.select(*key, "s", "t", F.col("o").alias("_o")).alias("x"), [quads[c] == F.col(f"x.{c}") for c in (*key, "s", "t")] + [quads["o"].eqNullSafe(F.col("x._o"))], "left_anti")
+        quads = staged(rest.union(new).distinct())
+        # in the first round facts may agree without any renaming; later only with a renamed one
+        near = quads if first else quads.join(new.select("graph_id", "s", "t").distinct(), ["graph_id", "s", "t"], "left_semi")
+        same = near.where(F.col("t").isin(*UNIQUE)).groupBy("graph_id", "s", "t", "o").agg(F.min("pid").alias("a"), F.collect_set("pid").alias("all")).where(F.size("all") > 1)
+        forced = same.select("graph_id", "a", F.explode("all").alias("b")).where("a <> b")
+        ids = quads if first else quads.join(new.select(*key).distinct(), key, "left_semi")
+        by_pid = ids.groupBy(*key).agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min("o").alias("o1"), F.max("o").alias("o2"))
+        forced = forced.union(by_pid.where("s1 <> s2").select("graph_id", "s1", "s2")).union(by_pid.where("o1 <> o2").select("graph_id", "o1", "o2"))
+        wanted, first = staged(forced.distinct()), False
+        if wanted.isEmpty():
             return quads
-        wanted = new
-    return quads
+        bounded(n, max_rounds)

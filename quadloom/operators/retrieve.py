@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.operators.closure import closure
 from quadloom.operators.match import match
+from quadloom.sources.staging import staged
+
+
+#: Pullers that a pull considers at most.
+MOST_PULLERS = 1000
 
 
 def meeting(quads: DataFrame, one: list[tuple], other: list[tuple]) -> DataFrame:
@@ -51,28 +57,73 @@ def within_budget(nodes: DataFrame, budget: int) -> DataFrame:
     return top.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")
 
 
+def pull(pullers: DataFrame, neighbours: DataFrame, structure: DataFrame, budget: int) -> DataFrame:
+    """(a, b, node, n): what is pulled in, in order, while the facts it brings, n each, stay within one budget.
+
+    pullers: (c, rank), the few most salient concepts; neighbours: (c, node); structure: (node, pid) facts that come with a node.
+    What two pullers share comes first, by their ranks, then what one has alone (b null). Items without new facts are free
+    and left out. The first item that doesn't fit ends the pull.
+    """
+    near = neighbours.join(F.broadcast(pullers.where(F.col("rank") <= MOST_PULLERS)), "c").select("c", "rank", "node").distinct()
+    a, b = (near.select("node", F.col("c").alias(k), F.col("rank").alias(f"_{k}")) for k in "ab")
+    pairs = a.join(b, "node").where("_a < _b")
+    single = a.select("node", "a", "_a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("int").alias("_b"))
+    size = structure.distinct().groupBy("node").agg(F.count("*").alias("n"))
+    items = pairs.select("node", "a", "_a", "b", "_b").union(single).join(size, "node")
+    order = [F.col("_b").isNull(), "_a", "_b", "node"]
+    top = items.orderBy(*order).limit(budget)  # each brings a fact at least
+    total = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return top.withColumn("_total", total).where(F.col("_total") <= budget).select("a", "b", "node", "n")
+
+
+def pruned(quads: DataFrame, keep: DataFrame, of_subject: list[str], of_object: list[str], links: DataFrame | None = None) -> DataFrame:
+    """The facts that kept ones (graph_id, pid) need, and no others.
+
+    A fact needs its subject and object; a node needs its types, its facts of the types in of_subject, the facts of the types
+    in of_object about it, and, with links (graph_id, src, label, dst), what its `ref` links lead to. As what is kept
+    holds all arguments, nothing is left about what goes.
+    """
+    n = lambda c: F.struct("graph_id", F.col(c).alias("n"))
+    edge = lambda rows, a, b: rows.select(n(a).alias("src"), n(b).alias("dst"))
+    edges = edge(quads, "pid", "s").union(edge(quads.where("o IS NOT NULL"), "pid", "o")).union(edge(quads.where(F.col("t").isin("type", *of_subject)), "s", "pid")).union(edge(quads.where(F.col("t").isin(*of_object)), "o", "pid"))
+    if links is not None:
+        edges = edges.union(edge(links.where("label = 'ref'"), "src", "dst"))
+    # all starts are one, as only what is reached at all matters
+    reached = closure(keep.select(F.lit(0).alias("c"), n("pid").alias("sup")), edges).select("sup.*").distinct()
+    return quads.join(reached.select("graph_id", F.col("n").alias("pid")), ["graph_id", "pid"], "left_semi").select(quads.columns)
+
+
+def _by_rarity(sets: DataFrame) -> DataFrame:
+    """(c, n, xs): each set with its size and its elements, the rarest first."""
+    often = sets.groupBy("x").agg(F.count("*").alias("_often"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_often", "x"))), lambda e: e["x"])
+    return sets.join(often, "x").groupBy("c").agg(F.count("*").alias("n"), ordered.alias("xs"))
+
+
 def subsets(sets: DataFrame, share: float = 1.0) -> DataFrame:
-    """(a, b): at least that share of a's elements are b's, in sets (c, x) without repeats."""
-    sizes = sets.groupBy("c").agg(F.count("*").alias("n"))
-    other = sets.select(F.col("c").alias("b"), "x")
-    both = sets.select(F.col("c").alias("a"), "x").join(other, "x").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    return both.join(sizes.withColumnRenamed("c", "a"), "a").where(F.col("k") * 1000 >= F.col("n") * round(share * 1000)).select("a", "b")
+    """(a, b): at least that share of a's elements are b's, in sets (c, x) without repeats.
+
+    A set that lacks at most n - k of a's n elements holds one of any n - k + 1 of them, so a is looked for among the
+    sets that hold one of its rarest; frequent elements make no pairs. Candidates are then compared whole.
+    """
+    bags = staged(_by_rarity(sets.distinct()))
+    needed = F.ceil(F.col("n") * F.lit(round(share * 1000)) / 1000)
+    asks = bags.select(F.col("c").alias("a"), F.explode(F.slice("xs", F.lit(1), (F.col("n") - F.greatest(needed, F.lit(1)) + 1).cast("int"))).alias("x"))
+    pairs = asks.join(bags.select(F.col("c").alias("b"), F.explode("xs").alias("x")), "x").where("a <> b").select("a", "b").distinct()
+    both = pairs.join(bags.select(F.col("c").alias("a"), "n", F.col("xs").alias("_a")), "a").join(bags.select(F.col("c").alias("b"), F.col("xs").alias("_b")), "b")
+    return both.where(F.size(F.array_intersect("_a", "_b")) * 1000 >= F.col("n") * round(share * 1000)).select("a", "b")
 
 
-def maximal(sets: DataFrame, at_most: int) -> DataFrame:
-    """(c): sets of up to so many elements that lie in no other set; of equal sets the smallest name counts.
+def maximal(sets: DataFrame) -> DataFrame:
+    """(c): sets of any size that lie in no other set; of equal sets the smallest name counts.
 
-    A set is looked for by one signature for each size up to at_most, so no pairs of sets are made.
+    Equal sets are one from the start. A set is looked for under its rarest element alone, among larger sets.
     """
-    bags = sets.groupBy("c").agg(F.array_sort(F.collect_set("x")).alias("xs")).withColumn("n", F.size("xs"))
-    small = bags.where(F.col("n") <= at_most).withColumn("key", F.array_join("xs", "|"))
-    single = bags.select(F.explode("xs").alias("key"), "n", "c")
-    held = single
-    if at_most >= 2:
-        pairs = bags.select("c", "n", F.explode(F.flatten(F.transform("xs", lambda a: F.transform(F.filter("xs", lambda b: b > a), lambda b: F.concat_ws("|", a, b))))).alias("key"))
-        held = single.union(pairs.select("key", "n", "c"))
-    best = held.groupBy("key").agg(F.max("n").alias("most"), F.min(F.when(F.size(F.split("key", r"\|")) == F.col("n"), F.col("c"))).alias("first"))
-    return small.join(best, "key").where((F.col("most") == F.col("n")) & (F.col("c") == F.col("first"))).select("c")
+    bags = staged(_by_rarity(sets.distinct()).groupBy("n", F.array_sort("xs").alias("_same")).agg(F.min("c").alias("c"), F.first("xs").alias("xs")).drop("_same"))
+    asks = bags.select("c", "n", "xs", F.col("xs")[0].alias("x"))
+    others = bags.select(F.col("n").alias("_n"), F.col("xs").alias("_xs"), F.explode("xs").alias("x"))
+    inside = asks.join(others, "x").where("_n > n").where(F.size(F.array_except("xs", "_xs")) == 0).select("c").distinct()
+    return bags.join(inside, "c", "left_anti").select("c")
 
 
 def reference_candidates(pairs: DataFrame, types: DataFrame, quads: DataFrame) -> DataFrame:

@@ -56,6 +56,37 @@ def any_of(x: Column) -> Column:
     return 1 - F.product(1 - x)
 
 
+def signed_or(x: Column) -> Column:
+    """any_of for confidences from -1 to 1: doubts count only where all are doubts, and then as the product of their strengths."""
+    return F.when(F.max(x) >= 0, 1 - F.product(1 - F.greatest(x, F.lit(0.0)))).otherwise(-F.product(-x))
+
+
+def signed_and(x: Column) -> Column:
+    """all_of for confidences from -1 to 1: with a doubt among them, the disjunction of the doubts."""
+    return F.when(F.min(x) >= 0, F.product(x)).otherwise(F.product(1 + F.least(x, F.lit(0.0))) - 1)
+
+
+def confidence(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """(c, conf) after so many synchronous rounds over evidence links (src, dst, label), label one of and, nand, or, nor.
+
+    In a round a node's evidence of each label is taken together, nand and nor with the opposite sign; what its labels
+    say and its own given confidence count as alternatives. nodes: (c, conf) from -1 to 1, or null where nothing is known
+    yet; evidence that isn't known says nothing.
+    """
+    edges = staged(links.select("src", "dst", "label"))
+    given = staged(nodes.select("c", F.col("conf").alias("own")))
+    now = given.select("c", F.col("own").alias("conf"))
+    x = F.col("conf")
+    both = F.when(F.col("label").isin("and", "nand"), F.col("a")).otherwise(F.col("b"))
+    sign = F.when(F.col("label").isin("nand", "nor"), -1.0).otherwise(1.0)
+    for _ in range(rounds):
+        told = edges.join(now.where("conf IS NOT NULL").withColumnRenamed("c", "src"), "src").groupBy("dst", "label").agg(signed_and(x).alias("a"), signed_or(x).alias("b"))
+        says = told.select(F.col("dst").alias("c"), (both * sign).alias("conf"))
+        all_ = says.union(given.where("own IS NOT NULL").select("c", "own")).groupBy("c").agg(signed_or(x).alias("conf"))
+        now = staged(given.join(all_, "c", "left").select("c", "conf"))
+    return now
+
+
 def decayed(salience: Column, turns: Column) -> Column:
     return F.greatest(F.lit(0.0), salience - DECAY * turns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,26 +13,36 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
 
 
+def _grams(toks: str, sizes: list[int], each) -> Column:
+    """An array with each(n, start, phrase) of all n-grams of a token column."""
+
+    def of_size(n: int) -> Column:
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: each(F.lit(n), i, F.array_join(F.slice(toks, i, n), " ")))
+
+    return F.concat(*map(of_size, sizes))
+
+
 def ngrams(rows: DataFrame, keys: list[str], toks: str, sizes: list[int]) -> DataFrame:
     """(keys, n, start, phrase): all n-grams of a token column, start from 1."""
-    def of_size(n: int) -> Column:
-        one = lambda i: F.struct(F.lit(n).alias("n"), i.alias("start"), F.array_join(F.slice(toks, i, n), " ").alias("phrase"))
-        return F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), one)
+    one = lambda n, i, phrase: F.struct(n.alias("n"), i.alias("start"), phrase.alias("phrase"))
+    return rows.select(*keys, F.explode(_grams(toks, sizes, one)).alias("g")).select(*keys, "g.*")
 
-    grams = [of_size(n) for n in sizes]
-    guarded = [F.when(F.size(toks) >= n, g).otherwise(F.array().cast("array<struct<n:int,start:int,phrase:string>>")) for n, g in zip(sizes, grams, strict=True)]
-    return rows.select(*keys, F.explode(F.concat(*guarded)).alias("g")).select(*keys, "g.*")
 
+def phrase_dictionary(texts: DataFrame, sizes: list[int], at_least: int) -> DataFrame:
+    """(phrase, n_texts): every n-gram found in so many texts (key, toks) or more.
 
-def phrase_dictionary(texts: DataFrame, sizes: list[int], at_least: int, limit: int) -> DataFrame:
-    """(phrase, n_texts): n-grams found in enough texts (key, toks), the most frequent first up to the limit."""
-    seen = ngrams(texts, ["key"], "toks", sizes).select("key", "phrase").distinct()
-    counts = seen.groupBy("phrase").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= at_least)
-    return counts.orderBy(F.desc("n_texts"), "phrase").limit(limit)
+    Each text gives its distinct n-grams, so that one long text counts once; sums are taken in each task before the shuffle.
+    """
+    seen = texts.select(F.explode(F.array_distinct(_grams("toks", sizes, lambda _, __, phrase: phrase))).alias("phrase"))
+    return seen.groupBy("phrase").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= at_least)
 
 
 def gazetteer(rows: DataFrame, keys: list[str], toks: str, phrases: DataFrame, sizes: list[int]) -> DataFrame:
-    """(keys, phrase, start, end): every place where a phrase of the dictionary stands on token boundaries; end exclusive."""
+    """(keys, phrase, start, end): every place where a phrase of the dictionary stands on token boundaries; end exclusive.
+
+    The dictionary may be of any size: it is a table that meets the distinct n-grams of the rows.
+    """
     hits = ngrams(rows, keys, toks, sizes).join(phrases.select("phrase"), "phrase")
     return hits.select(*keys, "phrase", "start", (F.col("start") + F.col("n")).alias("end"))
 
@@ -66,23 +77,36 @@ def longest(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.join(beaten, [*keys, "start", "end"], "left_anti").select(spans.columns)
 
 
+def overlap_groups(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `_group`: spans of a text that hang together over overlaps get one number."""
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("_opens", F.when(F.coalesce(F.col("start") < before, F.lit(False)), 0).otherwise(1))
+    return opens.withColumn("_group", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
 def greedy(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans left after dropping, again and again, the one with most overlaps; of several the shorter, then the later one.
 
-    One text's spans go to one task: a text is bounded, and the choice is sequential.
+    Only spans that hang together compete, so the choice is made for each such group; spans without overlap stay
+    as they are. Within a group the numbers of overlaps are kept and corrected as spans go.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows.sort_values(["start", "end"]).reset_index(drop=True)
-        while True:
-            s, e = left["start"].to_numpy(), left["end"].to_numpy()
-            n = ((s[:, None] < e[None, :]) & (s[None, :] < e[:, None])).sum(axis=1) - 1
-            if not len(n) or n.max() <= 0:
-                return left
-            worst = left.assign(n=n, size=e - s).sort_values(["n", "size", "start"], ascending=[False, True, False]).index[0]
-            left = left.drop(worst).reset_index(drop=True)
-
-    return spans.groupBy(*keys).applyInPandas(pick, spans.schema)
+        if len(rows) == 1:
+            return rows.drop(columns="_group")
+        rows = rows.sort_values(["start", "end"]).reset_index(drop=True)
+        s, e = rows["start"].to_numpy(), rows["end"].to_numpy()
+        meets = lambda i: (s < e[i]) & (s[i] < e)
+        n, left = np.array([meets(i).sum() - 1 for i in range(len(s))]), np.ones(len(s), bool)
+        while n[left].max() > 0:
+            alive = np.flatnonzero(left)
+            worst = alive[np.lexsort((-s[alive], (e - s)[alive], -n[alive]))[0]]
+            left[worst] = False
+            n[meets(worst)] -= 1
+        return rows[left].drop(columns="_group")
+
+    return overlap_groups(spans, keys).groupBy(*keys, "_group").applyInPandas(pick, spans.schema)
 
 
 def first_by_rank(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,11 +21,11 @@ def add_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("concat_graphs", """
-WITH o AS (SELECT CASE WHEN s LIKE 'o:%' THEN concat('x_', s) ELSE s END AS s, t, CASE WHEN o LIKE 'o:%' THEN concat('x_', o) ELSE o END AS o, CASE WHEN pid LIKE 'po:%' THEN concat('x_', pid) ELSE pid END AS pid FROM quads WHERE t IN ('place', 'in') AND s LIKE 'c:1%')
+WITH o AS (SELECT CASE WHEN s LIKE 'o:%' THEN concat('x_', s) ELSE s END AS s, t, CASE WHEN o LIKE 'o:%' THEN concat('x_', o) ELSE o END AS o, CASE WHEN pid LIKE 'po:%' THEN concat('x_', pid) ELSE pid END AS pid FROM quads WHERE t IN ('place', 'in'))
 SELECT s, t, o, pid FROM quads WHERE t IN ('in', 'part_of') UNION ALL SELECT s, t, o, pid FROM o WHERE pid NOT IN (SELECT pid FROM quads WHERE t IN ('in', 'part_of'))""", "star")
 def concat_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = star_graph(spark, sf_dir)
-    one, two = quads.where("t IN ('in', 'part_of')"), quads.where("t IN ('place', 'in', 'urgent') AND s LIKE 'c:1%'")
+    one, two = quads.where("t IN ('in', 'part_of')"), quads.where("t IN ('place', 'in', 'urgent')")
     return mutate.concatenated(one, two, "x_", lambda c: c.rlike("^p?o:"), ("urgent",)).select("s", "t", "o", "pid")
 
 
@@ -77,7 +77,7 @@ WITH {_REP} SELECT coalesce(rep.new, q.s) AS s, q.t, q.o, min(q.pid) AS pid FROM
 UNION ALL SELECT coalesce(rep.new, q.s), q.t, q.o, q.pid FROM quads q LEFT JOIN rep ON rep.old = q.s WHERE q.t = 'place'""", "star")
 def merge_congruence(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = star_graph(spark, sf_dir).where("t = 'place' OR (t = 'type' AND s LIKE 'c:%')")
-    return mutate.merged(quads, _neighbours(spark, sf_dir)).select("s", "t", "o", "pid")
+    return mutate.merged(quads, _neighbours(spark, sf_dir).withColumn("graph_id", F.lit("g1"))).select("s", "t", "o", "pid")
 
 
 @query("merge_metalinks", f"WITH {_REP} SELECT DISTINCT coalesce(rep.new, q.s) AS src, q.o AS dst, CASE WHEN rep.new = rep.old THEN 'ref' ELSE 'rref' END AS label FROM quads q JOIN rep ON rep.old = q.s WHERE q.t = 'place'", "star")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators import salience as rel
-from quadloom.operators.closure import closure, reach, type_edges, types
+from quadloom.operators.closure import closure, paths, reach, type_edges, types
 from quadloom.operators.components import connected_components
+from quadloom.operators.retrieve import pruned
 from quadloom.plans.matching import TY
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import event_graph, star_graph, star_salience
+from quadloom.sources.staging import staged
 
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 
@@ -34,14 +36,13 @@ def type_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("structure", """
 WITH RECURSIVE e(a, b) AS (SELECT pid, s FROM quads WHERE t = 'place' UNION ALL SELECT pid, o FROM quads WHERE t = 'place' UNION ALL SELECT s, pid FROM quads WHERE t = 'in' UNION ALL SELECT pid, o FROM quads WHERE t = 'in'),
-r(c, x) AS (SELECT pid, pid FROM quads WHERE t = 'place' AND s IN (SELECT concat('c:', c_custkey) FROM customer WHERE c_custkey % 20 = 0) UNION SELECT r.c, e.b FROM r JOIN e ON e.a = r.x)
+r(c, x) AS (SELECT pid, pid FROM quads WHERE t = 'place' UNION SELECT r.c, e.b FROM r JOIN e ON e.a = r.x)
 SELECT c, x FROM r""", "star")
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = star_graph(spark, sf_dir)
     place, where = quads.where("t = 'place'"), quads.where("t = 'in'")
     edges = place.select(F.col("pid").alias("src"), F.col("s").alias("dst")).union(place.select("pid", "o")).union(where.select("s", "pid")).union(where.select("pid", "o"))
-    some = _read(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c:"), "c_custkey").alias("s"))
-    start = place.join(some, "s", "left_semi").select(F.col("pid").alias("c"), F.col("pid").alias("sup"))
+    start = place.select(F.col("pid").alias("c"), F.col("pid").alias("sup"))
     return closure(start, edges).select("c", F.col("sup").alias("x"))
 
 
@@ -100,12 +101,12 @@ def parent_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bfs_tree", """
 WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM quads WHERE t IN ('part_of', 'in') UNION SELECT o, s FROM quads WHERE t IN ('part_of', 'in')),
-d(node, depth) AS (SELECT 'world', 0 UNION SELECT e.b, d.depth + 1 FROM d JOIN e ON e.a = d.node WHERE d.depth < 4), m AS (SELECT node, min(depth) AS depth FROM d GROUP BY node)
+d(node, depth) AS (SELECT 'world', 0 UNION SELECT e.b, d.depth + 1 FROM d JOIN e ON e.a = d.node WHERE d.depth < 12), m AS (SELECT node, min(depth) AS depth FROM d GROUP BY node)
 SELECT m.node, CAST(m.depth AS INTEGER) AS depth, min(p.node) AS parent FROM m LEFT JOIN e ON e.a = m.node LEFT JOIN m p ON p.node = e.b AND p.depth = m.depth - 1 GROUP BY m.node, m.depth""", "star")
 def bfs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = star_graph(spark, sf_dir)
     edges = quads.where("t IN ('part_of', 'in')").select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    depth = reach(quads.where("o = 'world'").select(F.col("o").alias("c")).distinct(), edges, 4).select("node", F.col("hop").alias("depth"))
+    depth = reach(quads.where("o = 'world'").select(F.col("o").alias("c")).distinct(), edges).select("node", F.col("hop").alias("depth"))
     both = edges.union(edges.select("dst", "src"))
     up = both.join(depth.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("src").alias("p"), (F.col("depth") + 1).alias("depth"))
     parent = up.groupBy("node", "depth").agg(F.min("p").alias("parent"))
@@ -116,17 +117,8 @@ def bfs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM quads WHERE t = 'type' AND s NOT LIKE '%:%'), r(x, path) AS (SELECT a, a FROM e UNION SELECT e.b, concat(r.path, ' -> ', e.b) FROM r JOIN e ON e.a = r.x)
 SELECT path FROM r WHERE x NOT IN (SELECT a FROM e)""", "star")
 def ancestor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadloom.sources.staging import staged
-
-    edges = staged(type_edges(star_graph(spark, sf_dir)).where("src NOT LIKE '%:%'").distinct())
-    rows, done = edges.select(F.col("src").alias("x"), F.col("src").alias("path")).distinct(), None
-    for _ in range(30):
-        leaf = rows.join(edges, F.col("x") == F.col("src"), "left_anti").select("path")
-        done = leaf if done is None else done.union(leaf)
-        rows = staged(rows.join(edges, F.col("x") == F.col("src")).select(F.col("dst").alias("x"), F.concat_ws(" -> ", "path", "dst").alias("path")).distinct())
-        if rows.isEmpty():
-            break
-    return done
+    edges = type_edges(star_graph(spark, sf_dir)).where("src NOT LIKE '%:%'")
+    return paths(edges).select("path")
 
 
 @query("classify_roots", f"WITH RECURSIVE {TY} SELECT c, bool_or(sup = 'entity') AS entity_like, bool_or(sup IN ('buy', 'include', 'provide', 'event')) AS predicate_like FROM ty GROUP BY c", "star")
@@ -142,18 +134,7 @@ def concrete_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(above, ["c", "sup"], "left_anti").groupBy("c").agg(F.min("sup").alias("kind"))
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """place and contain facts of the customers with a key under 50."""
-    quads = star_graph(spark, sf_dir)
-    some = _read(spark, sf_dir, "customer").where("c_custkey < 50").select(F.concat(F.lit("c:"), "c_custkey").alias("s"))
-    place = quads.where("t = 'place'").join(some, "s", "left_semi").select(quads.columns)
-    contain = quads.where("t = 'contain'").join(place.select(F.col("o").alias("s")), "s", "left_semi").select(quads.columns)
-    return place.union(contain)
-
-
-_SAL0 = """pl AS (SELECT concat('po:', o_orderkey) AS pid, concat('c:', o_custkey) AS s, concat('o:', o_orderkey) AS o FROM orders WHERE o_custkey < 50),
-co AS (SELECT q.pid, q.s, q.o FROM quads q JOIN pl ON pl.o = q.s WHERE q.t = 'contain'), f AS (SELECT * FROM pl UNION ALL SELECT * FROM co),
-a AS (SELECT pid, s AS c FROM f UNION ALL SELECT pid, o FROM f), nodes AS (SELECT c FROM a UNION SELECT pid FROM a),
+_SAL0 = """f AS MATERIALIZED (SELECT pid, s, o FROM quads WHERE t IN ('place', 'contain')), a AS MATERIALIZED (SELECT pid, s AS c FROM f UNION ALL SELECT pid, o FROM f), nodes AS (SELECT c FROM a UNION SELECT pid FROM a),
 given AS (SELECT concat('c:', c_custkey) AS c, least(1.0, greatest(0.0, c_acctbal / 10000)) AS salience FROM customer UNION ALL SELECT concat('o:', o_orderkey), CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.5 END FROM orders UNION ALL SELECT concat('p:', p_partkey), p_size / 50.0 FROM part),
 s0 AS (SELECT n.c, coalesce(CAST(g.salience AS DOUBLE), 0.0) AS salience FROM nodes n LEFT JOIN given g ON g.c = n.c)"""
 
@@ -166,7 +147,7 @@ def _salience_sql(rounds: int) -> str:
 
 
 for _n in (1, 5):
-    query(f"salience_{_n}", _salience_sql(_n), "star")(lambda spark, d, n=_n: rel.propagate(_small(spark, d), star_salience(spark, d), n).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience")))
+    query(f"salience_{_n}", _salience_sql(_n), "star")(lambda spark, d, n=_n: rel.propagate(star_graph(spark, d).where("t IN ('place', 'contain')"), star_salience(spark, d), n).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience")))
 
 
 @query("salience_matvec", """
@@ -205,12 +186,19 @@ def conf_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("confidence_prop", """
-WITH li AS (SELECT l_orderkey AS k, product(1 - l_discount) AS conf FROM lineitem GROUP BY l_orderkey)
-SELECT concat('c:', o_custkey) AS c, round(1 - product(1 - conf), 6) AS conf FROM li JOIN orders ON o_orderkey = k GROUP BY o_custkey""")
+WITH l AS (SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN -l_discount ELSE 1 - l_discount END AS x FROM lineitem), o AS (SELECT k, CASE WHEN min(x) >= 0 THEN product(x) ELSE product(1 + least(x, 0)) - 1 END AS x FROM l GROUP BY k),
+g AS (SELECT o_custkey AS c, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END AS side, CASE WHEN max(x) >= 0 THEN 1 - product(1 - greatest(x, 0)) ELSE -product(-x) END AS v FROM o JOIN orders ON o_orderkey = k GROUP BY 1, 2), h AS (SELECT c, side * v AS v FROM g)
+SELECT concat('c:', c) AS c, round(CASE WHEN max(v) >= 0 THEN 1 - product(1 - greatest(v, 0)) ELSE -product(-v) END + 1e-9, 6) AS conf FROM h GROUP BY c""")
 def confidence_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rel.all_of(1 - F.col("l_discount")).alias("conf"))
-    owner = star_graph(spark, sf_dir).where("t = 'place'").select("o", F.col("s").alias("c"))
-    return lines.withColumn("o", F.concat(F.lit("o:"), "l_orderkey")).join(owner, "o").groupBy("c").agg(F.round(rel.any_of(F.col("conf")), 6).alias("conf"))
+    """Lines are evidence for their order, returned ones against it; orders are evidence for their customer, pending ones against."""
+    li, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    line = F.concat_ws("_", F.lit("li"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.monotonically_increasing_id())
+    rows = staged(li.select(line.alias("c"), F.concat(F.lit("o:"), "l_orderkey").alias("o"), F.when(F.col("l_returnflag") == "R", -F.col("l_discount")).otherwise(1 - F.col("l_discount")).cast("double").alias("conf")))
+    owner = o.select(F.concat(F.lit("o:"), "o_orderkey").alias("src"), F.concat(F.lit("c:"), "o_custkey").alias("dst"), F.when(F.col("o_orderstatus") == "P", "nor").otherwise("or").alias("label"))
+    none = F.lit(None).cast("double")
+    nodes = rows.select("c", "conf").union(rows.select("o", none).distinct()).union(owner.select("dst", none).distinct())
+    links = rows.select(F.col("c").alias("src"), F.col("o").alias("dst"), F.lit("and").alias("label")).union(owner)
+    return rel.confidence(nodes, links, 2).where("c LIKE 'c:%' AND conf IS NOT NULL").select("c", F.round(F.col("conf") + 1e-9, 6).alias("conf"))
 
 
 @query("consider_salience", """
@@ -229,16 +217,12 @@ def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("turns", F.array_join(F.col("turns").cast("array<string>"), ","))
 
 
-@query("prune_attended", f"""
-WITH RECURSIVE {TY}, sal AS (SELECT concat('c:', c_custkey) AS c, least(1.0, greatest(0.0, c_acctbal / 10000)) AS v FROM customer),
-k AS (SELECT c FROM sal ORDER BY v DESC, c LIMIT 50) SELECT q.s, q.t, q.o FROM quads q WHERE q.s IN (SELECT c FROM k) OR (q.t = 'type' AND q.s IN (SELECT ty.sup FROM ty JOIN k ON k.c = ty.c))""", "star")
+@query("prune_attended", """
+WITH RECURSIVE k AS (SELECT q.pid FROM quads q JOIN customer ON concat('c:', c_custkey) = q.s WHERE q.t = 'place' ORDER BY least(1.0, greatest(0.0, c_acctbal / 10000)) DESC, q.pid LIMIT 50),
+e(a, b) AS (SELECT pid, s FROM quads UNION ALL SELECT pid, o FROM quads WHERE o IS NOT NULL UNION ALL SELECT s, pid FROM quads WHERE t IN ('type', 'in', 'part_of') UNION ALL SELECT o, pid FROM quads WHERE t = 'expr'),
+r(x) AS (SELECT pid FROM k UNION SELECT e.b FROM r JOIN e ON e.a = r.x) SELECT s, t, o FROM quads WHERE pid IN (SELECT x FROM r)""", "star")
 def prune_attended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty orders of the most salient customers and all that defines them."""
     quads = star_graph(spark, sf_dir)
-    keep = star_salience(spark, sf_dir).where("c LIKE 'c:%'").orderBy(F.desc("salience"), "c").limit(50).select("c")
-    needed = types(quads).join(keep, "c", "left_semi").select(F.col("sup").alias("s")).distinct()
-    facts = quads.join(keep.withColumnRenamed("c", "s"), "s", "left_semi").select("s", "t", "o", "pid")
-    kinds = quads.where("t = 'type'").join(needed, "s", "left_semi").select("s", "t", "o", "pid")
-    return facts.union(kinds).dropDuplicates(["pid"]).select("s", "t", "o")
-
-
-
+    keep = quads.where("t = 'place'").join(star_salience(spark, sf_dir).withColumnRenamed("c", "s"), "s").orderBy(F.desc("salience"), "pid").limit(50)
+    return pruned(quads, keep.select("graph_id", "pid"), ["in", "part_of"], ["expr"]).select("s", "t", "o")

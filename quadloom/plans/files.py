@@ -12,12 +12,13 @@ from quadloom.sources.graphs import event_graph, star_graph
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 
 
-@query("src_files")
+@query("src_files", "SELECT CAST(sum(len(pid) + len(s) + len(o) + 11) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_facts FROM quads WHERE t = 'place'", "star")
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star graph's place facts written as text files, and listed again."""
     path = doc.scratch(spark, "text")
     doc.fact_lines(star_graph(spark, sf_dir).where("t = 'place'")).write.text(path)
-    return doc.read_files(spark, path, "*.txt").select(F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", ";")).cast("long").alias("n_blocks"))
+    files = doc.read_files(spark, path, "*.txt")
+    return files.agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", ";")) - 1).alias("n_facts"))
 
 
 @query("src_kg_blocks", "SELECT s, t, o, pid FROM quads WHERE t IN ('place', 'urgent')", "star")

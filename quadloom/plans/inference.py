@@ -45,7 +45,7 @@ def chain_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE r(s, o) AS (SELECT s, o FROM quads WHERE t = 'in' UNION SELECT r.s, q.o FROM r JOIN quads q ON q.t = 'part_of' AND q.s = r.o)
 SELECT s, o FROM r WHERE (s, o) NOT IN (SELECT (s, o) FROM quads WHERE t = 'in')""", "star")
 def chain_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.chain(star_graph(spark, sf_dir), [LIFT], 10).select("s", "o")
+    return infer.chain(star_graph(spark, sf_dir), [LIFT]).select("s", "o")
 
 
 @query("apply_rules", "SELECT b.o AS s, 'hosts' AS t, a.s AS o, CAST(count(*) AS BIGINT) AS n FROM quads a JOIN quads b ON b.s = a.s AND b.t = 'in' WHERE a.t = 'place' GROUP BY b.o, a.s", "star")
@@ -63,7 +63,7 @@ def dedupe_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = star_graph(spark, sf_dir)
     made = infer.apply(infer.solutions(quads, LIFT), LIFT)
     before = infer.apply(infer.solutions(quads.where("t = 'part_of' OR s LIKE 's:%'"), LIFT), LIFT)
-    return infer.unfired(made, before.select("rule", "evidence").distinct()).select("evidence")
+    return infer.unfired(made, before.select("graph_id", "rule", "evidence").distinct()).select("evidence")
 
 
 @query("provenance", """
@@ -102,8 +102,8 @@ def affirm_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.sources.staging import staged
 
     quads = staged(star_graph(spark, sf_dir).where("t IN ('contain', 'not', 'maybe')"))
-    of = quads.where("t = 'contain'").select("pid", (F.expr("try_cast(substring(s, 3) AS BIGINT)") % 3).alias("k"))
-    out = infer.rejected(infer.affirmed(quads, of.where("k = 0").select("pid")), of.where("k = 1").select("pid"))
+    of = quads.where("t = 'contain'").select("graph_id", "pid", (F.expr("try_cast(substring(s, 3) AS BIGINT)") % 3).alias("k"))
+    out = infer.rejected(infer.affirmed(quads, of.where("k = 0").select("graph_id", "pid")), of.where("k = 1").select("graph_id", "pid"))
     count = lambda mark: F.sum(F.when(F.col("t") == mark, 1).otherwise(0)).cast("long")
     marks = out.where("t IN ('not', 'maybe')").select(F.col("s").alias("pid"), "t")
     name = F.when(F.col("k") == 0, "affirmed").when(F.col("k") == 1, "rejected").otherwise("left")
@@ -133,16 +133,13 @@ def assemble_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.where("n_pre > 0 AND n_post > 0")
 
 
-@query("rules_roundtrip")
+@query("rules_roundtrip", "SELECT q.o AS rule, CAST(count(*) AS BIGINT) AS n FROM quads q JOIN quads p ON p.s = q.s AND p.t = 'place' WHERE q.t = 'type' AND q.s LIKE 'c:%' GROUP BY q.o", "star")
 def rules_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules found in the data, one for each segment that buys, written to and read from the rule store, then solved."""
-    from quadloom.sources.rules import read_rules, write_rules
+    """Rules found in the data, one for each segment that buys, written to and read from the rule store, then solved all at once."""
+    from quadloom.sources.rules import read_edges, write_edges
 
     quads = star_graph(spark, sf_dir)
-    segments = [r.o for r in quads.where("t = 'type' AND s LIKE 'c:%'").select("o").distinct().orderBy("o").limit(50).collect()]
-    rules = [Rule(s, [("?c", "type", s), ("?c", "place", "?o")], [("?o", "from", s)]) for s in segments]
-    out = None
-    for rule in read_rules(spark, write_rules(spark, rules)):
-        n = infer.solutions(quads, rule).agg(F.lit(rule.name).alias("rule"), F.count("*").alias("n"))
-        out = n if out is None else out.union(n)
-    return out
+    segments = quads.where("t = 'type' AND s LIKE 'c:%'").select(F.col("o").alias("rule")).distinct()
+    edges = segments.select("rule", F.explode(F.expr("array(named_struct('side', 'pre', 'nth', 0, 's', '?c', 't', 'type', 'o', rule), named_struct('side', 'pre', 'nth', 1, 's', '?c', 't', 'place', 'o', '?o'), named_struct('side', 'post', 'nth', 0, 's', '?o', 't', 'from', 'o', rule))")).alias("e")).select("rule", "e.*", F.lit(None).cast("string").alias("pid"))
+    stored = read_edges(spark, write_edges(edges))
+    return infer.solve_alike(quads, stored.where("side = 'pre'")).groupBy("rule").agg(F.count("*").alias("n"))

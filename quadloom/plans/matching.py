@@ -135,6 +135,21 @@ def pull_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.within_budget(_supplied(spark, sf_dir).groupBy("node").agg(F.count("*").alias("n")), 100)
 
 
+@query("pull_knowledge", """
+WITH k AS (SELECT concat('s:', s_suppkey) AS c, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier QUALIFY r <= 20), e AS (SELECT k.c, k.r, q.o AS node FROM quads q JOIN k ON k.c = q.s WHERE q.t = 'supply'),
+z AS (SELECT s AS node, pid FROM quads WHERE s LIKE 'p:%' UNION SELECT o, pid FROM quads WHERE t = 'expr'), n AS (SELECT node, CAST(count(*) AS BIGINT) AS n FROM z GROUP BY node),
+i AS (SELECT a.c AS a, a.r AS ra, b.c AS b, b.r AS rb, node, n FROM e a JOIN e b USING (node) JOIN n USING (node) WHERE a.r < b.r UNION ALL SELECT c, r, NULL, NULL, node, n FROM e JOIN n USING (node)),
+t AS (SELECT *, sum(n) OVER (ORDER BY b IS NULL, ra, rb, node ROWS UNBOUNDED PRECEDING) AS total FROM i) SELECT a, b, node, n FROM t WHERE total <= 100""", "star")
+def pull_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts around the twenty suppliers with most money, with their types and names, 100 facts at most."""
+    quads = star_graph(spark, sf_dir)
+    order = Window.orderBy(F.desc("s_acctbal"), "s_suppkey")
+    top = _read(spark, sf_dir, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select(F.concat(F.lit("s:"), "s_suppkey").alias("c"), F.row_number().over(order).alias("rank"))
+    near = quads.where("t = 'supply'").select(F.col("s").alias("c"), F.col("o").alias("node"))
+    facts = quads.where("s LIKE 'p:%'").select(F.col("s").alias("node"), "pid").union(quads.where("t = 'expr'").select("o", "pid"))
+    return retrieve.pull(top, near, facts, 100)
+
+
 @query("khop", """
 WITH e AS (SELECT s AS a, o AS b FROM quads WHERE t IN ('part_of', 'in') UNION SELECT o, s FROM quads WHERE t IN ('part_of', 'in')),
 one AS (SELECT DISTINCT b AS node FROM e WHERE a = 'r:0' AND b <> 'r:0'), two AS (SELECT DISTINCT e.b AS node FROM e JOIN one ON one.node = e.a WHERE e.b <> 'r:0' AND e.b NOT IN (SELECT node FROM one))
@@ -146,21 +161,22 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("subsumption", """
-WITH p AS (SELECT DISTINCT s AS c, o AS x FROM quads WHERE t = 'supply' AND s IN (SELECT concat('s:', s_suppkey) FROM supplier)), n AS (SELECT c, count(*) AS n FROM p GROUP BY c)
-SELECT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c GROUP BY a.c, b.c, n.n HAVING count(*) * 10 >= n.n * 3""", "star")
+WITH p AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS x FROM lineitem), n AS (SELECT c, count(*) AS n FROM p GROUP BY c)
+SELECT concat('o:', a.c) AS a, concat('o:', b.c) AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c GROUP BY a.c, b.c, n.n HAVING count(*) = n.n""", "star")
 def subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = star_graph(spark, sf_dir).where("t = 'supply'").select(F.col("s").alias("c"), F.col("o").alias("x")).distinct()
-    return retrieve.subsets(sets, share=0.3)
+    """Orders whose parts are all in another order."""
+    sets = star_graph(spark, sf_dir).where("t = 'contain'").select(F.col("s").alias("c"), F.col("o").alias("x")).distinct()
+    return retrieve.subsets(sets)
 
 
 @query("maximal_sets", """
 WITH p AS (SELECT DISTINCT concat('o:', l_orderkey) AS c, concat('p:', l_partkey) AS x FROM lineitem), n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
-inside AS (SELECT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c JOIN n m ON m.c = b.c WHERE n.n <= 2 GROUP BY a.c, b.c, n.n, m.n HAVING count(*) = n.n AND (m.n > n.n OR b.c < a.c))
-SELECT c FROM n WHERE n <= 2 AND c NOT IN (SELECT a FROM inside)""")
+inside AS (SELECT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c JOIN n m ON m.c = b.c GROUP BY a.c, b.c, n.n, m.n HAVING count(*) = n.n AND (m.n > n.n OR b.c < a.c))
+SELECT c FROM n WHERE c NOT IN (SELECT a FROM inside)""")
 def maximal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     sets = li.select(F.concat(F.lit("o:"), "l_orderkey").alias("c"), F.concat(F.lit("p:"), "l_partkey").alias("x")).distinct()
-    return retrieve.maximal(sets, 2)
+    return retrieve.maximal(sets)
 
 
 @query("ref_candidates", f"WITH RECURSIVE {TY} SELECT q.s AS ref, q.o AS match FROM quads q WHERE q.t = 'prefer' AND q.s <> q.o AND NOT EXISTS (SELECT 1 FROM ty WHERE ty.c = q.s AND ty.sup = q.o) AND q.o NOT IN (SELECT o FROM quads WHERE t = 'type')", "star")

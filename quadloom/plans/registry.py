@@ -12,7 +12,7 @@ from quadloom.sources.graphs import EVENTS, STAR, in_duckdb
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["lookups", "matching", "closures", "inference", "changes", "texts", "ranking", "sessions", "files", "dialogue"]
+MODULES = ["lookups", "matching", "closures", "inference", "changes", "texts", "ranking", "sessions", "files", "dialogue", "references"]
 
 
 def query(name: str, sql: str | None = None, graph: str | None = None) -> Callable[[Query], Query]:

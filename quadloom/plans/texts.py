@@ -15,16 +15,16 @@ SIZES = [2, 3]
 _TOK = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')"
 _GRAMS = """g AS (SELECT key, 2 AS n, i AS start, concat(toks[i], ' ', toks[i + 1]) AS phrase FROM {src}, unnest(range(1, len(toks))) AS u(i)
 UNION ALL SELECT key, 3, i, concat(toks[i], ' ', toks[i + 1], ' ', toks[i + 2]) FROM {src}, unnest(range(1, len(toks) - 1)) AS u(i))"""
-_DICT = f"""src AS (SELECT concat('b', item_id) AS key, {_TOK} AS toks FROM benchmark UNION ALL SELECT concat('d', doc_id), {_TOK} FROM documents WHERE lang = 'en'),
-{_GRAMS.format(src='src')}, dict AS (SELECT phrase, CAST(count(DISTINCT key) AS BIGINT) AS n_texts FROM g GROUP BY phrase HAVING count(DISTINCT key) >= 5 ORDER BY n_texts DESC, phrase LIMIT 5000)"""
+_DICT = f"""src AS (SELECT concat('b', item_id) AS key, {_TOK} AS toks FROM benchmark UNION ALL SELECT concat('d', doc_id), {_TOK} FROM documents),
+{_GRAMS.format(src='src')}, dict AS (SELECT phrase, CAST(count(DISTINCT key) AS BIGINT) AS n_texts FROM g GROUP BY phrase HAVING count(DISTINCT key) >= 5)"""
 _HITS = f"""{_DICT}, turns AS (SELECT concat(conv_id, '_', turn) AS key, {_TOK} AS toks FROM conversations), {_GRAMS.format(src='turns').replace('g AS', 'h AS', 1)},
 hits AS (SELECT h.key, h.phrase, CAST(h.start AS INTEGER) AS "start", CAST(h.start + h.n AS INTEGER) AS "end" FROM h JOIN dict USING (phrase))"""
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     texts = _read(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
-    docs = _read(spark, d, "documents").where("lang = 'en'").select(F.concat(F.lit("d"), "doc_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
-    return spans.phrase_dictionary(texts.union(docs), SIZES, 5, 5000)
+    docs = _read(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
+    return spans.phrase_dictionary(texts.union(docs), SIZES, 5)
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -116,11 +116,11 @@ def ner_to_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.explode(both).alias("q")).select("q.*")
 
 
-_DOCS = "SELECT doc_id, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'"
+_DOCS = "SELECT doc_id, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "").alias("w"))
+    return _read(spark, d, "documents").select("doc_id", F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "").alias("w"))
 
 
 @query("case_counts", f"WITH d AS ({_DOCS}), t AS (SELECT unnest(w) AS form FROM d) SELECT lower(form) AS word, form, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY form HAVING count(*) >= 5")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.sources.staging import shared_dir
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: The star schema as one graph. Valid for Spark and for DuckDB; tables stand in braces.
@@ -73,14 +77,36 @@ def derived(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **tables(spark, sf_dir, ctes))
 
 
+_written: dict[tuple[str, ...], str] = {}
+
+
+def graph_table(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
+    """A derived graph, written once in a session and folder, a partition for each predicate type, and read back.
+
+    Operators ask for few types each, so their scans read those partitions alone. forget() makes the next call derive
+    the graph anew, as is needed when the tables have changed.
+    """
+    graph = derived(spark, sf_dir, ctes, name)
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/quadloom-{name}-{uuid.uuid4().hex}"
+        graph.write.partitionBy("t").parquet(path)
+        _written[key] = path
+    return spark.read.schema(graph.schema).parquet(_written[key]).select(*graph.columns)
+
+
+def forget() -> None:
+    _written.clear()
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations, customers, suppliers, parts, orders and their lines as one graph 'g1'."""
-    return derived(spark, sf_dir, STAR, "quads")
+    return graph_table(spark, sf_dir, STAR, "quads")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(graph_id, s, t, o, pid, turn, value) of every user's events."""
-    return derived(spark, sf_dir, EVENTS, "acts")
+    return graph_table(spark, sf_dir, EVENTS, "acts")
 
 
 def star_salience(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.operators.infer import Rule
 from quadloom.sources.staging import shared_dir
@@ -23,6 +23,19 @@ def write_rules(spark: SparkSession, rules: list[Rule], path: str | None = None)
     return path
 
 
+def write_edges(edges: DataFrame, path: str | None = None) -> str:
+    """Write a table of pattern edges (EDGES), however many, to a store without conditions, and return its path."""
+    spark = edges.sparkSession
+    path = path or f"{shared_dir(spark)}/quadloom-rules-{uuid.uuid4().hex}"
+    edges.select("rule", "side", "nth", "s", "t", "o", "pid").write.mode("overwrite").parquet(f"{path}/edges")
+    spark.createDataFrame([], CONDITIONS).write.mode("overwrite").parquet(f"{path}/conditions")
+    return path
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EDGES).parquet(f"{path}/edges")
+
+
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     """The rules of a store, by name; rules are program text, so they are few."""
     edges = sorted(spark.read.parquet(f"{path}/edges").collect(), key=lambda r: (r.rule, r.side, r.nth))

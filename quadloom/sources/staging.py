@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where a local session names none (tests).
+
+    On a cluster without the setting this is an error, as executors don't share temporary folders.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-quadloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -1,11 +1,13 @@
 """Small graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom.operators import infer, lookup, mutate, retrieve, spans
 from quadloom.operators import salience as rel
-from quadloom.operators.closure import closure, reach, types
+from quadloom.operators.closure import closure, paths, reach, types
 from quadloom.operators.components import connected_components
 from quadloom.operators.infer import Rule
 from quadloom.operators.match import match
@@ -66,14 +68,15 @@ def test_inference(spark):
     assert [(r.s, r.o) for r in new.collect()] == [("john", "sally")]
     made = infer.apply(infer.solutions(g, rule), rule)
     assert {(r.src, r.label) for r in infer.provenance(made).where("label = 'and'").collect()} == {("jlm", "and"), ("mls", "and")}
-    assert infer.unfired(made, made.select("rule", "evidence")).count() == 0
+    assert infer.unfired(made, made.select("graph_id", "rule", "evidence")).count() == 0
     assert infer.chain(g, [rule], 3).exceptAll(new).count() == 0
 
 
 def test_merge_is_congruent_and_orderless(spark):
     g = quads(spark, ("a", "type", "k", "p1"), ("b", "type", "k", "p2"), ("p1", "sure", None, "p3"), ("p2", "sure", None, "p4"), ("c", "likes", "b", "p5"))
-    one = mutate.merged(g, spark.createDataFrame([("a", "b")], "a string, b string"))
-    two = mutate.merged(g, spark.createDataFrame([("b", "a")], "a string, b string"))
+    pair = "graph_id string, a string, b string"
+    one = mutate.merged(g, spark.createDataFrame([("g", "a", "b")], pair))
+    two = mutate.merged(g, spark.createDataFrame([("g", "b", "a")], pair))
     want = {("a", "type", "k", "p1"), ("p1", "sure", None, "p3"), ("p1", "sure", None, "p4"), ("c", "likes", "a", "p5")}
     for m in (one, two):
         assert {(r.s, r.t, r.o, r.pid) for r in m.collect()} == want
@@ -109,7 +112,14 @@ def test_confidence_and_salience(spark):
 
 def test_maximal_and_subsets(spark):
     sets = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "1"), ("c", "2"), ("d", "3")], "c string, x string")
-    assert {r.c for r in retrieve.maximal(sets, 2).collect()} == {"b", "d"}
+    rng = random.Random(2)
+    many = {f"s{i}": {str(rng.randrange(9)) for _ in range(rng.randint(1, 7))} for i in range(80)}
+    rows = spark.createDataFrame([(c, x) for c, xs in many.items() for x in xs], "c string, x string")
+    assert {r.c for r in retrieve.maximal(rows).collect()} == {a for a, xs in many.items() if not any(xs < ys or (xs == ys and b < a) for b, ys in many.items())}
+    for share in (1.0, 0.6):
+        want = {(a, b) for a, xs in many.items() for b, ys in many.items() if a != b and 10 * len(xs & ys) >= len(xs) * round(10 * share)}
+        assert {(r.a, r.b) for r in retrieve.subsets(rows, share).collect()} == want
+    assert {r.c for r in retrieve.maximal(sets).collect()} == {"b", "d"}
     assert {(r.a, r.b) for r in retrieve.subsets(sets).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "b")}
 
 
@@ -120,3 +130,65 @@ def test_spans(spark):
     assert hits.count() == 4
     assert {r.phrase for r in spans.without_subsets(hits, ["key"]).collect()} == {"the fox and the hound", "lone wolf"}
     assert {r.start for r in spans.greedy(spark.createDataFrame([(1, 1, 4), (1, 3, 6), (1, 5, 7)], "key long, start long, end long"), ["key"]).collect()} == {1, 5}
+
+
+def test_greedy_against_plain_python(spark):
+    rng = random.Random(4)
+    texts = {k: sorted({(a := rng.randrange(40), a + rng.randint(1, 6)) for _ in range(rng.randint(1, 14))}) for k in range(30)}
+
+    def plain(left):
+        while True:
+            n = {x: sum(x[0] < y[1] and y[0] < x[1] for y in left) - 1 for x in left}
+            if max(n.values()) == 0:
+                return set(left)
+            left = [x for x in left if x != min(left, key=lambda x: (-n[x], x[1] - x[0], -x[0]))]
+
+    rows = spark.createDataFrame([(k, a, b) for k, xs in texts.items() for a, b in xs], "key long, start long, end long")
+    got = {}
+    for r in spans.greedy(rows, ["key"]).collect():
+        got.setdefault(r.key, set()).add((r.start, r.end))
+    assert got == {k: plain(xs) for k, xs in texts.items()}
+
+
+def test_deep_chains_are_finished(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)], "src string, dst string")
+    start = spark.createDataFrame([("n000", "n000")], "c string, sup string")
+    assert closure(start, edges).count() == 41
+    with pytest.raises(RuntimeError):
+        closure(start, edges, max_rounds=3)
+    assert closure(start, edges, max_rounds=41).count() == 41
+
+
+def test_paths_end_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
+    assert {r.path for r in paths(edges).collect()} == {"a -> b -> c", "b -> c -> a", "c -> a -> b", "x -> y"}
+
+
+def test_graphs_stay_apart(spark):
+    rows = [(g, *f) for g in ("g1", "g2") for f in (("a", "type", "k", "p1"), ("b", "type", "k", "p2"), ("p2", "maybe", None, "p3"))]
+    g = spark.createDataFrame(rows, FACT)
+    out = mutate.merged(g, spark.createDataFrame([("g1", "a", "b")], "graph_id string, a string, b string"))
+    assert {(r.graph_id, r.s, r.t, r.pid) for r in out.collect()} == {("g1", "a", "type", "p1"), ("g1", "p1", "maybe", "p3"), ("g2", "a", "type", "p1"), ("g2", "b", "type", "p2"), ("g2", "p2", "maybe", "p3")}
+    sure = infer.affirmed(g, spark.createDataFrame([("g1", "p2")], "graph_id string, pid string"))
+    assert [(r.graph_id) for r in sure.where("t = 'maybe'").collect()] == ["g2"]
+    denied = infer.rejected(g, spark.createDataFrame([("g2", "p2")], "graph_id string, pid string"))
+    assert {(r.graph_id, r.t) for r in denied.where("s = 'p2'").collect()} == {("g1", "maybe"), ("g2", "not")}
+    made = spark.createDataFrame([("g1", "r", "x", "1"), ("g2", "r", "x", "1")], "graph_id string, rule string, evidence string, pid string")
+    assert [r.graph_id for r in infer.unfired(made, made.where("graph_id = 'g1'").select("graph_id", "rule", "evidence")).collect()] == ["g2"]
+
+
+def test_null_objects_are_found(spark, people):
+    asked = spark.createDataFrame([("peter", "happy", None), ("peter", "likes", None)], "s string, t string, o string")
+    assert [(r.s, r.t) for r in lookup.existing(asked, people).collect()] == [("peter", "happy")]
+    assert [r.pid for r in lookup.predicates(people, asked).collect()] == ["x_3"]
+
+
+def test_chain_finds_what_naive_rounds_find(spark):
+    rng = random.Random(6)
+    facts = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(18)}
+    g = quads(spark, *[(a, "to", b, f"p{i}") for i, (a, b) in enumerate(sorted(facts))])
+    got = {(r.s, r.o) for r in infer.chain(g, [Rule("t", [("?x", "to", "?y"), ("?y", "to", "?z")], [("?x", "to", "?z")])]).collect()}
+    whole = set(facts)
+    while more := {(a, d) for a, b in whole for c, d in whole if b == c} - whole:
+        whole |= more
+    assert got == whole - facts
