@@ -188,7 +188,7 @@ def conf_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("confidence_prop", """
 WITH l AS (SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN -l_discount ELSE 1 - l_discount END AS x FROM lineitem), o AS (SELECT k, CASE WHEN min(x) >= 0 THEN product(x) ELSE product(1 + least(x, 0)) - 1 END AS x FROM l GROUP BY k),
 g AS (SELECT o_custkey AS c, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END AS side, CASE WHEN max(x) >= 0 THEN 1 - product(1 - greatest(x, 0)) ELSE -product(-x) END AS v FROM o JOIN orders ON o_orderkey = k GROUP BY 1, 2), h AS (SELECT c, side * v AS v FROM g)
-SELECT concat('c:', c) AS c, round(CASE WHEN max(v) >= 0 THEN 1 - product(1 - greatest(v, 0)) ELSE -product(-v) END + 1e-9, 6) AS conf FROM h GROUP BY c""")
+SELECT concat('c:', c) AS c, round(CASE WHEN max(v) >= 0 THEN 1 - product(1 - greatest(v, 0)) ELSE -product(-v) END + 1e-9, 6) + 0.0 AS conf FROM h GROUP BY c""")
 def confidence_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are evidence for their order, returned ones against it; orders are evidence for their customer, pending ones against."""
     li, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
@@ -198,7 +198,7 @@ def confidence_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("double")
     nodes = rows.select("c", "conf").union(rows.select("o", none).distinct()).union(owner.select("dst", none).distinct())
     links = rows.select(F.col("c").alias("src"), F.col("o").alias("dst"), F.lit("and").alias("label")).union(owner)
-    return rel.confidence(nodes, links, 2).where("c LIKE 'c:%' AND conf IS NOT NULL").select("c", F.round(F.col("conf") + 1e-9, 6).alias("conf"))
+    return rel.confidence(nodes, links, 2).where("c LIKE 'c:%' AND conf IS NOT NULL").select("c", (F.round(F.col("conf") + 1e-9, 6) + 0.0).alias("conf"))
 
 
 @query("consider_salience", """
