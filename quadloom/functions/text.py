@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Contractions and what they stand for.
-CONTRACTIONS = {"can't": "can not", "don't": "do not", "i'm": "i am", "it's": "it is", "i've": "i have", "isn't": "is not", "won't": "will not", "you're": "you are"}
+#: Verbs that take n't, irregular ones with what they stand for, pronouns with their verbs, and question words with is.
+NEGATED = "are could did do does had has have is must need should was were would".split()
+IRREGULAR = {"can't": "can not", "cannot": "can not", "won't": "will not", "shan't": "shall not", "ain't": "is not", "let's": "let us", "y'all": "you all", "gonna": "going to", "wanna": "want to", "gotta": "got to"}
+PRONOUNS = {"i": ["'m am", "'ve have", "'ll will", "'d would"], "you": ["'re are", "'ve have", "'ll will", "'d would"], "we": ["'re are", "'ve have", "'ll will", "'d would"], "they": ["'re are", "'ve have", "'ll will", "'d would"], "he": ["'s is", "'ll will", "'d would"], "she": ["'s is", "'ll will", "'d would"], "it": ["'s is", "'ll will", "'d would"]}
+ASKED = "what where who how that there here when why".split()
+#: Forms that are other words without their apostrophe, and so are left alone there.
+AMBIGUOUS = {"we're", "we'll", "we'd", "i'll", "i'd", "he'll", "he'd", "she'll", "she'd", "it's", "shan't", "let's"}
+
+
+def contractions() -> dict[str, str]:
+    """Contractions and what they stand for, with and without the apostrophe where that is no other word."""
+    out = {f"{v}n't": f"{v} not" for v in NEGATED} | IRREGULAR | {f"{w}'s": f"{w} is" for w in ASKED}
+    out |= {p + x.split()[0]: f"{p} {x.split()[1]}" for p, xs in PRONOUNS.items() for x in xs}
+    return out | {k.replace("'", ""): v for k, v in out.items() if "'" in k and k not in AMBIGUOUS}
+
+
+CONTRACTIONS = contractions()
 
 
 def expanded(text: Column) -> Column:
-    """Contractions spelled out, word by word; others stay."""
+    """Contractions spelled out, word by word, a capital at the start kept; others stay."""
     table = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")
+
+    def whole(w: Column) -> Column:
+        found = F.try_element_at(table, F.lower(w))
+        first = F.substr(w, F.lit(1), F.lit(1))
+        capital = F.concat(F.upper(F.substr(found, F.lit(1), F.lit(1))), F.substr(found, F.lit(2), F.length(found)))
+        return F.coalesce(F.when(first != F.lower(first), capital).otherwise(found), w)
+
+    return F.array_join(F.transform(F.split(text, " "), whole), " ")
 
 
 def first_words(text: Column, n: int) -> Column:

@@ -13,6 +13,34 @@ def best(rows: DataFrame, by: list[str], order: list, n: int = 1, rank: str | No
     return out if rank else out.drop("_k")
 
 
+def allowed(candidates: DataFrame, history: DataFrame) -> DataFrame:
+    """Candidates (session, rule, form, text, mode) that a session may use after its history (session, rule, form, text, at).
+
+    `nr`: the rule wasn't used, nor was this text by any. `ur`: the rule wasn't used, or its last form would now say
+    something else; then another form. `r`: another form than the last, where the rule has several.
+    """
+    last = history.groupBy("session", "rule").agg(F.max_by(F.struct("form", "text"), "at").alias("_last"))
+    said = history.select("session", "text").distinct().withColumn("_said", F.lit(True))
+    forms = Window.partitionBy("session", "rule")
+    rows = candidates.join(last, ["session", "rule"], "left").join(said, ["session", "text"], "left")
+    again = F.max(F.when((F.col("form") == F.col("_last.form")) & (F.col("text") != F.col("_last.text")), True)).over(forms)
+    rows = rows.withColumn("_several", F.size(F.collect_set("form").over(forms)) > 1).withColumn("_changed", F.coalesce(again, F.lit(False)))
+    unused, other = F.col("_last").isNull(), F.col("form") != F.col("_last.form")
+    fits = F.when(F.col("mode") == "nr", unused & F.col("_said").isNull()).when(F.col("mode") == "ur", unused | (F.col("_changed") & other)).otherwise(unused | ~F.col("_several") | other)
+    return rows.where(fits).select(candidates.columns)
+
+
+def unused_fallbacks(sessions: DataFrame, fallbacks: DataFrame, history: DataFrame) -> DataFrame:
+    """(session, text): the first of the fallback texts (text), in their order, that a session's history (session, text) doesn't hold;
+    none if all are used up. A session that has used k different fallbacks finds one among the first k + 1."""
+    place = fallbacks.select("text", F.row_number().over(Window.orderBy("text")).alias("at"))  # program text, so few
+    used = history.join(F.broadcast(place), "text").select("session", "at").distinct()
+    taken = used.groupBy("session").agg(F.array_sort(F.collect_set("at")).alias("taken"))
+    at = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), "taken"))
+    first = sessions.select("session").distinct().join(taken, "session", "left").select("session", F.coalesce(at, F.lit(1)).alias("at"))
+    return first.join(F.broadcast(place), "at").select("session", "text")
+
+
 def score(saliences: list[Column], priority: Column, coherence: Column) -> Column:
     """Mean salience, priority, and half the coherence."""
     return F.round(sum(saliences[1:], saliences[0]) / len(saliences) + priority + 0.5 * coherence + 1e-9, 6)

@@ -48,9 +48,13 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir)
 
 
-@query("best_candidate", f"WITH {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, pid) AS k FROM sc) SELECT c, pid, score FROM r WHERE k = 1", "star")
+@query("best_candidate", f"WITH {_CAND}, r AS (SELECT sc.*, row_number() OVER (PARTITION BY sc.c ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END, score DESC, sc.pid) AS k FROM sc JOIN cand USING (pid) JOIN orders ON concat('o:', o_orderkey) = cand.o) SELECT c, pid, score FROM r WHERE k = 1", "star")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.best(_candidates(spark, sf_dir), ["c"], [F.desc("score"), "pid"]).select("c", "pid", "score")
+    """A customer's best line, those of an urgent order, which is an open question, before all others."""
+    quads = star_graph(spark, sf_dir)
+    asked = match(quads, [("?x", "place", "?o", "?q"), ("?q", "urgent", None), ("?o", "contain", "?p", "?pid")]).select("pid", F.lit(1).alias("answers")).distinct()
+    rows = _candidates(spark, sf_dir).join(asked, "pid", "left")
+    return rank.best(rows, ["c"], [F.desc_nulls_last("answers"), F.desc("score"), "pid"]).select("c", "pid", "score")
 
 
 @query("compose", f"""WITH {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, pid) AS k FROM sc)
@@ -104,21 +108,32 @@ def fill_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.filled(found, "sol", ["customer", "?X", "of", "?Z", "placed", "?Y"], names)
 
 
-@query("repetition", "SELECT c.conv_id, c.turn, c.text FROM conversations c WHERE c.role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.turn < c.turn AND b.text = c.text)")
+@query("repetition", """
+WITH l AS (SELECT o_custkey AS session, p_brand AS rule, l_suppkey AS form, p_type AS text, o_orderstatus AS st, l_returnflag AS flag, concat(strftime(o_orderdate, '%Y-%m-%d'), '|', id) AS w FROM li JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+k AS (SELECT DISTINCT session, rule, form, text, CASE flag WHEN 'R' THEN 'nr' WHEN 'A' THEN 'ur' ELSE 'r' END AS mode FROM l WHERE st = 'O'), h AS (SELECT * FROM l WHERE st <> 'O'),
+z AS (SELECT session, rule, arg_max(form, w) AS lform, arg_max(text, w) AS ltext FROM h GROUP BY 1, 2), s AS (SELECT DISTINCT session, text FROM h),
+j AS (SELECT k.*, lform, ltext, s.text IS NOT NULL AS said FROM k LEFT JOIN z USING (session, rule) LEFT JOIN s ON s.session = k.session AND s.text = k.text),
+g AS (SELECT session, rule, count(DISTINCT form) > 1 AS several, coalesce(bool_or(form = lform AND text <> ltext), false) AS changed FROM j GROUP BY 1, 2)
+SELECT session, rule, form, text, mode FROM j JOIN g USING (session, rule) WHERE CASE mode WHEN 'nr' THEN lform IS NULL AND NOT said WHEN 'ur' THEN lform IS NULL OR (changed AND form <> lform) ELSE lform IS NULL OR NOT several OR form <> lform END""", "star")
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "conversations")
-    first = c.groupBy("conv_id", "text").agg(F.min("turn").alias("first"))
-    return c.where("role = 'assistant'").join(first, ["conv_id", "text"]).where("turn = first").select("conv_id", "turn", "text")
+    """What customers may be told of the lines they have open, after those that are done: brands are rules, suppliers their forms."""
+    from quadloom.sources.graphs import STAR, derived
+
+    li = derived(spark, sf_dir, STAR, "li")
+    o, p = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "part")
+    rows = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
+    mode = F.when(F.col("l_returnflag") == "R", "nr").when(F.col("l_returnflag") == "A", "ur").otherwise("r")
+    rows = rows.select(F.col("o_custkey").alias("session"), F.col("p_brand").alias("rule"), F.col("l_suppkey").alias("form"), F.col("p_type").alias("text"), mode.alias("mode"), "o_orderstatus", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM-dd"), "id").alias("at"))
+    return rank.allowed(rows.where("o_orderstatus = 'O'").select("session", "rule", "form", "text", "mode").distinct(), rows.where("o_orderstatus <> 'O'"))
 
 
-@query("fallback", "SELECT conv_id, min(p_name) AS text FROM (SELECT DISTINCT conv_id FROM conversations), part WHERE p_partkey <= 20 AND p_partkey % 20 <> conv_id % 20 GROUP BY conv_id")
+@query("fallback", "WITH f AS (SELECT name AS text, row_number() OVER (ORDER BY name) AS at FROM (SELECT DISTINCT n_name AS name FROM nation)), u AS (SELECT DISTINCT o_custkey AS session, n_name AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) SELECT c_custkey AS session, min_by(f.text, f.at) AS text FROM customer CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.session = c_custkey AND u.text = f.text) GROUP BY c_custkey")
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fallback sentence that a conversation hasn't used; there are twenty."""
-    sentences = _read(spark, sf_dir, "part").where("p_partkey <= 20").select("p_partkey", F.col("p_name").alias("text"))
-    few = sentences.agg(F.collect_list(F.struct("text", "p_partkey")).alias("all"))
-    conv = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
-    unused = F.filter("all", lambda x: x["p_partkey"] % 20 != F.col("conv_id") % 20)
-    return conv.join(F.broadcast(few)).select("conv_id", F.array_min(F.transform(unused, lambda x: x["text"])).alias("text"))
+    """The first nation that a customer has nothing from yet, as what to fall back to."""
+    o, li, s, n = (_read(spark, sf_dir, x) for x in ("orders", "lineitem", "supplier", "nation"))
+    used = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(n, F.col("n_nationkey") == F.col("s_nationkey"))
+    sessions = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session"))
+    return rank.unused_fallbacks(sessions, n.select(F.col("n_name").alias("text")).distinct(), used.select(F.col("o_custkey").alias("session"), F.col("n_name").alias("text")))
 
 
 @query("assemble", "SELECT conv_id, string_agg(text, '. ' ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

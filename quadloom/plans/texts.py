@@ -146,11 +146,12 @@ def truecase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CASES = " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in fn.CONTRACTIONS.items())
+_FULL = f"CASE lower(w) {_CASES} END"
 
 
-@query("contractions", f"SELECT conv_id, turn, array_to_string(list_transform(string_split(replace(text, ' the ', ' don''t '), ' '), lambda w: CASE lower(w) {_CASES} ELSE w END), ' ') AS text FROM conversations")
+@query("contractions", f"SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN {_FULL} IS NULL THEN w WHEN w[1] <> lower(w[1]) THEN concat(upper(({_FULL})[1]), substr({_FULL}, 2)) ELSE {_FULL} END), ' ') AS text FROM conversations")
 def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "conversations").withColumn("text", F.expr("replace(text, ' the ', \" don't \")"))
+    c = _read(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", fn.expanded(F.col("text")).alias("text"))
 
 
@@ -159,9 +160,9 @@ def truncate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", fn.first_words(F.col("text"), 20).alias("text"))
 
 
-@query("apostrophes", "SELECT doc_id, regexp_replace(replace(replace(replace(text, ' the', ' ’the'), '’', ''''), '‘', ''''), ' +''', '''', 'g') AS text FROM documents")
+@query("apostrophes", "SELECT doc_id, regexp_replace(replace(replace(text, '’', ''''), '‘', ''''), ' +''', '''', 'g') AS text FROM documents")
 def apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").withColumn("text", F.expr("replace(text, ' the', ' ’the')"))
+    d = _read(spark, sf_dir, "documents")
     return d.select("doc_id", fn.plain_apostrophes(F.col("text")).alias("text"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("quadloom-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few bytes that are sent to all tasks without further thought.
+FEW = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """keys, stored, marked for broadcast when it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 #: Spark's setting that drops an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
