@@ -109,6 +109,25 @@ def greedy(spans: DataFrame, keys: list[str]) -> DataFrame:
     return overlap_groups(spans, keys).groupBy(*keys, "_group").applyInPandas(pick, spans.schema)
 
 
+def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("_at")).distinct()
+
+
+def reconciled(phrases: DataFrame, words: DataFrame, tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, source): one set of mentions from three sources of spans (keys, start, end).
+
+    Dictionary phrases of several words come first; recognised single words count outside of them; what a tagger found counts
+    only where it touches no phrase and covers a word that isn't recognised.
+    """
+    span = lambda rows, source: rows.select(*keys, "start", "end", F.lit(source).alias("source")).distinct()
+    taken, known = _places(phrases, keys), _places(words, keys)
+    single = span(words, "word").withColumn("_at", F.col("start")).join(taken, [*keys, "_at"], "left_anti").drop("_at")
+    places = span(tagged, "tagger").withColumn("_at", F.explode(F.sequence("start", F.col("end") - 1)))
+    touching = places.join(taken, [*keys, "_at"], "left_semi").select(*keys, "start", "end").distinct()
+    new = places.join(known, [*keys, "_at"], "left_anti").select(*keys, "start", "end", "source").distinct()
+    return span(phrases, "phrase").unionByName(single).unionByName(new.join(touching, [*keys, "start", "end"], "left_anti").select(*keys, "start", "end", "source"))
+
+
 def first_by_rank(hits: DataFrame, keys: list[str]) -> DataFrame:
     """Of hits on the same span the one with the smallest rank."""
     best = Window.partitionBy(*keys, "start", "end").orderBy("rank", "phrase")

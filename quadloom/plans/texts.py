@@ -77,12 +77,18 @@ def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.greedy(hits(spark, sf_dir).select("key", "start", "end").distinct(), ["key"])
 
 
-@query("surface_first", f"WITH {_HITS}, r AS (SELECT key, \"start\", \"end\", phrase, CASE WHEN len(phrase) % 2 = 0 THEN 0 ELSE 1 END AS rank FROM hits UNION ALL SELECT key, \"start\", \"end\", concat(phrase, '#'), 2 FROM hits) SELECT key, \"start\", \"end\", phrase FROM r QUALIFY row_number() OVER (PARTITION BY key, \"start\", \"end\" ORDER BY rank, phrase) = 1")
+_LEMMAS = _GRAMS.format(src="lem").replace("g AS", "lg AS", 1)
+
+
+@query("surface_first", f"WITH {_HITS}, lem AS (SELECT key, list_transform(toks, lambda x: regexp_replace(x, '(..)s$', '\\1')) AS toks FROM turns), {_LEMMAS}, r AS (SELECT key, \"start\", \"end\", phrase, 0 AS rank FROM hits UNION ALL SELECT key, CAST(lg.start AS INTEGER), CAST(lg.start + lg.n AS INTEGER), phrase, 1 FROM lg JOIN dict USING (phrase)) SELECT key, \"start\", \"end\", phrase FROM r QUALIFY row_number() OVER (PARTITION BY key, \"start\", \"end\" ORDER BY rank, phrase) = 1")
 def surface_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir)
-    ranked = found.withColumn("rank", F.when(F.length("phrase") % 2 == 0, 0).otherwise(1))
-    lemma = found.withColumn("phrase", F.concat("phrase", F.lit("#"))).withColumn("rank", F.lit(2))
-    return spans.first_by_rank(ranked.unionByName(lemma), ["key"]).select("key", "start", "end", "phrase")
+    """Phrases by their surface forms, and where there is none by the words without a plural s."""
+    from quadloom.sources.staging import staged
+
+    phrases, turns = staged(dictionary(spark, sf_dir)), _turns(spark, sf_dir)
+    lemmas = turns.withColumn("toks", F.transform("toks", lambda x: F.regexp_replace(x, "(..)s$", "$1")))
+    by = lambda rows, rank: spans.gazetteer(rows, ["key"], "toks", phrases, SIZES).withColumn("rank", F.lit(rank))
+    return spans.first_by_rank(by(turns, 0).unionByName(by(lemmas, 1)), ["key"]).select("key", "start", "end", "phrase")
 
 
 @query("mentions", f"WITH {_HITS}, m AS (SELECT DISTINCT key, phrase, \"start\" FROM hits) SELECT concat(phrase, '@', key, '#', \"start\") AS mention, phrase AS t FROM m")
@@ -91,9 +97,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.concat("phrase", F.lit("@"), "key", F.lit("#"), F.col("start").cast("string")).alias("mention"), F.col("phrase").alias("t"))
 
 
-@query("reconcile_mentions", f"WITH {_HITS}, l AS (SELECT * FROM hits WHERE \"end\" - \"start\" = 3), s AS (SELECT * FROM hits WHERE \"end\" - \"start\" = 2) SELECT key, phrase, \"start\", \"end\" FROM l UNION ALL SELECT key, phrase, \"start\", \"end\" FROM s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.key = s.key AND l.\"start\" < s.\"end\" AND s.\"start\" < l.\"end\")")
+@query("reconcile_mentions", f"""WITH {_HITS}, l AS (SELECT DISTINCT key, "start", "end" FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.key = a.key AND b."start" < a."end" AND a."start" < b."end" AND b."end" - b."start" > a."end" - a."start")),
+v AS (SELECT DISTINCT unnest({_TOK}) AS w FROM benchmark), c AS (SELECT concat(conv_id, '_', turn) AS key, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS ws FROM conversations),
+t AS (SELECT key, CAST(i AS INTEGER) AS i, ws[i] AS w FROM c, unnest(range(1, len(ws) + 1)) AS u(i)), f AS (SELECT t.key, t.i, t.w, v.w IS NOT NULL AS known FROM t LEFT JOIN v ON v.w = lower(t.w) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.key = t.key AND l."start" <= t.i AND t.i < l."end"))
+SELECT key, "start", "end", 'phrase' AS source FROM l UNION ALL SELECT key, i, i + 1, 'word' FROM f WHERE known UNION ALL SELECT key, i, i + 1, 'tagger' FROM f WHERE NOT known AND regexp_matches(w, '^[A-Z]')""")
 def reconcile_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.longest(hits(spark, sf_dir), ["key"]).select("key", "phrase", "start", "end")
+    """Dictionary phrases, words of the benchmark texts, and capitalised words as a tagger's finds."""
+    words = _read(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("key"), F.posexplode(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")).alias("i", "w"))
+    words = words.select("key", (F.col("i") + 1).alias("start"), (F.col("i") + 2).alias("end"), "w")
+    known = _read(spark, sf_dir, "benchmark").select(F.explode(spans.tokens(F.col("text"))).alias("_w")).distinct()
+    single = words.join(known, F.lower("w") == F.col("_w"), "left_semi")
+    return spans.reconciled(spans.longest(hits(spark, sf_dir), ["key"]), single, words.where(F.col("w").rlike("^[A-Z]")), ["key"])
 
 
 @query("ingest_arcs", f"""
@@ -145,6 +159,15 @@ def truecase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.withColumn("word", F.lower("form")).withColumn("k", F.row_number().over(best)).where("k = 1").select("word", "form")
 
 
+@query("truecase_context")
+def truecase_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversation turns in the case that the documents' words have in their context."""
+    from quadloom.operators import casing
+
+    turns = _read(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("key"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("toks"))
+    return casing.truecased(turns, *casing.case_tables(_words(spark, sf_dir).select(F.col("w").alias("toks")))).select("key", F.array_join("toks", " ").alias("text"))
+
+
 _CASES = " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in fn.CONTRACTIONS.items())
 _FULL = f"CASE lower(w) {_CASES} END"
 
