@@ -1,4 +1,8 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, none missed."""
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, none missed.
+
+SimHash fingerprints of the sets find most links first, by the tiled comparison of simhash.near_pairs; each is then held
+against the whole sets. As near pairs lie at all distances, a prefix filter finds the links that no radius would.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import text_bytes
-from quadloom.llm.simhash import SEED, keep_first, marked_rows, shingle_hashes
+from quadloom.llm.simhash import SEED, keep_first, majority, marked_rows, near_pairs, shingle_hashes
 from quadloom.operators.components import connected_components
-from quadloom.sources.staging import staged
+from quadloom.sources.staging import discard, small, staged
 
 SHINGLE = 5
 #: Texts are near copies from 4 / 5 on, so of n and m shingles at least 4 (n + m) / 9 are shared.
@@ -60,7 +64,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(row, key, n, prefix) of rows (row, text): the set's key and size, and its first shingles, rarest first.
+    """(row, key, n, fp, prefix) of rows (row, text): the set's key, size and fingerprint, and its first shingles, rarest first.
 
     Sets that share 4/5 of their union share one of their n - ceil(4n/5) + 1 first shingles, in whatever order.
     """
@@ -70,15 +74,15 @@ def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
         hashes, places = sent.value
         for part in _parts(batches):
             sets = [shingle_set(t) for t in text_bytes(part.column(1))]
-            first = []
+            first, fps = [], [majority(x) for x in sets]
             for x in sets:
                 if len(hashes) and len(x):
                     at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
                     x = x[np.lexsort((x, np.where(hashes[at] == x, places[at], 0)))]
                 first.append(x[: len(x) - (4 * len(x) + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists(first)], names=["row", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()), _lists(first)], names=["row", "key", "n", "fp", "prefix"])
 
-    return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, key long, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, key long, n long, fp long, prefix array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -90,28 +94,42 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, g array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys, with `near`: whether their whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("g").alias("y")), "b")
-    return both.select("a", "b", F.expr(NEEDED.format(shared="size(array_intersect(x, y))", n="size(x)", m="size(y)")).alias("near"))
-
-
 def _possible(a: str, b: str) -> str:
     """Two sets can be near if the shingle that they share, at places i from 0, is the first that they do; true for that one in any near pair."""
     return NEEDED.format(shared=f"least({a}.n - {a}.i, {b}.n - {b}.i)", n=f"{a}.n", m=f"{b}.n")
 
 
-def near_links(postings: DataFrame, sets_of) -> DataFrame | None:
-    """Edges (a, b) whose connected groups are those of all near pairs.
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): keys of sets whose fingerprints are equal or linked by simhash.near_pairs; each fingerprint is stood for by its smallest key."""
+    least = staged(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    equal = prints.select("fp", "key").distinct().join(least, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
+    near = near_pairs(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    postings: stored (g, i, key, n), without repeats. sets_of: gives (key, g) of the keys of a table. Star rounds
-    tie most of a large group together by comparing its members with one of them; the last round compares all pairs that are still
-    apart and share one of their first shingles.
+def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
+    """Stored edges (a, b) whose connected groups are those of all near pairs.
+
+    postings: stored (g, i, key, n), without repeats. sets_of: gives (key, g) of the keys of a stored table. first: pairs to
+    try before all others. Star rounds tie most of a large group together by comparing its members with one of them; the last
+    round compares all pairs that are still apart and share one of their first shingles.
     """
-    low, sets, tried, labels = None, sets_of(postings.select("key").distinct()), None, None
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Only the sets that some pair needs are made, and only those are dealt out."""
+        pairs = staged(pairs)
+        keys = staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        sets = sets_of(keys)
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("g").alias("y")), "b")
+        new = staged(both.select("a", "b", F.expr(NEEDED.format(shared="size(array_intersect(x, y))", n="size(x)", m="size(y)")).alias("near")))
+        discard(pairs, keys, sets)
+        return new
+
+    tried, old = confirmed(first), []
     for turn in range(STARS + 1):
-        now = postings.withColumn("label", F.col("key")) if labels is None else postings.join(labels, postings["key"] == labels["node"], "left").select(*postings.columns, F.coalesce("component", "key").alias("label"))
-        now = staged(now)
+        labels = staged(connected_components(tried.where("near"), "a", "b"))
+        now = staged(postings.join(labels, postings["key"] == labels["node"], "left").select(*postings.columns, F.coalesce("component", "key").alias("label")))
         if turn < STARS:
             band = now.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
             # another member stands for its bucket in each round
@@ -120,12 +138,8 @@ def near_links(postings: DataFrame, sets_of) -> DataFrame | None:
         else:
             met = now.alias("p").join(now.alias("q"), "g").where("p.key < q.key")
         pairs = met.where("p.label <> q.label").where(_possible("p", "q")).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(_confirmed(pairs, sets))
-        tried = new if tried is None else tried.union(new)
-        if turn < STARS:
-            labels = staged(connected_components(tried.where("near"), "a", "b"))
+        tried = tried.union(confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+        discard(now, labels)
     return tried.where("near").select("a", "b")
 
 
@@ -133,20 +147,27 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, _text, _id, component_id) of every row: the smallest id reachable over near pairs. Texts without words are one group."""
     rows = marked_rows(docs)
     prints = staged(prefixes(rows.select(F.struct("doc_id", "_text", "_id").alias("row"), "text"), common_shingles(docs.select("text"))))
+    named = staged(prints.select("row", "key"))
     spread = prints.select("key", "n", F.posexplode("prefix").alias("i", "g")).distinct()
     shared = spread.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g")
     postings = staged(spread.join(shared, "g", "left_semi").select("g", "i", "key", "n"))
+    first = staged(fingerprint_pairs(prints.select("fp", "key")))
+    distinct = staged(named.groupBy("key").agg(F.min("row.doc_id").alias("least"), F.min("row._text").alias("_text")))
+    discard(prints)
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        of = prints.select("key", "row._text").join(keys, "key", "left_semi").groupBy("key").agg(F.min("_text").alias("_text"))
-        return staged(_sets(rows.join(of.select("_text"), "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text")).select("text")).join(keys, "key", "left_semi"))
-
-    distinct = staged(prints.groupBy("key").agg(F.min("row.doc_id").alias("least")))
-    groups = staged(connected_components(near_links(postings, sets_of), "a", "b"))
+        of = staged(distinct.join(small(keys), "key", "left_semi").select("_text"))
+        texts = rows.join(small(of), "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text"))
+        sets = staged(_sets(texts.select("text")).join(small(keys), "key", "left_semi"))
+        discard(of)
+        return sets
+
+    groups = staged(connected_components(near_links(postings, sets_of, first), "a", "b"))
+    discard(postings, first)
     rooted = distinct.join(groups, distinct["key"] == groups["node"], "left").select("key", "least", F.coalesce("component", "key").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(ids, "root").select("key", "component_id")
-    return prints.join(of, "key").select("row.*", "component_id")
+    return named.join(of, "key").select("row.*", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

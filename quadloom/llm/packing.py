@@ -36,7 +36,7 @@ OTHER = re.compile(r"[^\x21-\x7e¡-ſ]|İ|ŉ")
 _encoders: dict[int, PieceCache] = {}
 
 
-def chunk_encoder(raw: bytes) -> PieceCache:
+def chunk_encoder(raw: bytes, most: int = 400_000) -> PieceCache:
     """Ids of chunks without ASCII white space, by the tokenizers library.
 
     The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in a row.
@@ -68,7 +68,7 @@ def chunk_encoder(raw: bytes) -> PieceCache:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).tobytes()
 
     def many(chunks: list[bytes]) -> list[bytes]:
-        if len(words) > 600_000:
+        if len(words) > most * 3 // 2:
             words.clear()
         texts = [c.decode() for c in chunks]
         cut = [None if len(t) > 1000 or OTHER.search(t) else LATIN.findall(t.lower()) for t in texts]
@@ -78,7 +78,7 @@ def chunk_encoder(raw: bytes) -> PieceCache:
         get = words.__getitem__
         return [direct(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
 
-    cache = _encoders.setdefault(hash(raw), PieceCache(many, most=400_000))
+    cache = _encoders.setdefault(hash(raw), PieceCache(many, most))
     cache.words = words
     return cache
 
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity:
     raw = vocabulary(docs.sparkSession, vocabulary_path or public_tokenizers.path(VOCABULARY))
 
     def run(batches):
-        cache = chunk_encoder(raw.value)
+        cache = chunk_encoder(raw.value, 400_000 if keep_cache else 150_000)
         for batch in batches:
             data, at = utf8_buffer(batch.column(1))
             for lo, hi in slices(at, 4 << 20):
@@ -118,6 +118,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity:
         if not keep_cache:
             cache.known.clear()
             cache.words.clear()
+            pa.default_memory_pool().release_unused()
 
     source = only(docs, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -195,7 +196,8 @@ def ranked(pieces: DataFrame, by: str) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to stored pieces with a `length` of 1 to capacity; other columns are kept.
+    """Add sequence_id and offset to stored pieces with a `length` of 1 to capacity; other columns are kept. Where pieces have a
+    number `_row` of their own, only that goes through the tasks that rank and place, and wide columns are joined to the result.
 
     Every piece gets a place of its own; a sequence is filled from 0 without gaps and never past its capacity.
     Equal lengths are interchangeable, so which of them comes first is arbitrary. No rows: no sequences.
@@ -215,8 +217,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [c for i, c in enumerate(batch.columns) if i != drop]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(step[:, 3] + nth // step[:, 4]), pa.array(step[:, 5] + nth % step[:, 4] * length)], names=[*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked(pieces, "length").select(*pieces.columns, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema = lambda rows: ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", sequence_id long, offset long"
+    slim = pieces.select("_row", "length") if "_row" in pieces.columns else pieces
+    placed = ranked(slim, "length").select(*slim.columns, "rank").mapInArrow(place, schema(slim))
+    if slim is pieces:
+        return placed
+    return pieces.join(placed.select("_row", "sequence_id", "offset"), "_row").select(*[c for c in pieces.columns if c != "_row"], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
@@ -224,7 +230,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: s
 
     The ids themselves are left out unless asked for: they stay in place and are told by (doc_id, start, length).
     """
-    return pack(staged(token_pieces(docs, vocabulary_path, capacity, with_ids=with_ids, keep_cache=keep_cache)), capacity)
+    pieces = token_pieces(docs, vocabulary_path, capacity, with_ids=with_ids, keep_cache=keep_cache)
+    return pack(staged(pieces.withColumn("_row", F.monotonically_increasing_id()) if with_ids else pieces), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

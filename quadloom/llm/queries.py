@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from quadloom.llm import byte_bpe, langid, packing, pii, quality, sharding, simhash, substrings, token_counts, topk
+from quadloom.llm import byte_bpe, langid, packing, pii, pipeline, quality, sharding, simhash, substrings, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         substrings.op9_suffix_dedup,
         pii.op10_pii,
     ]
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,11 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of a text's word shingles, as a signed number; 0 for a text without words."""
-    h = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed number; 0 without hashes."""
     if not len(h):
         return 0
     ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -168,7 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def marked_rows(docs: DataFrame) -> DataFrame:
     """docs with _text and _id, by which rows are told apart."""
-    return docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+    return docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"))
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:

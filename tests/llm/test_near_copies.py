@@ -5,8 +5,7 @@ import random
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from quadloom.llm import near_copies
+from quadloom.llm import near_copies, pipeline
 
 
 def shingles(text):
@@ -69,7 +68,7 @@ def texts():
 
 def test_planted_near_copies_go(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    kept = pipeline.simhash_near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     got = [r.doc_id for r in kept.collect()]
     assert len(got) == len(set(got))
@@ -80,7 +79,7 @@ def test_the_order_of_shingles_changes_nothing(spark, texts, monkeypatch):
     common = np.unique(np.concatenate([near_copies.shingle_set((t or "").encode()) for t in list(texts.values())[::2]]))
     monkeypatch.setattr(near_copies, "common_shingles", lambda _: (common, np.random.default_rng(1).permutation(len(common)) + 1))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept_by(texts)
+    assert {r.doc_id for r in pipeline.simhash_near_dedup(spark, docs, "").collect()} == kept_by(texts)
 
 
 def test_repeated_rows_and_empty_tables(spark):

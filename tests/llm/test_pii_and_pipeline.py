@@ -1,9 +1,12 @@
 """Surrogates' format, distinctness and coreference; the pipeline against its operators on small rows."""
 
+import zlib
+
+import numpy as np
 import pytest
 import regex as re
 
-from quadloom.llm import packing, pii, simhash
+from quadloom.llm import packing, pii, pipeline
 from quadloom.llm.pii import PATTERNS
 
 TEXTS = [
@@ -122,7 +125,7 @@ def test_very_long_texts(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+    from tests.llm.test_near_copies import kept_by
     from tests.llm.test_substrings import brute
 
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -130,21 +133,39 @@ def test_pipeline(spark, tmp_path):
     base.limit(120).union(extra.where("doc_id > 9000")).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     all_ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    one = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    one = pipeline.language_id(spark, docs, str(tmp_path))
     assert {r.doc_id for r in one.collect()} == all_ids - {9001, 9002}
-    groups = {}
-    for r in simhash.near_duplicates(one).collect():
-        groups.setdefault(r.component_id, []).append(r.doc_id)
-    two = corpus_pipeline.near_dedup(spark, one, str(tmp_path))
+    groups = kept_by({r.doc_id: r.text for r in one.collect()})
+    two = pipeline.simhash_near_dedup(spark, one, str(tmp_path))
     assert sorted(r.doc_id for r in two.collect()) == sorted(groups)
-    three = corpus_pipeline.suffix_dedup(spark, two, str(tmp_path)).collect()
+    three = pipeline.suffix_array_dedup(spark, two, str(tmp_path)).collect()
     want = brute([(r.doc_id, r.text) for r in two.collect()], 100)
     assert {r.doc_id: r.text for r in three} == {i: b.decode("utf-8", "ignore") for i, (b, _) in want.items()}
     assert all(r.n_chars == len(r.text) for r in three)
-    four = corpus_pipeline.private_data(spark, spark.createDataFrame(three, docs.schema), str(tmp_path))
+    four = pipeline.private_data(spark, spark.createDataFrame(three, docs.schema), str(tmp_path))
     for r in four.collect():
         for k in ("email", "ip", "access_key"):
             assert not set(re.findall(PATTERNS[k], r.text)) & set(re.findall(PATTERNS[k], want[r.doc_id][0].decode("utf-8", "ignore")))
-    last = {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    placed = pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in placed)
+    last = {(r.doc_id, r.piece, r.ids_crc32) for r in placed}
     assert last == {(r.doc_id, r.piece, r.ids_crc32) for r in packing.pack_documents(four).collect()}
     assert [c for c in two.columns] == docs.columns == four.columns
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in any column, no letters, and columns whose names the stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _row string, found string, _h long, label string, ids string"
+    words = "the cat sat on the mat and the dog lay by the door while rain fell over hill and town all day long".split()
+    rows = [(i, " ".join(words[i % 7 :] + [f"w{i}"] * (i % 5) + words[: i % 3]), "en" if i % 2 else "fr", "s", 1, "r", None, 7, "x", None) for i in range(40)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, None, None, None, None, None), (50, None, "en", None, None, None, None, None, None, None), (51, "", "en", None, None, None, None, None, None, None), (52, "12 ½ ②", "en", None, None, None, None, None, None, None), (None, rows[4][1] + " end of it", None, None, None, None, None, None, None, None)]
+    for name, some in (("all", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in pipeline.STAGES[:4]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        out = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(out) == bool(some)
+        ids = [r.doc_id for r in out if r.piece == 0]
+        assert len(ids) == len(set(ids)) and not {50, 51, 52} & set(ids)

@@ -58,7 +58,7 @@ def test_repeated_rows_and_null_ids(spark):
     out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows)
     kept = sorted((r.doc_id or -1, r.n_bytes, len(r.kept)) for r in out)
-    assert sum(k for _, n, k in kept if n in (120, 126)) in (246, 126, 240 + 6)
+    assert sum(k for _, n, k in kept if n in (120, 126)) == 126  # whichever of the rows with one id comes first
     assert (7, 120, 0) in kept and (-1, 0, 0) in kept and (-1, 1, 1) in kept
 
 
