@@ -1,64 +1,7 @@
-"""A training corpus from raw documents: five stages, each over all rows the one before kept."""
+"""A training corpus from raw documents, in stages; belongs to the subpackage quadloom.llm and needs it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from quadloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from quadloom.llm import langid, near_copies, packing, pii, substrings
-from quadloom.sources.staging import staged
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier can tell; those without letters or with a low best score go."""
-    return langid.keep_identified(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return near_copies.drop_near_copies(docs)
-
-
-def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 100-byte strings that start earlier; null texts come out empty."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = substrings.remove_repeats(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
-    return _with_n_chars(left.select(*docs.columns))
-
-
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and secrets replaced by surrogates."""
-    return _with_n_chars(pii.replace_pii(docs))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, keep_cache=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-def _with_n_chars(docs: DataFrame) -> DataFrame:
-    if "n_chars" not in docs.columns:
-        return docs
-    return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("simhash_near_dedup", near_dedup),
-    ("suffix_array_dedup", suffix_dedup),
-    ("pii", private_data),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: SQL can express neither the classifier nor the tokenizer.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
