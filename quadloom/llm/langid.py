@@ -133,20 +133,25 @@ def features_of(docs: DataFrame) -> DataFrame:
             data, at = utf8_buffer(batch.column(0))
             for lo, hi in slices(at, 1 << 20):
                 got = ngram_counts(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([x[0] for x in got], pa.list_(pa.int64())), pa.array([x[1] for x in got], pa.list_(pa.int64()))], names=["lang", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.int32()))], names=["lang", "ids", "counts"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, ids array<long>, counts array<long>")
+    return docs.select("text", "lang").mapInArrow(run, "lang string, ids array<int>, counts array<int>")
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE) -> dict:
     """Fit on a bounded sample of labelled documents (doc_id, text, lang): at most per_lang of a language.
 
-    Only the sample's features, at most FEATURES numbers a document, come to the driver. Without any labelled text the model has
-    no languages and predicts UNKNOWN.
+    Only the sample's features, at most FEATURES pairs of numbers a document, come to the driver, as Arrow arrays. Without any
+    labelled text the model has no languages and predicts UNKNOWN.
     """
-    rows = features_of(bounded_sample(docs, per_lang)).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["ids"], r["counts"]))
-    return fit([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["lang"]) for r in rows])
+    samples = []
+    for batch in features_of(bounded_sample(docs, per_lang)).toArrow().to_batches():
+        lists = [batch.column(i) for i in (1, 2)]
+        at = [x.offsets.to_numpy() for x in lists]
+        ids, counts = (x.values.to_numpy() for x in lists)
+        samples += [(ids[a:b], counts[c:d], lang) for a, b, c, d, lang in zip(at[0], at[0][1:], at[1], at[1][1:], batch.column(0).to_pylist(), strict=False)]
+    samples.sort(key=lambda x: (x[2], x[0].tobytes(), x[1].tobytes()))
+    return fit(samples)
 
 
 def _scored(batches, text_at: int, model: dict):
