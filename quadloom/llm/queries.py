@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import byte_bpe, langid, packing, pii, pipeline, quality, sharding, simhash, substrings, token_counts, topk
+from quadloom.llm import byte_bpe, centroids, factors, langid, negatives, packing, pii, pipeline, quality, sharding, simhash, substrings, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sharding.op8_sharding,
         substrings.op9_suffix_dedup,
         pii.op10_pii,
+        centroids.op11_centroids,
+        negatives.op12_hard_negatives,
+        factors.op13_substring_dedup,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.OP2_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op11_centroids": centroids.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL, "op13_substring_dedup": factors.OP13_SQL}

@@ -1,6 +1,7 @@
 """The registered queries: names, columns, and SQL where there is any."""
 
 import duckdb
+import pytest
 
 from quadloom.llm import queries
 
@@ -15,6 +16,9 @@ COLUMNS = {
     "op8_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10_pii": ["doc_id", "text", "n_entities"],
+    "op11_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
 }
 
 
@@ -22,11 +26,15 @@ def test_names():
     assert set(queries.queries()) == {*COLUMNS, "pipeline"}
 
 
-def test_topk_sql(spark, sf):
-    got = sorted(tuple(r) for r in queries.queries()["op2_topk"](spark, sf).collect())
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
+    df = queries.queries()[name](spark, sf)
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    assert got == sorted(c.execute(queries.oracle_sql()["op2_topk"]).fetchall())
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    answer = c.execute(queries.oracle_sql()[name])
+    assert df.columns == [x[0] for x in answer.description] == COLUMNS[name]
+    assert sorted(map(tuple, df.collect())) == sorted(answer.fetchall())
 
 
 def test_columns(spark, sf):
