@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -39,20 +38,30 @@ def solutions(quads: DataFrame, rule: Rule, types: DataFrame | None = None) -> D
     return settled(match(quads, named_ids(rule.pre), types, rule.var_types), quads, rule)
 
 
-def settled(out: DataFrame, quads: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of matched preconditions whose predicates have the confidence that the rule asks for."""
-    for edge in named_ids(rule.pre):
-        pid = edge[3]
-        if not is_variable(pid):
-            continue
-        want = rule.confidence.get(pid[1:], "sure")
+def settled(out: DataFrame, quads: DataFrame, rule: Rule, marks: list[DataFrame] | None = None) -> DataFrame:
+    """The rows of matched preconditions whose predicates have the confidence that the rule asks for.
+
+    marks: a table for each edge that must be marked (marked()), in which its mark is looked for; quads if not given.
+    """
+    tables = iter(marks or [])
+    for pid, want in conditions(rule):
         if want == "sure":
-            out = without_doubt(out, quads, pid[1:])
+            out = without_doubt(out, quads, pid)
         elif want != "any":
-            out = with_mark(out, quads, want, pid[1:])
+            out = with_mark(out, next(tables, quads), want, pid)
     return out
 
 
+def conditions(rule: Rule) -> list[tuple[str, str]]:
+    """(predicate id variable, confidence) of every precondition edge whose id is a variable."""
+    return [(e[3][1:], rule.confidence.get(e[3][1:], "sure")) for e in named_ids(rule.pre) if is_variable(e[3])]
+
+
+def marked(rule: Rule) -> list[str]:
+    """The marks that a solution needs: 'not' or 'maybe' for each edge that must have one."""
+    return [want for _, want in conditions(rule) if want not in ("sure", "any")]
+
+
 def evidence(rule: Rule):
     """The sorted ids of the facts behind a solution, as one string."""
     ids = [F.col(e[3][1:]) if is_variable(e[3]) else F.lit(e[3]) for e in named_ids(rule.pre)]
@@ -84,26 +93,43 @@ def provenance(made: DataFrame) -> DataFrame:
     return causes.union(rows.select("node", "pid", F.lit("implies"))).distinct()
 
 
-def chain(quads: DataFrame, rules: Iterable[Rule], rounds: int | None = None, types: DataFrame | None = None) -> DataFrame:
+def chain(quads: DataFrame, rules: Iterable[Rule], rounds: int | None = None, types: DataFrame | None = None, stratified: bool = False) -> DataFrame:
     """Facts that follow in so many rounds, or in as many as bring something new: (FACT) of what wasn't there before.
 
-    A fact is new when no fact of its graph says the same, whatever its id. Semi-naive: after the first round a
-    precondition is matched once for each of its edges, that edge among the last round's facts alone, the edges before it
-    among older facts and those after it among all, so no solution is found twice.
+    A fact is new when no fact of its graph says the same, whatever its id; of several made at once the smallest id stays. Semi-naive: after the first round a
+    precondition is matched once for each of its edges and each mark that it asks for, that one among the last round's facts alone,
+    those before it among older facts and those after it among all, so no solution is found twice. Marks only take solutions
+    away from edges that must be sure, so no fresh mark brings any there.
+
+    A fact that is marked not or maybe later keeps what was derived from it before. stratified: rules that derive marks
+    end before rules that need the marked facts sure, the rounds counting for each stratum; a cycle is an error (strata()).
     """
     rules = list(rules)
+    if stratified:
+        made, known = [], quads.select(FACT)
+        for layer in strata(rules):
+            made.append(chain(known, layer, rounds, types))
+            known = known.union(made[-1])
+        return reduce(DataFrame.union, made) if made else quads.select(FACT).limit(0)
     known = staged(quads.select(FACT))
     says = lambda q: q.select("graph_id", "s", "t", F.coalesce("o", F.lit("")).alias("oo")).distinct()
     parts, older, fresh = [], None, None
+    constants = sorted({t for r in rules for t in [*(e[1] for e in r.pre), *marked(r)] if not is_variable(t)})
     for n in count(1):
         if rounds is not None and n > rounds:
             break
         made = None
+        # the rules' own predicate types that the last round brought: what needs another can't be new
+        now = None if fresh is None else {r.t for r in fresh.where(F.col("t").isin(constants)).select("t").distinct().collect()}
         for rule in rules:
-            found = solutions(known, rule, types) if fresh is None else _new_solutions(older, fresh, known, rule, types)
+            found = solutions(known, rule, types) if now is None else _new_solutions(older, fresh, known, rule, types, now)
+            if found is None:
+                continue
             rows = apply(found, rule).select(FACT)
             made = rows if made is None else made.union(rows)
-        made = made.dropDuplicates(["graph_id", "s", "t", "o"]).withColumn("oo", F.coalesce("o", F.lit("")))
+        if made is None:
+            break
+        made = made.groupBy("graph_id", "s", "t", "o").agg(F.min("pid").alias("pid")).withColumn("oo", F.coalesce("o", F.lit("")))
         fresh = staged(made.join(says(known), ["graph_id", "s", "t", "oo"], "left_anti").select(FACT))
         if fresh.isEmpty():
             break
@@ -114,42 +140,52 @@ def chain(quads: DataFrame, rules: Iterable[Rule], rounds: int | None = None, ty
     return reduce(DataFrame.union, parts) if parts else quads.select(FACT).limit(0)
 
 
-def _new_solutions(older: DataFrame, fresh: DataFrame, known: DataFrame, rule: Rule, types: DataFrame | None) -> DataFrame:
-    """Solutions over known that use at least one fact of fresh; known is older and fresh together."""
-    pre = named_ids(rule.pre)
+def _new_solutions(older: DataFrame, fresh: DataFrame, known: DataFrame, rule: Rule, types: DataFrame | None, now: set[str]) -> DataFrame | None:
+    """Solutions over known that use at least one fact or mark of fresh; known is older and fresh together. now: types that fresh has."""
+    pre, marks = named_ids(rule.pre), marked(rule)
+    kinds = [e[1] for e in pre] + marks
     out = None
-    for i in range(len(pre)):
-        tables = [older if j < i else fresh if j == i else known for j in range(len(pre))]
-        rows = settled(match(tables, pre, types, rule.var_types), known, rule)
+    for i, kind in enumerate(kinds):
+        if not is_variable(kind) and kind not in now:
+            continue
+        tables = [older if j < i else fresh if j == i else known for j in range(len(kinds))]
+        rows = settled(match(tables[: len(pre)], pre, types, rule.var_types), known, rule, tables[len(pre) :])
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def solve_alike(quads: DataFrame, edges: DataFrame) -> DataFrame:
-    """Solutions of many stored preconditions of one shape: (graph_id, rule, and a column for each variable).
+def strata(rules: list[Rule]) -> list[list[Rule]]:
+    """Rules in layers, so that what may mark a fact as doubted is in an earlier layer than what needs such facts sure.
 
-    edges: (rule, nth, s, t, o); rules whose edges differ in constants alone have one shape, and are matched together,
-    the constants of a place coming from a joined table with a row for each rule. Each shape is one job branch.
+    A rule comes no earlier than those that derive a type of its edges, or a mark that it asks for; and later than those that may mark
+    a type of its sure edges. A ValueError where a rule would have to come before itself.
     """
-    named = lambda c: F.when(F.col(c).startswith("?"), F.col(c)).otherwise(F.lit("="))
-    place = F.struct("nth", named("s").alias("s"), named("t").alias("t"), named("o").alias("o"))
-    shapes = edges.groupBy("rule").agg(F.array_sort(F.collect_list(place)).alias("shape"), F.array_sort(F.collect_list(F.struct("nth", "s", "t", "o"))).alias("edges"))
-    out = None
-    for row in shapes.select("shape").distinct().collect():  # shapes are program text, so they are few
-        same = shapes.where(F.to_json("shape") == F.lit(json.dumps([e.asDict() for e in row["shape"]], separators=(",", ":"))))
-        found = same.select("rule")
-        for i, edge in enumerate(row["shape"]):
-            constants = same.select("rule", *[F.col("edges")[i][c].alias(c) for c in ("s", "t", "o") if edge[c] == "="])
-            keys = [c for c in constants.columns if c != "rule"]
-            facts = quads.join(constants, keys) if keys else quads.crossJoin(constants)
-            names = {c: edge[c][1:] for c in ("s", "t", "o") if edge[c] != "="}
-            for c, v in names.items():
-                first = next(k for k, x in names.items() if x == v)
-                facts = facts if first == c else facts.where(F.col(first) == F.col(c))
-            rows = facts.select("graph_id", "rule", *[F.col(next(k for k, x in names.items() if x == v)).alias(v) for v in dict.fromkeys(names.values())])
-            found = found.join(rows, [c for c in rows.columns if c in found.columns])
-        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
-    return out
+    any_ = "?"
+    kind = lambda t: any_ if is_variable(t) else t
+    meet = lambda a, b: any_ in (a | b) if a and b and any_ in a | b else bool(a & b)
+
+    def of_id(rule: Rule, pid) -> set[str]:
+        named = {kind(e[1]) for e in [*named_ids(rule.pre), *(e for e in rule.post if len(e) == 4)] if e[3] == pid}
+        return named or {any_}
+
+    derives = [{kind(e[1]) for e in r.post} for r in rules]
+    doubts = [set().union(*(of_id(r, e[0]) for e in r.post if kind(e[1]) in ("not", "maybe", any_))) for r in rules]
+    reads = [{kind(e[1]) for e in r.pre} | set(marked(r)) for r in rules]
+    sure = [{kind(e[1]) for e in named_ids(r.pre) if not is_variable(e[3]) or r.confidence.get(e[3][1:], "sure") == "sure"} for r in rules]
+    level = [0] * len(rules)
+    for _ in range(len(rules) + 1):
+        before = list(level)
+        for i in range(len(rules)):
+            for j in range(len(rules)):
+                if meet(reads[i], derives[j]):
+                    level[i] = max(level[i], level[j])
+                if meet(sure[i], doubts[j]):
+                    level[i] = max(level[i], level[j] + 1)
+        if level == before:
+            return [[r for r, n in zip(rules, level, strict=True) if n == k] for k in sorted(set(level))]
+        if max(level) > len(rules):
+            break
+    raise ValueError("rules that doubt facts depend on facts that must be sure, in a cycle: " + ", ".join(r.name for r, n in zip(rules, level, strict=True) if n == max(level)))
 
 
 def of_class(pairs: DataFrame, types: DataFrame, specific: bool) -> DataFrame:

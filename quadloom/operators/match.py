@@ -43,9 +43,9 @@ def edge_rows(quads: DataFrame, edge: tuple, subtypes: DataFrame | None = None)
     return rows.select("graph_id", *[F.col(c).alias(v[1:]) for v, c in names.items()])
 
 
-def ordered(pattern: list[tuple]) -> list[tuple]:
-    """Edges so that each shares a variable with those before where it can, those with most constants first."""
-    left, out, bound = list(pattern), [], set()
+def ordered(pattern: list[tuple], after: tuple = ()) -> list[tuple]:
+    """Edges so that each shares a variable with those before where it can, those with most constants first. after: an edge before them all."""
+    left, out, bound = list(pattern), [], set(filter(is_variable, after))
     constants = lambda e: sum(not is_variable(x) for x in e)
     while left:
         edge = max(left, key=lambda e: (bool(bound & set(filter(is_variable, e))) or not bound, constants(e), -pattern.index(e)))

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.operators.components import connected_components
-from quadloom.operators.infer import solve_alike
 from quadloom.operators.mutate import FACT, merged
 from quadloom.operators.retrieve import subsets
+from quadloom.operators.rulebook import compiled, solve
+from quadloom.sources.staging import staged
 
 #: Requests in the order in which a reply settles them, and whose question each is.
 REQUESTS = [("bot", "truth"), ("bot", "arg"), ("user", "truth"), ("user", "arg")]
@@ -86,9 +87,8 @@ def candidates(quads: DataFrame, refs: DataFrame, types: DataFrame, facts: DataF
     """(graph_id, ref, match) of what fits a reference's constraints: another node, both or neither of them predicates, and
     none of the reference's own types. facts: where matches are looked for, by default the other facts of quads."""
     named = refs.select("graph_id", "ref", F.array_position("vars", F.col("ref")).alias("at"), F.concat_ws("|", "graph_id", "ref").alias("rule")).where("at > 0")
-    found = solve_alike(quads if facts is None else facts, patterns(refs, quads)).withColumnRenamed("graph_id", "_in")
-    at = [c for c in found.columns if c.startswith("v")]
-    match = F.coalesce(*[F.when(F.col("at") == int(c[1:]), F.col(c)) for c in at]).alias("match")
+    found = solve(quads if facts is None else facts, compiled(patterns(refs, quads), unstated="any")).withColumnRenamed("graph_id", "_in")
+    match = F.try_element_at("bindings", F.concat(F.lit("v"), F.col("at").cast("string"))).alias("match")
     pairs = found.join(named, "rule").where("_in = graph_id").select("graph_id", "ref", match).where("match <> ref").distinct()
     ids = quads.select("graph_id", "pid").distinct()
     is_id = lambda c: ids.select("graph_id", F.col("pid").alias(c), F.lit(True).alias(f"_{c}"))
@@ -101,12 +101,25 @@ def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
 
     A reference takes its most salient constant and, while they agree, the references among its candidates: the one with the
     least salient best candidate first; a reference that was taken keeps only candidates that both have, and after a
-    constant only references remain that could be it too. Ties go to the smaller name. A session's references are few, so
-    each graph is one pandas group.
+    constant only references remain that could be it too. Ties go to the smaller name.
+
+    Only references that may be one another depend on each other. One without such candidates takes its best constant by
+    aggregation; the others are split into connected components of the graph of references, and each component is settled by
+    itself, in parallel. Of constants a component needs those alone that are the best of one of its references: what a
+    reference that was taken can still choose is its taker's best, and its own best decides its turn.
     """
     sal = salience.select("graph_id", F.col("c").alias("match"), "salience")
     known = pairs.select("graph_id", F.col("ref").alias("match")).distinct().withColumn("also", F.lit(True))
-    rows = pairs.join(sal, ["graph_id", "match"], "left").join(known, ["graph_id", "match"], "left").select("graph_id", "ref", "match", F.coalesce("salience", F.lit(0.0)).alias("salience"), F.coalesce("also", F.lit(False)).alias("also"))
+    rows = pairs.select("graph_id", "ref", "match").distinct().join(sal, ["graph_id", "match"], "left").join(known, ["graph_id", "match"], "left")
+    rows = staged(rows.select("graph_id", "ref", "match", F.coalesce("salience", F.lit(0.0)).alias("salience"), F.coalesce("also", F.lit(False)).alias("also")))
+    node = lambda c: F.struct("graph_id", F.col(c).alias("n"))
+    parts = connected_components(rows.where("also").select(node("ref").alias("src"), node("match").alias("dst")))
+    parts = parts.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("ref"), F.col("component.n").alias("part"))
+    of = staged(rows.join(parts, ["graph_id", "ref"], "left"))
+    best = of.where("NOT also").groupBy("graph_id", "part", "ref").agg(F.min_by("match", F.struct(-F.col("salience"), "match")).alias("match"))
+    alone = best.where("part IS NULL").select("graph_id", "ref", "match")
+    wanted = best.where("part IS NOT NULL").select("graph_id", "part", "match").distinct()
+    joint = of.where("also AND part IS NOT NULL").select(*rows.columns, "part").union(of.where("NOT also").join(wanted, ["graph_id", "part", "match"], "left_semi").select(*rows.columns, "part"))
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         weight = dict(zip(group["match"], group["salience"], strict=True))
@@ -131,7 +144,7 @@ def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
             del left[ref]
         return pd.DataFrame({"graph_id": group["graph_id"].iloc[0], "ref": [r for r, _ in out], "match": [m for _, m in out]})
 
-    return rows.groupBy("graph_id").applyInPandas(settle, "graph_id string, ref string, match string")
+    return alone.union(joint.groupBy("graph_id", "part").applyInPandas(settle, "graph_id string, ref string, match string"))
 
 
 def best_constant(pairs: DataFrame, salience: DataFrame) -> DataFrame:
@@ -141,9 +154,12 @@ def best_constant(pairs: DataFrame, salience: DataFrame) -> DataFrame:
     return rows.groupBy("graph_id", "ref").agg(F.min_by("match", order).alias("match"))
 
 
-def resolved(quads: DataFrame, links: DataFrame, types: DataFrame, salience: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts with references merged into what they stand for, the pairs): references, their candidates, the choice, the merge."""
-    pairs = chosen(candidates(quads, references(links), types), salience)
+def resolved(quads: DataFrame, links: DataFrame, types: DataFrame, salience: DataFrame, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts with references merged into what they stand for, the pairs): references, their candidates, the choice, the merge.
+
+    facts: where candidates are looked for, by default quads itself.
+    """
+    pairs = staged(chosen(candidates(quads, references(links), types, facts), salience))
     return merged(quads, pairs.select("graph_id", F.col("match").alias("a"), F.col("ref").alias("b"))), pairs
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators import infer
+from quadloom.operators import infer, rulebook
 from quadloom.operators.closure import types
 from quadloom.operators.infer import Rule
 from quadloom.plans.matching import TY
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import event_graph, star_graph
+from quadloom.sources.staging import staged
 
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 
@@ -99,8 +100,6 @@ def virtual_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH li2 AS (SELECT id AS pid, l_orderkey % 3 AS k, l_returnflag = 'R' AS neg, l_linestatus = 'O' AND l_returnflag <> 'R' AS may FROM li)
 SELECT CASE WHEN k = 0 THEN 'affirmed' WHEN k = 1 THEN 'rejected' ELSE 'left' END AS op, CAST(sum(CASE WHEN k = 1 OR (k = 2 AND neg) THEN 1 ELSE 0 END) AS BIGINT) AS n_not, CAST(sum(CASE WHEN k = 2 AND may THEN 1 ELSE 0 END) AS BIGINT) AS n_maybe FROM li2 GROUP BY 1""", "star")
 def affirm_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadloom.sources.staging import staged
-
     quads = staged(star_graph(spark, sf_dir).where("t IN ('contain', 'not', 'maybe')"))
     of = quads.where("t = 'contain'").select("graph_id", "pid", (F.expr("try_cast(substring(s, 3) AS BIGINT)") % 3).alias("k"))
     out = infer.rejected(infer.affirmed(quads, of.where("k = 0").select("graph_id", "pid")), of.where("k = 1").select("graph_id", "pid"))
@@ -142,4 +141,66 @@ def rules_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = quads.where("t = 'type' AND s LIKE 'c:%'").select(F.col("o").alias("rule")).distinct()
     edges = segments.select("rule", F.explode(F.expr("array(named_struct('side', 'pre', 'nth', 0, 's', '?c', 't', 'type', 'o', rule), named_struct('side', 'pre', 'nth', 1, 's', '?c', 't', 'place', 'o', '?o'), named_struct('side', 'post', 'nth', 0, 's', '?o', 't', 'from', 'o', rule))")).alias("e")).select("rule", "e.*", F.lit(None).cast("string").alias("pid"))
     stored = read_edges(spark, write_edges(edges))
-    return infer.solve_alike(quads, stored.where("side = 'pre'")).groupBy("rule").agg(F.count("*").alias("n"))
+    return rulebook.solve(quads, rulebook.compiled(stored)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+MARKS = [
+    Rule("doubt", [("?c", "place", "?o", "?pl"), ("?o", "contain", "?p", "?line")], [("?pl", "maybe", None)], {"pl": "any", "line": "not"}),
+    Rule("watch", [("?c", "place", "?o", "?pl")], [("?c", "watched_for", "?o")], {"pl": "maybe"}),
+    Rule("trust", [("?c", "place", "?o", "?pl")], [("?c", "trusts", "shop")]),
+    Rule("host", [("?c", "watched_for", "?o"), ("?c", "in", "?n")], [("?n", "hosts", "?o")]),
+]
+_MARKS = """
+WITH back AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), p AS (SELECT o_orderkey AS k, o_custkey AS c, k.k IS NOT NULL AS bad FROM orders LEFT JOIN back k ON k.k = o_orderkey)
+SELECT concat('po:', k) AS s, 'maybe' AS t, NULL AS o FROM p WHERE bad UNION SELECT concat('c:', c), 'watched_for', concat('o:', k) FROM p WHERE bad
+UNION SELECT concat('c:', c), 'trusts', 'shop' FROM p WHERE NOT bad UNION SELECT concat('n:', c_nationkey), 'hosts', concat('o:', k) FROM p JOIN customer ON c_custkey = p.c WHERE bad"""
+
+
+@query("chain_marks", _MARKS)
+def chain_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a line that came back are doubted; derived doubts fire a rule, and keep another from firing."""
+    quads = star_graph(spark, sf_dir).where("t IN ('place', 'contain', 'in', 'not', 'maybe')")
+    return infer.chain(quads, MARKS, stratified=True).select("s", "t", "o")
+
+
+@query("rules_chain", _MARKS.replace("UNION SELECT concat('c:', c), 'trusts', 'shop' FROM p WHERE NOT bad", ""))
+def rules_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules from a store, but for the one that waits for marks, chained in bulk."""
+    from quadloom.sources.rules import read_edges, write_rules
+
+    quads = star_graph(spark, sf_dir).where("t IN ('place', 'contain', 'in', 'not', 'maybe')")
+    path = write_rules(spark, [r for r in MARKS if r.name != "trust"])
+    return rulebook.chain_stored(quads, read_edges(spark, path), spark.read.parquet(f"{path}/conditions")).select("s", "t", "o")
+
+
+@query("rules_bulk", """
+WITH f AS (SELECT concat(c_nationkey, '|', c_mktsegment, '|', p_type) AS rule, concat('s:', s_suppkey) AS s, concat('c:', c_custkey) AS o FROM orders JOIN customer ON c_custkey = o_custkey
+  JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'R' AND l_linestatus <> 'O' JOIN part ON p_partkey = l_partkey
+  JOIN (SELECT DISTINCT l_suppkey AS sk, l_partkey AS pk FROM lineitem) x ON pk = p_partkey JOIN supplier ON s_suppkey = sk AND s_nationkey = c_nationkey)
+SELECT rule, CAST(count(*) AS BIGINT) AS n_solutions, CAST(count(DISTINCT concat(s, '|', o)) AS BIGINT) AS n_facts FROM f GROUP BY rule""")
+def rules_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of seven edges for every nation, segment and kind of part, all matched at once: who could serve a customer from its own nation."""
+    quads = star_graph(spark, sf_dir)
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"))
+    segments, kinds = _read(spark, sf_dir, "customer").select("c_mktsegment").distinct(), _read(spark, sf_dir, "part").select("p_type").distinct()
+    every = F.broadcast(nations.agg(F.collect_list("n").alias("ns"))), F.broadcast(segments.agg(F.collect_list("c_mktsegment").alias("gs")))  # a row each
+    combos = kinds.join(every[0]).join(every[1]).select("p_type", F.explode("ns").alias("n"), "gs").select("p_type", "n", F.explode("gs").alias("g"))
+    edge = lambda nth, s, t, o, side="pre": F.struct(F.lit(side).alias("side"), F.lit(nth).alias("nth"), F.lit(s).alias("s"), F.lit(t).alias("t"), (F.lit(o) if isinstance(o, str) else o).alias("o"), F.lit(None).cast("string").alias("pid"))
+    of = lambda p, c: F.concat(F.lit(p), c)
+    pattern = [edge(0, "?c", "type", of("seg:", "g")), edge(1, "?c", "in", of("n:", "n")), edge(2, "?c", "place", "?o"), edge(3, "?o", "contain", "?p"), edge(4, "?p", "type", of("pt:", "p_type")), edge(5, "?s", "supply", "?p"), edge(6, "?s", "in", of("n:", "n")), edge(0, "?s", "could_serve", "?c", "post")]
+    edges = staged(combos.select(F.concat_ws("|", "n", "g", "p_type").alias("rule"), F.explode(F.array(*pattern)).alias("e")).select("rule", "e.*"))
+    made = rulebook.filled(rulebook.solve(quads, rulebook.compiled(edges)), edges)
+    return made.groupBy("rule").agg(F.count("*").alias("n_solutions"), F.count_distinct("pid").alias("n_facts"))
+
+
+@query("rules_assembled", """
+WITH f AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+SELECT concat('g1|s:', s) AS rule, 'pre' AS side, concat('s:', s) AS s, 'supply' AS t, concat('?p:', p) AS o FROM f
+UNION ALL SELECT concat('g1|s:', s_suppkey), 'post', concat('s:', s_suppkey), 'in', concat('n:', s_nationkey) FROM supplier WHERE s_suppkey IN (SELECT s FROM f)""")
+def rules_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as a rule: what it supplies stands before, with the parts as variables, and where it is after."""
+    quads = star_graph(spark, sf_dir).where("t IN ('supply', 'in')")
+    mine = quads.where("s LIKE 's:%'")
+    link = lambda label, dst: mine.where(f"t = '{'in' if label == 'post' else 'supply'}'").select("graph_id", F.col("s").alias("src"), F.lit(label).alias("label"), F.col(dst).alias("dst"))
+    edges, _ = rulebook.assembled(quads, link("pre", "pid").union(link("post", "pid")).union(link("var", "o")))
+    return edges.select("rule", "side", "s", "t", "o")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.operators import linear, reference
@@ -69,15 +69,50 @@ m AS (SELECT r.ref, q.s AS match, row_number() OVER (PARTITION BY r.ref ORDER BY
 SELECT ref, match FROM m WHERE k = 1""", "star")
 def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who prefers a kind of part means one of that kind that somebody supplies, the most salient one."""
+    said, links, facts, salience = _asked(spark, sf_dir)
+    return reference.best_constant(reference.candidates(said, reference.references(links), types(said), facts), salience).select("ref", "match")
+
+
+def _asked(spark: SparkSession, sf_dir: str):
+    """What is said of who prefers a kind of part (one of it that somebody supplies), its metalinks, and the known facts."""
     quads = star_graph(spark, sf_dir)
     asks = quads.where("t = 'prefer' AND o LIKE 'pt:%'").select("graph_id", _node("ref:", F.expr("substring(s, 3)")).alias("ref"), "o")
     kind = asks.select("graph_id", F.col("ref").alias("s"), F.lit("type").alias("t"), "o", F.concat(F.lit("k"), "ref").alias("pid"))
     some = asks.select("graph_id", F.concat(F.lit("by:"), "ref").alias("s"), F.lit("supply").alias("t"), F.col("ref").alias("o"), F.concat(F.lit("s"), "ref").alias("pid"))
     said = kind.union(some)
     links = _links(said, "ref", F.coalesce(F.when(F.col("t") == "type", F.col("s")), F.col("o")), F.col("pid")).union(_links(asks, "var", F.col("ref"), F.col("ref"))).union(_links(some, "var", F.col("o"), F.col("s")))
-    facts = quads.where("t IN ('type', 'supply')").select("graph_id", "s", "t", "o", "pid")
-    pairs = reference.candidates(said, reference.references(links), types(said), facts)
-    return reference.best_constant(pairs, star_salience(spark, sf_dir).withColumn("graph_id", F.lit("g1"))).select("ref", "match")
+    return said, links, quads.where("t IN ('type', 'supply')").select("graph_id", "s", "t", "o", "pid"), star_salience(spark, sf_dir).withColumn("graph_id", F.lit("g1"))
+
+
+@query("resolve_all", """
+WITH r AS (SELECT concat('ref:', substring(s, 3)) AS ref, o AS kind FROM quads WHERE t = 'prefer' AND o LIKE 'pt:%'), sp AS (SELECT DISTINCT o AS p FROM quads WHERE t = 'supply'),
+m AS (SELECT r.ref, q.s AS match, row_number() OVER (PARTITION BY r.ref ORDER BY p_size DESC, q.s) AS k FROM r JOIN quads q ON q.t = 'type' AND q.o = r.kind JOIN sp ON sp.p = q.s JOIN part ON concat('p:', p_partkey) = q.s),
+w AS (SELECT r.ref, r.kind, coalesce(m.match, r.ref) AS x FROM r LEFT JOIN m ON m.ref = r.ref AND m.k = 1)
+SELECT x AS s, 'type' AS t, kind AS o FROM w UNION SELECT concat('by:', ref), 'supply', x FROM w""", "star")
+def resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From metalinks to merged facts: what everybody says, with references replaced by what they stand for."""
+    said, links, facts, salience = _asked(spark, sf_dir)
+    return reference.resolved(said, links, types(said), salience, facts)[0].select("s", "t", "o").distinct()
+
+
+def nearby(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates and salience: who prefers a kind of part may mean any of it that is supplied from the own nation, or what the next customer
+    with that preference means."""
+    quads = star_graph(spark, sf_dir)
+    at = quads.where("t = 'in'").select(F.col("s").alias("x"), F.col("o").alias("n"))
+    asks = quads.where("t = 'prefer' AND o LIKE 'pt:%'").join(at, F.col("s") == F.col("x")).select("s", F.col("o").alias("kind"), "n")
+    parts = quads.where("t = 'type' AND s LIKE 'p:%'").select(F.col("s").alias("match"), F.col("o").alias("kind"))
+    parts = parts.join(quads.where("t = 'supply'").join(at, F.col("s") == F.col("x")).select(F.col("o").alias("match"), "n").distinct(), "match")
+    ref = _node("ref:", F.col("s")).alias("ref")
+    after = F.lead(_node("ref:", F.col("s"))).over(Window.partitionBy("kind").orderBy(F.expr("try_cast(substring(s, 3) AS BIGINT)")))
+    pairs = asks.join(parts, ["kind", "n"]).select(ref, "match").union(asks.select(ref, after.alias("match")).where("match IS NOT NULL"))
+    return pairs.select(F.lit("g1").alias("graph_id"), "ref", "match"), star_salience(spark, sf_dir).withColumn("graph_id", F.lit("g1"))
+
+
+@query("resolve_iter")
+def resolve_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice among references that may be one another, component by component."""
+    return reference.chosen(*nearby(spark, sf_dir)).select("ref", "match")
 
 
 #: Five events make a turn here; views ask for truth, clicks for an argument, purchases affirm and errors reject.

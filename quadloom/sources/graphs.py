@@ -119,4 +119,5 @@ def star_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_duckdb(ctes: str) -> str:
-    return ctes.format(**{n: n for n in TABLES})
+    """The graph's tables for DuckDB; the facts are made once, however often a query joins them."""
+    return ctes.format(**{n: n for n in TABLES}).replace("quads AS (", "quads AS MATERIALIZED (")

@@ -1,5 +1,7 @@
 """References, answers and linearised graphs on small graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,50 @@ def test_linearized(spark):
     text = linear.linearized(tree, spark.createDataFrame([("rex", "Rex")], "c string, label string"))
     assert text.first().text == "user : ask bot like Rex : type dog"
     assert text.select(linear.speakers_swapped(F.col("text")).alias("x")).first().x == "_bot_ : ask _user_ like Rex : type dog"
+
+
+def sequential(pairs, weight):
+    """The choice among (ref, match), one reference after another."""
+    also, left, out = {r for r, _ in pairs}, {}, []
+    for r, m in pairs:
+        left.setdefault(r, set()).add(m)
+    w = lambda c: weight.get(c, 0.0)
+    while left:
+        ref = min(left, key=lambda r: (max((w(c) for c in left[r]), default=0.0), r))
+        constants = sorted(left[ref] - also, key=lambda c: (-w(c), c))[:1]
+        now = (left[ref] & also) | set(constants)
+        while now:
+            take = min(now, key=lambda c: (-w(c), c))
+            out.append((ref, take))
+            if take not in also:
+                now = {c for c in now if c not in also or take in left.get(c, ())}
+            elif take in left:
+                now &= left[take]
+                left[take] &= now
+            now.discard(take)
+        del left[ref]
+    return out
+
+
+def test_components_choose_as_one_after_another(spark):
+    rng = random.Random(4)
+    rows, sal, want = set(), {}, set()
+    for g in range(12):
+        refs, constants = [f"r{i}" for i in range(rng.choice([1, 4, 9]))], [f"c{i}" for i in range(6)]
+        weight = {x: round(rng.random(), 1) for x in refs + constants if rng.random() < 0.9}
+        pairs = {(r, m) for r in refs for m in refs + constants if m != r and rng.random() < (0.25 if m in refs else 0.4)}
+        rows |= {(f"g{g}", *p) for p in pairs}
+        sal |= {(f"g{g}", c): v for c, v in weight.items()}
+        want |= {(f"g{g}", *x) for x in sequential(sorted(pairs), weight)}
+    pairs = spark.createDataFrame(sorted(rows), "graph_id string, ref string, match string")
+    salience = spark.createDataFrame([(*k, v) for k, v in sal.items()], "graph_id string, c string, salience double")
+    got = [tuple(r) for r in reference.chosen(pairs, salience).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_resolve_iter_over_a_table(spark, sf):
+    from quadloom.plans.references import nearby, resolve_iter
+
+    pairs, salience = (x.collect() for x in nearby(spark, sf))
+    want = sequential(sorted({(r.ref, r.match) for r in pairs}), {r.c: r.salience for r in salience})
+    assert sorted(map(tuple, resolve_iter(spark, sf).collect())) == sorted(want) and want
