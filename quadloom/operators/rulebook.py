@@ -122,10 +122,11 @@ def solve(quads: DataFrame, trie: DataFrame, types: DataFrame | None = None, fre
     if not found:
         return quads.select("graph_id", F.lit("").alias("rule"), F.create_map().cast("map<string,string>").alias("bindings")).limit(0)
     whole = reduce(DataFrame.union, found).join(sent(leaves), "node")
-    # in each order of a rule the names stand beside the same nodes, and a mark may be there twice
-    pairs = F.array_sort(F.arrays_zip(F.col("names").alias("k"), F.col("b").alias("v")))
-    distinct = whole.select("graph_id", "rule", pairs.alias("p")).distinct()
-    return distinct.select("graph_id", "rule", F.map_from_entries("p").alias("bindings"))
+    if fresh is None and trie.where("pid.kind = 'any' AND mask <> 'type'").isEmpty():
+        return whole.select("graph_id", "rule", F.map_from_arrays("names", "b").alias("bindings"))
+    # a solution was found from each of its fresh facts, or a fact is marked twice
+    pairs = F.sort_array(F.arrays_zip(F.col("names").alias("k"), F.col("b").alias("v")))
+    return whole.select("graph_id", "rule", pairs.alias("p")).distinct().select("graph_id", "rule", F.map_from_entries("p").alias("bindings"))
 
 
 def _step(partial: DataFrame | None, nodes: DataFrame, facts: DataFrame, types: DataFrame | None, mask: str) -> DataFrame:
