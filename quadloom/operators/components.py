@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.operators.closure import bounded
 from quadloom.sources.staging import staged
 
 
+#: Edges that are so few are handled in one task; more are spread.
+GATHERED = 100_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """(node, component): each node that has an edge to another, with the smallest node it reaches.
 
     Alternates large stars (a node's larger neighbours move to its smallest neighbour) and small stars (its smaller
     ones do) until the edges are stars around the smallest nodes; rounds grow with the logarithm of the size, and
     the edges never grow in number. Each round is written to the shared folder. Null ends and loops are dropped.
-    Goes on until the edges are stars; more than max_rounds is an error.
+    Goes on until the edges are stars; more than max_rounds is an error. At most GATHERED edges are kept in one partition, where
+    no round needs a shuffle.
     """
     a, b = F.col(f"`{src}`"), F.col(f"`{dst}`")
     now = staged(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -28,10 +33,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         bounded(n, max_rounds)
         last = sign
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
-        now = staged(small)
+        now = staged(_round(now) if sign[0] > GATHERED else _round_here(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def _round(now: DataFrame) -> DataFrame:
+    """A large and a small star over edges (u, v), u > v. The smallest neighbours are aggregated apart, so that a hot node's edges needn't meet."""
+    both = now.union(now.select("v", "u"))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
+
+
+def _round_here(now: DataFrame) -> DataFrame:
+    """The same for few edges, in one partition without a shuffle."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    both = now.union(now.select("v", "u")).coalesce(1).withColumn("m", F.least("u", least))
+    large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().withColumn("m", least)
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+    return large.select(ends).select("e.u", "e.v").where("u <> v").distinct()
