@@ -113,7 +113,7 @@ def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
 
     postings: stored (g, i, key, n), without repeats. sets_of: gives (key, g) of the keys of a stored table. first: pairs to
     try before all others. Star rounds tie most of a large group together by comparing its members with one of them; the last
-    round compares all pairs that are still apart and share one of their first shingles.
+    round compares all pairs of like size that are still apart and share one of their first shingles.
     """
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -136,7 +136,10 @@ def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
             low = band.groupBy("g", "band").agg(F.min_by(F.struct("key", "i", "n", "label"), F.struct(F.xxhash64("label", F.lit(turn)), "key")).alias("low"))
             met = band.alias("p").join(low.select("g", "band", "low.*").alias("q"), ["g", "band"])
         else:
-            met = now.alias("p").join(now.alias("q"), "g").where("p.key < q.key")
+            # near sets differ in size by a quarter at most, so they are in one band or in neighbouring ones
+            band = now.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))))
+            up = band.select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"))
+            met = band.withColumn("at", F.col("band")).alias("p").join(up.alias("q"), ["g", "at"]).where("p.band < q.band OR p.key < q.key")
         pairs = met.where("p.label <> q.label").where(_possible("p", "q")).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
         tried = tried.union(confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
         discard(now, labels)
@@ -144,8 +147,9 @@ def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text, _id, component_id) of every row: the smallest id reachable over near pairs. Texts without words are one group."""
-    rows = marked_rows(docs)
+    """(doc_id, _text, _id, component_id) of every row: the smallest id reachable over near pairs. Texts without words, null ones among them,
+    are one group. Texts of any length are taken whole; other columns are not read."""
+    rows = marked_rows(docs).drop("row")
     prints = staged(prefixes(rows.select(F.struct("doc_id", "_text", "_id").alias("row"), "text"), common_shingles(docs.select("text"))))
     named = staged(prints.select("row", "key"))
     spread = prints.select("key", "n", F.posexplode("prefix").alias("i", "g")).distinct()
@@ -171,5 +175,6 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies: the smallest doc_id's; of rows that agree in id and text, one."""
+    """docs with one row of each group of near copies: the smallest doc_id's; of rows that agree in id and text, one. Other columns pass
+    through, whatever their names; an empty table stays empty."""
     return keep_first(docs, near_copy_groups(docs))

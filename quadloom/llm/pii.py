@@ -289,7 +289,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count: str |
     real entity of the table. key: the secret; without it nobody can tell what a surrogate stands for. Null texts stay
     null (count 0); repeated rows, null ids and other columns, whatever their names, pass through; an empty table
     stays empty; texts of any length are searched whole. Texts are never shuffled unless surrogates collide, and then by a
-    hash of the text together with the few entities concerned; copies of one text in very many rows are then split by
+    hash of the text together with the few entities concerned, those without any by a hash of the row; copies of one text in very many rows are then split by
     Spark's skew join.
     """
     if not key:
@@ -305,7 +305,9 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count: str |
         texts = texts.withColumn("kind", kind_of(F.col("found"))).withColumn("entity", canonical(F.col("found"), F.col("kind"))).join(fixes, ["kind", "entity"])
         new = texts.select("_h", F.struct("found", surrogate(F.col("found"), key, F.col("attempt"), F.col("family"), F.col("kind"))))
         maps = new.toDF("_h", "_pair").groupBy("_h").agg(F.map_from_entries(F.collect_set("_pair")).alias("_fix"))
-        kept = kept.withColumn("_h", F.when(F.size("_found") > 0, F.xxhash64("_text"))).join(maps, "_h", "left")
+        # texts without an entity need no map; a hash of their rows spreads them
+        spread = F.xxhash64("_text", *(F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+        kept = kept.withColumn("_h", F.when(F.size("_found") > 0, F.xxhash64("_text")).otherwise(spread)).join(maps, "_h", "left")
         put = lambda x: F.coalesce(F.try_element_at(F.col("_fix"), x["found"]), surrogate(x["found"], key, kind=x["kind"]))
     between = F.zip_with(F.split("_text", ANY, -1), F.concat(F.transform(F.transform("_found", one), put), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     new_text = F.when(F.size("_found") > 0, F.array_join(between, "")).otherwise(F.col("_text"))

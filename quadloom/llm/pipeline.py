@@ -25,13 +25,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 100-byte strings that start earlier; null texts come out empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = substrings.remove_repeats(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
-    return _with_n_chars(left.select(*docs.columns))
+    whole = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("row"))
+    left = substrings.remove_repeats(whole, carry=["row"], as_text=True)
+    now = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    return _with_n_chars(left.select(*(now.get(c, F.col("row")[c]).alias(c) for c in docs.columns)))
 
 
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and secrets replaced by surrogates."""
-    return _with_n_chars(pii.replace_pii(docs, pii.QUERY_KEY))
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str = pii.QUERY_KEY) -> DataFrame:
+    """All documents, with personal data and secrets replaced by surrogates made under the key."""
+    return _with_n_chars(pii.replace_pii(docs, key))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,15 +59,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, key: str = pii.QUERY_KEY) -> DataFrame:
     """The stages over documents; each result but the last is written to the shared folder and read again.
 
     An empty table gives none, repeated rows are one from the second stage on, and further columns of documents are
-    carried along up to the last stage.
+    carried along up to the last stage, whatever their names. key: the secret of the surrogates; the default, which stands in the
+    source for all to read, is for tests and checks alone.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, key) if stage is private_data else stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs)
     return docs

@@ -171,8 +171,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def marked_rows(docs: DataFrame) -> DataFrame:
-    """docs with _text and _id, by which rows are told apart."""
-    return docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"))
+    """(row, doc_id, text, _text, _id): the whole row in one struct, so that its names can't clash, and marks by which rows are told apart."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(whole, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"))
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     stay = grouped.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_id", "_text").distinct()
     again = Window.partitionBy("_id", "_text").orderBy("_id")
     kept = marked_rows(docs).join(stay, ["_id", "_text"]).withColumn("_n", F.row_number().over(again)).where("_n = 1")
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
