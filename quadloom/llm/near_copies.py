@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import text_bytes
@@ -22,8 +22,8 @@ NEEDED = "9 * {shared} >= 4 * ({n} + {m})"
 #: One in so many texts tells which shingles are frequent, and at most COMMON of them are kept. Neither changes a
 #: result: any one order of the shingles finds all pairs.
 SAMPLE, COMMON = 16, 100_000
-#: Rounds that compare each text with one other of its bucket, before all that are still apart are compared.
-STARS = 2
+#: Rounds that compare each text with so many others of its bucket, before all that are still apart are compared.
+STARS, CENTRES = 2, 6
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -112,7 +112,7 @@ def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
     """Stored edges (a, b) whose connected groups are those of all near pairs.
 
     postings: stored (g, i, key, n), without repeats. sets_of: gives (key, g) of the keys of a stored table. first: pairs to
-    try before all others. Star rounds tie most of a large group together by comparing its members with one of them; the last
+    try before all others. Star rounds tie most of a large group together by comparing its members with a few of them; the last
     round compares all pairs of like size that are still apart and share one of their first shingles.
     """
 
@@ -132,9 +132,10 @@ def near_links(postings: DataFrame, sets_of, first: DataFrame) -> DataFrame:
         now = staged(postings.join(labels, postings["key"] == labels["node"], "left").select(*postings.columns, F.coalesce("component", "key").alias("label")))
         if turn < STARS:
             band = now.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
-            # another member stands for its bucket in each round
-            low = band.groupBy("g", "band").agg(F.min_by(F.struct("key", "i", "n", "label"), F.struct(F.xxhash64("label", F.lit(turn)), "key")).alias("low"))
-            met = band.alias("p").join(low.select("g", "band", "low.*").alias("q"), ["g", "band"])
+            # other members stand for their bucket in each round; a text that isn't near one centre of a large group is near another
+            place = F.row_number().over(Window.partitionBy("g", "band").orderBy(F.xxhash64("key", F.lit(turn)), "key"))
+            low = band.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
+            met = band.alias("p").join(low.alias("q"), ["g", "band"]).where("p.key <> q.key")
         else:
             # near sets differ in size by a quarter at most, so they are in one band or in neighbouring ones
             band = now.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))))
