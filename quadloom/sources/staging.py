@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +26,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All tables that are staged within go when it ends; what is to stay must have been written elsewhere by then."""
+    folder = f"{shared_dir(spark)}/quadloom-scratch-{uuid.uuid4().hex}"
+    outer = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(outer)
+        remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; other tables are left alone."""
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if folder.rsplit("/", 1)[1].startswith("quadloom-"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                remove_folder(spark, folder)
 
 
 #: Rows of a few bytes that are sent to all tasks without further thought.
@@ -52,7 +74,7 @@ def staged(df: DataFrame) -> DataFrame:
     The shuffle files that made the table are no longer needed once it is written, so Spark may drop them then.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quadloom-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark)}/quadloom-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
