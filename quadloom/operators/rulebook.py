@@ -173,15 +173,16 @@ def filled(found: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("pid", F.coalesce("pid", made)).select(*FACT, "rule", "evidence")
 
 
-def chain_stored(quads: DataFrame, edges: DataFrame, conditions: DataFrame | None = None, rounds: int | None = None, types: DataFrame | None = None) -> DataFrame:
+def chain_stored(quads: DataFrame, edges: DataFrame, conditions: DataFrame | None = None, rounds: int | None = None, types: DataFrame | None = None, tries: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """infer.chain() of stored rules: new facts (FACT) of so many rounds, or of as many as bring something new.
 
-    After the first round every solution begins with a fact of the last one.
+    After the first round every solution begins with a fact of the last one. tries: compiled() of the rules without and with delta,
+    where they are at hand already.
     """
-    edges = staged(edges)
+    edges = edges if tries else staged(edges)
     known = staged(quads.select(FACT))
     says = lambda q: q.select("graph_id", "s", "t", F.coalesce("o", F.lit("")).alias("oo")).distinct()
-    parts, fresh, trie = [], None, compiled(edges, conditions)
+    parts, fresh, trie = [], None, tries[0] if tries else compiled(edges, conditions)
     for n in count(1):
         if rounds is not None and n > rounds:
             break
@@ -192,7 +193,7 @@ def chain_stored(quads: DataFrame, edges: DataFrame, conditions: DataFrame | Non
             discard(new)
             break
         if n == 1:
-            trie = compiled(edges, conditions, delta=True)
+            trie = tries[1] if tries else compiled(edges, conditions, delta=True)
         parts.append(new)
         fresh, known = new, known.union(new)
         if n % MERGE == 0:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quadloom.operators import linear, reference
 from quadloom.operators.closure import types
+from quadloom.operators.infer import Rule
 from quadloom.plans import texts
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import event_graph, star_graph, star_salience
+from quadloom.sources.rules import read_edges, write_rules
 from quadloom.sources.staging import staged
-from quadloom.streaming import dialog
+from quadloom.streaming import conversation, dialog
 
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 _node = lambda p, x: F.concat(F.lit(p), x)
@@ -186,3 +188,36 @@ def dialog_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = staged(texts.dictionary(spark, sf_dir))
     said = _read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("session"), "turn", "text")
     return dialog.run_turns(dialog.starting(spark), said, phrases, staged(dialog.knowledge(phrases)), texts.SIZES)
+
+
+TALK_RULES = [
+    Rule("curious", [("?x", "mention", "?y"), ("?y", "type", "topic")], [("?x", "ask_like", "?y")]),
+    Rule("offer", [("?x", "like", "?y", "?p"), ("?y", "type", "topic")], [("?x", "may_read", "?y")]),
+]
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say, as facts: the longest word of an utterance is a topic that is mentioned; an utterance of an even number of letters says yes to
+    what was asked before it, another no; and every third of a conversation asks which topic was meant."""
+    rows = _read(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    longest = F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"]
+    k = F.col("turn").cast("string")  # users' turns count from 0 in each conversation
+    base = rows.select(F.col("conv_id").cast("string").alias("session"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1).cast("long").alias("turn"), longest.alias("w"), F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("n")).where("w IS NOT NULL")
+    row = lambda kind, s, t, o, pid: F.struct(F.lit(kind).alias("row"), s.alias("s"), F.lit(t).alias("t"), o.alias("o"), pid.alias("pid"))
+    me, none, it = F.lit("user"), F.lit(None).cast("string"), F.concat(F.lit("which:"), k)
+    pid = lambda p: F.concat(F.lit(f"{p}:"), k)
+    reply = F.when(F.col("n") % 2 == 0, row("fact", me, "affirm", F.lit("yes"), pid("r"))).otherwise(row("fact", me, "reject", F.lit("no"), pid("r")))
+    plain = F.array(row("fact", me, "mention", F.col("w"), pid("m")), row("fact", F.col("w"), "type", F.lit("topic"), pid("t")), reply)
+    asks = [row("fact", it, "type", F.lit("topic"), pid("it")), row("fact", me, "mention", it, pid("im")), row("link", it, "ref", pid("it"), none), row("link", it, "ref", pid("im"), none), row("link", it, "var", it, none), row("ask", it, "arg", none, pid("q"))]
+    every = F.when(F.col("turn") % 3 == 2, F.concat(plain, F.array(*asks))).otherwise(plain)
+    return base.select("session", "turn", F.explode(every).alias("x")).select("session", "turn", "x.row", "x.s", "x.t", "x.o", "x.pid")
+
+
+@query("dialog_full")
+def dialog_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to all user turns with references resolved, questions asked and answered, and rules fired: the batch twin of converse()."""
+    path = write_rules(spark, TALK_RULES)
+    kb = staged(_read(spark, sf_dir, "conversations").select(F.lit("kb").alias("graph_id"), F.lit("topic").alias("s"), F.lit("type").alias("t"), F.concat(F.lit("role:"), "role").alias("o"), F.concat(F.lit("kb:"), "role").alias("pid")).distinct())
+    know = conversation.Knowledge(kb, read_edges(spark, path))
+    return conversation.run_turns(conversation.starting(spark), parsed(spark, sf_dir), know)[1].select("session", "turn", "kind", "text")

@@ -7,7 +7,7 @@ reads and writes the sessions that speak alone. A derived fact `ask_x`(s, o) is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quadloom.operators.closure import types
 from quadloom.operators.mutate import FACT, add, renamed, representatives
 from quadloom.operators.reference import open_request, resolved, truth_answers
-from quadloom.operators.rulebook import chain_stored
+from quadloom.operators.rulebook import chain_stored, compiled
 from quadloom.operators.salience import DECAY
 from quadloom.sources.staging import remove_folder, scratch, staged
 
@@ -34,11 +34,17 @@ FALLBACK, ROUNDS, COMPACT = "tell me more", 2, 10
 
 @dataclass(frozen=True)
 class Knowledge:
-    """Facts that hold in every session (types above all), and stored rules with their conditions."""
+    """Facts that hold in every session (types above all), and stored rules with their conditions; tries: the rules compiled, once."""
 
     facts: DataFrame
     edges: DataFrame
     conditions: DataFrame | None = None
+    tries: tuple[DataFrame, DataFrame] | None = None
+
+    def ready(self) -> Knowledge:
+        if self.tries:
+            return self
+        return replace(self, edges=staged(self.edges), tries=(compiled(self.edges, self.conditions), compiled(self.edges, self.conditions, delta=True)))
 
 
 def starting(spark: SparkSession, facts: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -83,7 +89,7 @@ def step(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple
     denied = told.where("says = 'no'").select("graph_id", F.col("pid").alias("s"), F.lit("not").alias("t"), F.lit(None).cast("string").alias("o"), F.concat(F.lit("q:"), "pid", F.lit("|not|")).alias("pid"))
     facts = staged(add(facts, told.select(FACT).union(denied)))
 
-    derived = staged(chain_stored(facts, know.edges, know.conditions, ROUNDS, kinds).where("t NOT IN ('not', 'maybe')"))
+    derived = staged(chain_stored(facts, know.edges, know.conditions, ROUNDS, kinds, know.tries).where("t NOT IN ('not', 'maybe')"))
     facts = add(facts, derived)
 
     settled = pairs.join(names.select("graph_id", F.col("old").alias("ref"), "new"), ["graph_id", "ref"], "left").select("graph_id", F.coalesce("new", "ref").alias("focus")).distinct()
@@ -108,7 +114,7 @@ def step(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple
 
 def run_turns(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple[dict[str, DataFrame], DataFrame]:
     """(state of the sessions in said, responses): one turn of all sessions after another, in the order of their numbers."""
-    spark, said, parts = said.sparkSession, staged(said), []
+    spark, said, parts, know = said.sparkSession, staged(said), [], know.ready()
     spoken = said.select(F.col("session").alias("graph_id")).distinct()
     state = {k: staged(v.join(spoken, "graph_id", "left_semi")) for k, v in state.items()}
     for turn in sorted(r.turn for r in said.select("turn").distinct().collect()):  # as many as the longest session has turns
@@ -175,7 +181,7 @@ def converse(said: DataFrame, path: str, know: Knowledge, checkpoint: str, facts
     session first speaks. A batch's folders are overwritten when it runs again; its intermediate tables go when it ends.
     """
     spark = said.sparkSession
-    sessions = Sessions(spark, path, compact)
+    sessions, know = Sessions(spark, path, compact), know.ready()
 
     def batch(rows: DataFrame, number: int) -> None:
         sessions.tidy(number)
