@@ -41,6 +41,26 @@ def first_of_each(rows: DataFrame, by: list[str], order: list, n: int) -> DataFr
     return rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= n).drop("_k")
 
 
+def within_reach(start: DataFrame, edges: DataFrame, hops: int, branch: int | None = None, limit: int | None = None) -> DataFrame:
+    """(node, hop, weight): what lies within so many hops of the nodes start (c) along edges (src, dst, weight), with the fewest hops and
+    the greatest weight of an edge that leads there in that hop.
+
+    branch: only so many edges of a node are followed, the heaviest, ties to the smaller dst; they are cut once, before any hop, and in
+    each task before the shuffle. limit: only so many nodes are kept, nearer ones first, then heavier, then smaller ones; each task
+    sends no more than that.
+    """
+    cut = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    cut = staged(cut if branch is None else first_of_each(cut, ["src"], [F.desc("weight"), "dst"], branch))
+    new = seen = start.select(F.col("c").alias("node")).distinct()
+    out = None
+    for k in range(1, hops + 1):
+        step = new.join(cut, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("weight").alias("weight"))
+        found = staged(step.join(seen, "node", "left_anti").select("node", F.lit(k).alias("hop"), "weight"))
+        out = found if out is None else out.union(found)
+        new, seen = found.select("node"), seen.union(found.select("node"))
+    return out if limit is None else out.orderBy("hop", F.desc("weight"), "node").limit(limit)
+
+
 def shared_neighbours(edges: DataFrame) -> DataFrame:
     """(a, b, node): nodes next to two of the few pullers in edges (c, node), a < b."""
     other = edges.select(F.col("c").alias("b"), "node")

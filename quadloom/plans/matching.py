@@ -160,6 +160,25 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(quads.where("s = 'r:0'").select(F.col("s").alias("c")).distinct(), edges, 2).where("hop > 0").select("node", "hop")
 
 
+_HOPS = "SELECT x.b AS node, max(x.w) AS w FROM x JOIN {0} h ON h.node = x.a WHERE {1} GROUP BY x.b"
+
+
+@query("khop_limits", f"""
+WITH e AS (SELECT s AS a, o AS b FROM quads WHERE t IN ('part_of', 'in', 'place') UNION SELECT o, s FROM quads WHERE t IN ('part_of', 'in', 'place')),
+sal AS (SELECT concat('c:', c_custkey) AS c, least(1.0, greatest(0.0, CAST(c_acctbal AS DOUBLE) / 10000)) AS v FROM customer UNION ALL SELECT concat('o:', o_orderkey), CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.5 END FROM orders),
+k AS (SELECT a, b, coalesce(v, 0.0) AS w, row_number() OVER (PARTITION BY a ORDER BY coalesce(v, 0.0) DESC, b) AS k FROM e LEFT JOIN sal ON c = b), x AS MATERIALIZED (SELECT a, b, w FROM k WHERE k <= 20),
+h0 AS (SELECT 'r:0' AS node), h1 AS MATERIALIZED ({_HOPS.format("h0", "x.b <> 'r:0'")}), h2 AS MATERIALIZED ({_HOPS.format("h1", "x.b <> 'r:0' AND x.b NOT IN (SELECT node FROM h1)")}),
+h3 AS ({_HOPS.format("h2", "x.b <> 'r:0' AND x.b NOT IN (SELECT node FROM h1) AND x.b NOT IN (SELECT node FROM h2)")})
+SELECT node, hop, w AS weight FROM (SELECT node, 1 AS hop, w FROM h1 UNION ALL SELECT node, 2, w FROM h2 UNION ALL SELECT node, 3, w FROM h3) ORDER BY hop, w DESC, node LIMIT 300""", "star")
+def khop_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hops around a region, at most twenty ways on from each node, the most salient first, and 300 nodes in all."""
+    quads = star_graph(spark, sf_dir).where("t IN ('part_of', 'in', 'place')")
+    both = quads.select(F.col("s").alias("src"), F.col("o").alias("dst")).union(quads.select("o", "s"))
+    weight = star_salience(spark, sf_dir).where("c NOT LIKE 'p:%'").select(F.col("c").alias("dst"), F.col("salience").alias("weight"))
+    edges = both.join(weight, "dst", "left").select("src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return retrieve.within_reach(quads.where("o = 'r:0'").select(F.col("o").alias("c")), edges, 3, 20, 300)
+
+
 @query("subsumption", """
 WITH p AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS x FROM lineitem), n AS (SELECT c, count(*) AS n FROM p GROUP BY c)
 SELECT concat('o:', a.c) AS a, concat('o:', b.c) AS b FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c JOIN n ON n.c = a.c GROUP BY a.c, b.c, n.n HAVING count(*) = n.n""", "star")

@@ -192,3 +192,15 @@ def test_chain_finds_what_naive_rounds_find(spark):
     while more := {(a, d) for a, b in whole for c, d in whole if b == c} - whole:
         whole |= more
     assert got == whole - facts
+
+
+def test_limits_of_a_pull(spark):
+    from quadloom.operators.retrieve import within_reach
+
+    edges = spark.createDataFrame([("a", "b", 3.0), ("a", "c", 2.0), ("a", "d", 2.0), ("a", "b", 1.0), ("b", "e", 1.0), ("b", "a", 9.0), ("c", "e", 4.0), ("e", "f", 1.0), ("d", "x", 5.0)], "src string, dst string, weight double")
+    start = spark.createDataFrame([("a",), ("a",)], "c string")
+    got = lambda *limits: {tuple(r) for r in within_reach(start, edges, *limits).collect()}
+    assert got(1) == {("b", 1, 3.0), ("c", 1, 2.0), ("d", 1, 2.0)}
+    assert got(2) == got(1) | {("e", 2, 4.0), ("x", 2, 5.0)}
+    assert got(3, 2) == {("b", 1, 3.0), ("c", 1, 2.0), ("e", 2, 4.0), ("f", 3, 1.0)}  # of ties the smaller
+    assert got(3, None, 4) == got(1) | {("x", 2, 5.0)}
