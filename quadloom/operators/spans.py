@@ -132,3 +132,21 @@ def first_by_rank(hits: DataFrame, keys: list[str]) -> DataFrame:
     """Of hits on the same span the one with the smallest rank."""
     best = Window.partitionBy(*keys, "start", "end").orderBy("rank", "phrase")
     return hits.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+
+
+def sections(rows: DataFrame, by: list[str], order: str, mark: str) -> DataFrame:
+    """rows with depth, section and closed: where each lies between start (mark 1) and end markers (mark -1), other rows having mark 0.
+
+    Depth counts the open starts after the row; an end without an open start is nothing. A section runs from a start at depth 1
+    to the end that brings the depth back to 0, nested ones included, and is numbered from 1 within `by`; rows outside have a null
+    section. closed: whether the section has its end; one that lacks it runs to the last row. Null marks count as 0.
+    """
+    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.coalesce(F.signum(F.col(mark)).cast("long"), F.lit(0))
+    out = rows.withColumn("_sum", F.sum(sign).over(so_far)).withColumn("_low", F.least(F.lit(0), F.min("_sum").over(so_far)))
+    out = out.withColumn("depth", F.col("_sum") - F.col("_low"))
+    before = F.coalesce(F.lag("depth").over(Window.partitionBy(*by).orderBy(order)), F.lit(0))
+    out = out.withColumn("_before", before).withColumn("_n", F.sum(F.when((F.col("_before") == 0) & (F.col("depth") == 1), 1).otherwise(0)).over(so_far))
+    out = out.withColumn("section", F.when((F.col("depth") > 0) | (F.col("_before") > 0), F.col("_n")))
+    ended = F.max((F.col("_before") > 0) & (F.col("depth") == 0)).over(Window.partitionBy(*by, "section"))
+    return out.withColumn("closed", F.when(F.col("section").isNotNull(), ended)).drop("_sum", "_low", "_before", "_n")

@@ -211,6 +211,24 @@ def between_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("starts", opened).groupBy("doc_id").agg(F.sum(F.when((F.col("starts") > 0) & F.col("line").like("%."), 1).otherwise(0)).cast("long").alias("n"))
 
 
+_TAGS = "</?(?:ul|nav|article)>|<li>|<p>"
+
+
+@query("marked_sections", f"""
+WITH g AS (SELECT page_id, regexp_extract_all(html, '{_TAGS}') AS tags FROM pages), l AS (SELECT page_id, unnest(range(0, len(tags))) AS i, unnest(tags) AS tag FROM g),
+m AS (SELECT *, CASE WHEN tag LIKE '</%' THEN -1 WHEN tag IN ('<ul>', '<nav>', '<article>') THEN 1 ELSE 0 END AS mark FROM l),
+s AS (SELECT *, sum(mark) OVER (PARTITION BY page_id ORDER BY i) AS s FROM m), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s),
+b AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY page_id ORDER BY i), 0) AS before FROM d), n AS (SELECT *, sum(CASE WHEN before = 0 AND depth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS section FROM b)
+SELECT page_id, CAST(section AS BIGINT) AS section, CAST(count(*) FILTER (mark = 0) AS BIGINT) AS n_entries, CAST(max(depth) AS BIGINT) AS deepest, bool_or(before > 0 AND depth = 0) AS closed
+FROM n WHERE depth > 0 OR before > 0 GROUP BY page_id, section""")
+def marked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outermost lists, navigation blocks and articles of every page, with their entries and how deep they nest."""
+    tags = _read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("i", "tag"))
+    mark = F.when(F.col("tag").startswith("</"), -1).when(F.col("tag").isin("<ul>", "<nav>", "<article>"), 1).otherwise(0)
+    found = spans.sections(tags.withColumn("mark", mark), ["page_id"], "i", "mark").where("section IS NOT NULL")
+    return found.groupBy("page_id", "section").agg(F.count_if(F.col("mark") == 0).alias("n_entries"), F.max("depth").alias("deepest"), F.bool_or("closed").alias("closed"))
+
+
 @query("emit_exprs", "SELECT DISTINCT concat('expr(\"', p_name, '\", ', p_type, ')') AS line FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 10 = 0)")
 def emit_exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")

@@ -204,3 +204,16 @@ def test_limits_of_a_pull(spark):
     assert got(2) == got(1) | {("e", 2, 4.0), ("x", 2, 5.0)}
     assert got(3, 2) == {("b", 1, 3.0), ("c", 1, 2.0), ("e", 2, 4.0), ("f", 3, 1.0)}  # of ties the smaller
     assert got(3, None, 4) == got(1) | {("x", 2, 5.0)}
+
+
+def test_marked_sections(spark):
+    from quadloom.operators.spans import sections
+
+    marks = {1: [-1, 0, 1, 0, 1, 0, -1, -1, 0, 1, 0], 2: [0, None, -1], 3: [1, -1, 1, -1]}
+    rows = spark.createDataFrame([(k, i, m) for k, ms in marks.items() for i, m in enumerate(ms)], "g int, i int, mark int")
+    got = {}
+    for r in sections(rows, ["g"], "i", "mark").orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append((r.depth, r.section, r.closed))
+    out, one, two = (0, None, None), lambda d: (d, 1, True), lambda d, c: (d, 2, c)
+    assert got[1] == [out, out, one(1), one(1), one(2), one(2), one(1), one(0), out, two(1, False), two(1, False)]
+    assert got[2] == [out] * 3 and got[3] == [one(1), one(0), two(1, True), two(0, True)]
