@@ -179,6 +179,7 @@ def converse(said: DataFrame, path: str, know: Knowledge, checkpoint: str, facts
 
     A micro-batch may hold several turns of a session; they are taken in order. facts: what sessions begin with; they are taken in when a
     session first speaks. A batch's folders are overwritten when it runs again; its intermediate tables go when it ends.
+    The compiled rules stay for the next stream where know is ready().
     """
     spark = said.sparkSession
     sessions, know = Sessions(spark, path, compact), know.ready()

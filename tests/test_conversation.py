@@ -45,7 +45,7 @@ WANT = {
 def know(spark, tmp_path_factory):
     path = write_rules(spark, RULES, str(tmp_path_factory.mktemp("rules")))
     facts = spark.createDataFrame([("kb", "dog", "type", "animal", "k1")], FACT)
-    return talk.Knowledge(facts, read_edges(spark, path))
+    return talk.Knowledge(facts, read_edges(spark, path)).ready()
 
 
 def responses(df):
