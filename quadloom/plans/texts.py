@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import text as fn
-from quadloom.operators import spans
+from quadloom.operators import phrases, spans
 from quadloom.plans.registry import query
+from quadloom.sources.graphs import star_graph
 
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 SIZES = [2, 3]
@@ -45,6 +46,27 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir)
 
 
+@query("expression_dict", "SELECT DISTINCT graph_id, lower(replace(s, '\"', '')) AS phrase, o AS concept FROM quads WHERE t = 'expr' AND regexp_matches(s, '[ ''-]')", "star")
+def expression_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.expression_dictionary(star_graph(spark, sf_dir))
+
+
+_RUNS = "unnest(range(1, 9)) AS m(n), unnest(range(1, greatest(len(toks) - n + 2, 1))) AS u(i)"
+
+
+@query("expression_hits", f"""
+WITH b AS (SELECT {_TOK} AS toks FROM benchmark), d AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+e AS (SELECT DISTINCT array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM b, {_RUNS} WHERE n > 1)
+SELECT doc_id, phrase, CAST(i AS INTEGER) AS "start", CAST(i + n AS INTEGER) AS "end" FROM (SELECT doc_id, n, i, array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM d, {_RUNS}) JOIN e USING (phrase)""")
+def expression_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places in the documents where expressions of two to eight words stand; the expressions are facts about the benchmark's texts."""
+    runs = spans.ngrams(_read(spark, sf_dir, "benchmark").select("item_id", spans.tokens(F.col("text")).alias("toks")), ["item_id"], "toks", list(range(1, 9)))
+    quote = F.concat(F.lit('"'), "phrase", F.lit('"'))
+    facts = runs.select(F.lit("g").alias("graph_id"), quote.alias("s"), F.lit("expr").alias("t"), F.concat(F.lit("b:"), "item_id").alias("o"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", spans.tokens(F.col("text")).alias("toks"))
+    return phrases.find_phrases(docs, ["doc_id"], "toks", phrases.expression_dictionary(facts))
+
+
 @query("no_subsets", f"WITH {_HITS} SELECT * FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.key = a.key AND b.\"start\" <= a.\"start\" AND a.\"end\" <= b.\"end\" AND b.\"end\" - b.\"start\" > a.\"end\" - a.\"start\")")
 def no_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.without_subsets(hits(spark, sf_dir), ["key"])
