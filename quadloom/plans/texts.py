@@ -51,13 +51,17 @@ def expression_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.expression_dictionary(star_graph(spark, sf_dir))
 
 
-_RUNS = "unnest(range(1, 9)) AS m(n), unnest(range(1, greatest(len(toks) - n + 2, 1))) AS u(i)"
+def _runs(src: str, key: str) -> str:
+    """SQL of all runs of two to eight words: each word beside the seven that follow."""
+    after = ", ".join(f"lead(w, {k}) OVER (PARTITION BY {key} ORDER BY i) AS w{k}" for k in range(1, 8))
+    runs = " UNION ALL ".join(f"SELECT {key}, i, {n} AS n, " + " || ' ' || ".join(["w", *(f"w{k}" for k in range(1, n))]) + f" AS phrase FROM {src}_w" for n in range(2, 9))
+    return f"{src}_t AS (SELECT {key}, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS w FROM {src}), {src}_w AS (SELECT *, {after} FROM {src}_t), {src}_r AS ({runs})"
 
 
 @query("expression_hits", f"""
-WITH b AS (SELECT {_TOK} AS toks FROM benchmark), d AS (SELECT doc_id, {_TOK} AS toks FROM documents),
-e AS (SELECT DISTINCT array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM b, {_RUNS} WHERE n > 1)
-SELECT doc_id, phrase, CAST(i AS INTEGER) AS "start", CAST(i + n AS INTEGER) AS "end" FROM (SELECT doc_id, n, i, array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM d, {_RUNS}) JOIN e USING (phrase)""")
+WITH b AS (SELECT item_id, {_TOK} AS toks FROM benchmark), d AS (SELECT doc_id, {_TOK} AS toks FROM documents), {_runs("b", "item_id")}, {_runs("d", "doc_id")},
+e AS (SELECT DISTINCT phrase FROM b_r WHERE phrase IS NOT NULL)
+SELECT doc_id, phrase, CAST(i AS INTEGER) AS "start", CAST(i + n AS INTEGER) AS "end" FROM d_r JOIN e USING (phrase)""")
 def expression_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places in the documents where expressions of two to eight words stand; the expressions are facts about the benchmark's texts."""
     runs = spans.ngrams(_read(spark, sf_dir, "benchmark").select("item_id", spans.tokens(F.col("text")).alias("toks")), ["item_id"], "toks", list(range(1, 9)))
