@@ -182,6 +182,22 @@ def linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.linearized(tree)
 
 
+@query("spanning_forest", """
+WITH last AS (SELECT graph_id, pid AS root, t, o FROM acts QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY turn DESC) = 1),
+x AS (SELECT a.*, last.root, last.o AS first, row_number() OVER (PARTITION BY a.graph_id, a.o ORDER BY a.pid) AS nth FROM acts a JOIN last USING (graph_id) WHERE a.pid <> last.root)
+SELECT graph_id, root, root AS node, NULL AS parent, 'root' AS label, false AS reverse, t AS kind, 0 AS depth, false AS again FROM last
+UNION ALL SELECT graph_id, root, graph_id, root, 'arg0', false, NULL, 1, false FROM last UNION ALL SELECT graph_id, root, o, root, 'arg1', false, NULL, 1, false FROM last
+UNION ALL SELECT graph_id, root, pid, graph_id, 'link', false, t, 2, false FROM x UNION ALL SELECT graph_id, root, o, pid, 'arg1', false, NULL, 3, o = first OR nth > 1 FROM x
+UNION ALL SELECT graph_id, t, t, NULL, 'root', false, NULL, 0, false FROM (SELECT DISTINCT graph_id FROM acts), (SELECT DISTINCT t FROM acts) WHERE (graph_id, t) NOT IN (SELECT graph_id, t FROM acts)""", "events")
+def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's graph from the last event on, which is asserted; all types of events are referred to, those without an event stand alone."""
+    acts = staged(event_graph(spark, sf_dir))
+    fact = lambda t, o, pid: [F.lit("user").alias("s"), F.lit(t).alias("t"), o, pid.alias("pid")]
+    last = acts.groupBy("graph_id").agg(F.max_by("pid", "turn").alias("o")).select("graph_id", *fact("assert", F.col("o"), F.lit("assert")))
+    refs = acts.select("graph_id").distinct().join(F.broadcast(acts.select(F.col("t").alias("o")).distinct()))  # a row for each type of event
+    return linear.spanning_forest(acts.select(last.columns).union(last).union(refs.select("graph_id", *fact("ref", F.col("o"), F.concat(F.lit("ref:"), "o")))))
+
+
 @query("dialog_batch")
 def dialog_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses to the user turns of all conversations, with the phrase dictionary as knowledge: the turn pipeline's batch twin."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import text as fn
+from quadloom.operators import mentions as placed
 from quadloom.operators import phrases, spans
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import star_graph
@@ -123,6 +124,20 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.concat("phrase", F.lit("@"), "key", F.lit("#"), F.col("start").cast("string")).alias("mention"), F.col("phrase").alias("t"))
 
 
+@query("mention_instances", f"""WITH {_HITS}, m AS (SELECT DISTINCT key, phrase, "start", "end", concat('ph:', phrase) AS concept, phrase IN (SELECT phrase FROM g WHERE key LIKE 'b%') AS known FROM hits),
+n AS (SELECT *, row_number() OVER (ORDER BY key, "start", "end", concept) + (SELECT max(conv_id) FROM conversations) AS k FROM m WHERE NOT known),
+a AS (SELECT key, "start", "end", concept, concept AS node, false AS fresh FROM m WHERE known UNION ALL SELECT key, "start", "end", concept, concat('m_', k), true FROM n)
+SELECT concat(key, '_', "start", '_', "end") AS graph_id, node AS s, 'type' AS t, concept AS o FROM a WHERE fresh UNION ALL SELECT concat(key, '_', "start", '_', "end"), node, 'focus', NULL FROM a UNION ALL SELECT concat(key, '_', "start", '_', "end"), concept, 'center', NULL FROM a""")
+def mention_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about the phrases in conversations: those of the benchmark are known things, others are classes; the conversations' own nodes m_<id> are in use."""
+    found = hits(spark, sf_dir)
+    concept = F.concat(F.lit("ph:"), "phrase").alias("concept")
+    known = spans.ngrams(_read(spark, sf_dir, "benchmark").select("item_id", spans.tokens(F.col("text")).alias("toks")), ["item_id"], "toks", SIZES)
+    used = _read(spark, sf_dir, "conversations").select(F.concat(F.lit("m_"), "conv_id").alias("id"))
+    nodes = placed.instantiated(found, ["key"], found.select("phrase", concept), known.select(concept), "m_", used)
+    return placed.mention_facts(nodes, ["key"]).select("graph_id", "s", "t", "o")
+
+
 @query("reconcile_mentions", f"""WITH {_HITS}, l AS (SELECT DISTINCT key, "start", "end" FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.key = a.key AND b."start" < a."end" AND a."start" < b."end" AND b."end" - b."start" > a."end" - a."start")),
 v AS (SELECT DISTINCT unnest({_TOK}) AS w FROM benchmark), c AS (SELECT concat(conv_id, '_', turn) AS key, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS ws FROM conversations),
 t AS (SELECT key, CAST(i AS INTEGER) AS i, ws[i] AS w FROM c, unnest(range(1, len(ws) + 1)) AS u(i)), f AS (SELECT t.key, t.i, t.w, v.w IS NOT NULL AS known FROM t LEFT JOIN v ON v.w = lower(t.w) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.key = t.key AND l."start" <= t.i AND t.i < l."end"))
