@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import text as fn
 from quadloom.operators import mentions as placed
-from quadloom.operators import phrases, spans
+from quadloom.operators import parse, phrases, spans
+from quadloom.operators.closure import types
+from quadloom.operators.match import match
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import star_graph
 
@@ -162,6 +164,55 @@ def ingest_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toks.select(F.when(first, node(F.col("i") + 1)).otherwise(node(F.col("i"))).alias("s"), F.when(first, "assert").otherwise("dep").alias("t"), F.when(~first, node(F.col("i") + 1)).alias("o"))
 
 
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_TAG_OF = " ".join(f"WHEN w IN ({_in(of)}) THEN '{t}'" for t, of in reversed(parse.WORDS.items()))
+_BACK, _ON = "(PARTITION BY key, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY key, n ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+_ABOVE = ", ".join(f"('{k}', '{v}')" for k, v in [*parse.KINDS.items(), *((k, parse.KINDS[v]) for k, v in parse.KINDS.items() if v in parse.KINDS)])
+_PARSE = f"""s AS (SELECT concat(conv_id, '_', turn) AS key, unnest(range(1, len(string_split_regex(text, '[.!?\\n]+')) + 1)) AS n, unnest(string_split_regex(text, '[.!?\\n]+')) AS text FROM conversations),
+tk AS (SELECT key, n, {_TOK} AS toks FROM s), w0 AS (SELECT key, n, unnest(range(1, len(toks) + 1)) AS j, unnest(toks) AS w FROM tk),
+w1 AS (SELECT key, n, w, row_number() OVER (PARTITION BY key ORDER BY n, j) AS i, CASE {_TAG_OF} WHEN regexp_matches(w, '{parse.VERB}') THEN 'vb' ELSE 'nn' END AS tag FROM w0),
+w2 AS (SELECT *, coalesce(min(CASE WHEN tag IN ('vb', 'md') THEN i END) OVER (PARTITION BY key, n), min(CASE WHEN tag = 'nn' THEN i END) OVER (PARTITION BY key, n), min(i) OVER (PARTITION BY key, n)) AS r,
+ max(CASE WHEN tag IN ('vb', 'nn') THEN i END) OVER {_BACK} AS p, min(CASE WHEN tag IN ('vb', 'nn') THEN i END) OVER {_ON} AS nx, max(CASE WHEN tag <> 'dt' THEN i END) OVER {_BACK} AS q FROM w1),
+w3 AS (SELECT a.*, b.tag AS qt FROM w2 a LEFT JOIN w1 b ON b.key = a.key AND b.i = a.q),
+arc AS (SELECT key, i, CASE WHEN i = r THEN NULL WHEN tag IN ('dt', 'md') THEN coalesce(nx, r) WHEN tag IN ('in', 'cc') THEN coalesce(p, r) WHEN qt = 'in' THEN q WHEN qt = 'cc' THEN coalesce(p, r) ELSE r END AS head,
+ CASE WHEN i = r THEN 'root' WHEN tag = 'dt' THEN 'det' WHEN tag = 'md' THEN 'aux' WHEN tag = 'in' THEN 'case' WHEN tag = 'cc' THEN 'coord' WHEN qt = 'in' THEN 'pobj' WHEN qt = 'cc' THEN 'conj' WHEN i < r THEN 'nsbj' ELSE 'obj' END AS label FROM w3)"""
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of all turns, each turn a graph, by the rule of parse.sketched()."""
+    from quadloom.sources.staging import staged
+
+    said = _read(spark, d, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("graph_id"), F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence", "text"))
+    words = said.select("graph_id", "sentence", F.posexplode(spans.tokens(F.col("text"))).alias("j", "word"))
+    words = words.withColumn("i", F.row_number().over(Window.partitionBy("graph_id").orderBy("sentence", "j")))
+    parsed = staged(parse.sketched(words))
+    kinds = spark.createDataFrame(list(parse.KINDS.items()), "kind string, sup string")
+    return parse.parse_facts(parsed, parsed, kinds)
+
+
+@query("ingest_parse", f"""WITH {_PARSE}, above(c, sup) AS (VALUES {_ABOVE}), c AS (SELECT DISTINCT key, tag AS c FROM w1 UNION SELECT DISTINCT key, label FROM arc WHERE head IS NOT NULL)
+SELECT key AS graph_id, concat(key, '#', i) AS s, 'type' AS t, tag AS o FROM w1 UNION ALL SELECT key, concat(key, '#', i), 'type', 'span' FROM w1 UNION ALL SELECT DISTINCT key, tag, 'type', 'pstg' FROM w1
+UNION ALL SELECT key, c, 'type', sup FROM c JOIN above USING (c) UNION ALL SELECT key, concat(key, '#', head), label, concat(key, '#', i) FROM arc WHERE head IS NOT NULL
+UNION ALL SELECT key, concat(key, '#', i), 'assert', NULL FROM arc WHERE head IS NULL""")
+def ingest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("graph_id", "s", "t", "o")
+
+
+@query("match_parse", f"""WITH {_PARSE}, tg AS (SELECT key, i, tag FROM w1)
+SELECT x.key AS graph_id, concat(x.key, '#', y.head) AS h, concat(x.key, '#', y.i) AS a, concat(x.key, '#', x.i) AS c FROM arc x JOIN arc y ON y.key = x.key AND y.i = x.head JOIN tg h ON h.key = y.key AND h.i = y.head
+WHERE x.label = 'det' AND y.label = 'obj' AND h.tag IN ('vb', 'md')""")
+def match_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determined objects of verbs: a pattern over arcs whose ends are told by the kinds above their tags."""
+    from quadloom.sources.staging import staged
+
+    facts = staged(_parsed(spark, sf_dir))
+    found = match(facts, [("?h", "obj", "?a"), ("?a", "det", "?c")], types(facts), {"h": "verb", "a": "content", "c": "function"})
+    return found.select("graph_id", "h", "a", "c")
+
+
 @query("ner_to_quads", f"WITH {_HITS}, m AS (SELECT DISTINCT key, \"start\", \"end\", phrase FROM hits) SELECT concat(key, ':', \"start\") AS s, 'type' AS t, CASE WHEN \"end\" - \"start\" = 2 THEN 'pair_ner' ELSE 'triple_ner' END AS o FROM m UNION ALL SELECT concat('\"', phrase, '\"'), 'expr', concat(key, ':', \"start\") FROM m")
 def ner_to_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = hits(spark, sf_dir).distinct()
