@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.sources.staging import staged
+
 
 def best(rows: DataFrame, by: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each group; cut within each task before the shuffle."""
@@ -13,6 +15,26 @@ def best(rows: DataFrame, by: list[str], order: list, n: int = 1, rank: str | No
     return out if rank else out.drop("_k")
 
 
+def first_rules(rows: DataFrame) -> DataFrame:
+    """(graph_id, rindex, sol, centre): rules that get their centre, when they are tried by rindex and then by sol.
+
+    rows: (graph_id, rindex, sol, centre, covers), sol a solution of the rule rindex, covers an array of further nodes. A rule
+    that gets its centre takes the centre and its covers, which are then no centre of later ones; a rule that doesn't takes
+    nothing. Decided in rounds: who is the first of all undecided to touch its centre has it, and those later ones whose
+    centre that takes are out; so no graph is one group. Rows without a graph, a centre or an order are none; null covers count for nothing.
+    """
+    own = F.struct("rindex", "sol")
+    left = staged(rows.where("graph_id IS NOT NULL AND rindex IS NOT NULL AND sol IS NOT NULL AND centre IS NOT NULL").select("graph_id", "rindex", "sol", "centre", F.coalesce("covers", F.array().cast("array<string>")).alias("covers")).distinct())
+    nodes = F.explode(F.array_compact(F.array_union(F.array("centre"), "covers"))).alias("centre")
+    touched = lambda some: some.select("graph_id", nodes, own.alias("at")).groupBy("graph_id", "centre").agg(F.min("at").alias("_at"))
+    out = left.limit(0)
+    while not left.isEmpty():
+        won = staged(left.join(touched(left), ["graph_id", "centre"]).where(F.col("_at") == own).select(left.columns))
+        out = out.union(won)
+        left = staged(left.join(touched(won), ["graph_id", "centre"], "left").where(F.col("_at").isNull() | (F.col("_at") > own)).select(left.columns))
+    return out.drop("covers")
+
+
 def allowed(candidates: DataFrame, history: DataFrame) -> DataFrame:
     """Candidates (session, rule, form, text, mode) that a session may use after its history (session, rule, form, text, at).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import text as fn
 from quadloom.operators import mentions as placed
-from quadloom.operators import parse, phrases, spans
+from quadloom.operators import parse, phrases, ranking, spans
 from quadloom.operators.closure import types
 from quadloom.operators.match import match
 from quadloom.plans.registry import query
@@ -181,14 +181,18 @@ arc AS (SELECT key, i, CASE WHEN i = r THEN NULL WHEN tag IN ('dt', 'md') THEN c
  CASE WHEN i = r THEN 'root' WHEN tag = 'dt' THEN 'det' WHEN tag = 'md' THEN 'aux' WHEN tag = 'in' THEN 'case' WHEN tag = 'cc' THEN 'coord' WHEN qt = 'in' THEN 'pobj' WHEN qt = 'cc' THEN 'conj' WHEN i < r THEN 'nsbj' ELSE 'obj' END AS label FROM w3)"""
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The facts of all turns, each turn a graph, by the rule of parse.sketched()."""
+def _sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and arcs of all turns, each turn a graph, by the rule of parse.sketched()."""
     from quadloom.sources.staging import staged
 
     said = _read(spark, d, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("graph_id"), F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence", "text"))
     words = said.select("graph_id", "sentence", F.posexplode(spans.tokens(F.col("text"))).alias("j", "word"))
     words = words.withColumn("i", F.row_number().over(Window.partitionBy("graph_id").orderBy("sentence", "j")))
-    parsed = staged(parse.sketched(words))
+    return staged(parse.sketched(words))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _sketch(spark, d)
     kinds = spark.createDataFrame(list(parse.KINDS.items()), "kind string, sup string")
     return parse.parse_facts(parsed, parsed, kinds)
 
@@ -213,6 +217,19 @@ def match_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("graph_id", "h", "a", "c")
 
 
+@query("rule_cover", f"""WITH {_PARSE}, t0 AS (SELECT key, i AS c, head AS v FROM arc WHERE label = 'pobj'), n0 AS (SELECT key, c FROM t0 UNION SELECT key, v FROM t0),
+t1 AS (SELECT key, head AS c, min(i) AS v FROM arc WHERE label = 'det' AND (key, head) NOT IN (SELECT key, c FROM n0) GROUP BY key, head), n1 AS (SELECT key, c FROM n0 UNION SELECT key, c FROM t1 UNION SELECT key, v FROM t1),
+t2 AS (SELECT key, i AS c, head AS v FROM arc WHERE label = 'conj' AND (key, i) NOT IN (SELECT key, c FROM n1)), n2 AS (SELECT key, c FROM n1 UNION SELECT key, c FROM t2 UNION SELECT key, v FROM t2)
+SELECT key AS graph_id, 0 AS rule, CAST(c AS VARCHAR) AS centre FROM t0 UNION ALL SELECT key, 1, CAST(c AS VARCHAR) FROM t1 UNION ALL SELECT key, 2, CAST(c AS VARCHAR) FROM t2
+UNION ALL SELECT key, 3, CAST(i AS VARCHAR) FROM arc WHERE (key, i) NOT IN (SELECT key, c FROM n2)""")
+def rule_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that get a mention of their own: objects with their prepositions, determined words, conjuncts with what they join, then all others."""
+    arcs = _sketch(spark, sf_dir)
+    rule = lambda n, label, centre, cover: arcs.where(label).select("graph_id", F.lit(n).alias("rindex"), F.col("i").alias("sol"), F.col(centre).cast("string").alias("centre"), F.array(cover.cast("string")).alias("covers"))
+    tried = [rule(0, "label = 'pobj'", "i", F.col("head")), rule(1, "label = 'det'", "head", F.col("i")), rule(2, "label = 'conj'", "i", F.col("head")), rule(3, "true", "i", F.lit(None))]
+    return ranking.first_rules(tried[0].union(tried[1]).union(tried[2]).union(tried[3])).select("graph_id", F.col("rindex").alias("rule"), "centre")
+
+
 @query("ner_to_quads", f"WITH {_HITS}, m AS (SELECT DISTINCT key, \"start\", \"end\", phrase FROM hits) SELECT concat(key, ':', \"start\") AS s, 'type' AS t, CASE WHEN \"end\" - \"start\" = 2 THEN 'pair_ner' ELSE 'triple_ner' END AS o FROM m UNION ALL SELECT concat('\"', phrase, '\"'), 'expr', concat(key, ':', \"start\") FROM m")
 def ner_to_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = hits(spark, sf_dir).distinct()
