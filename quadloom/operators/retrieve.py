@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.operators.closure import closure
 from quadloom.operators.match import match
-from quadloom.sources.staging import staged
-
-
-#: Pullers that a pull considers at most.
-MOST_PULLERS = 1000
+from quadloom.sources.staging import small, staged
 
 
 def meeting(quads: DataFrame, one: list[tuple], other: list[tuple]) -> DataFrame:
@@ -80,11 +76,14 @@ def within_budget(nodes: DataFrame, budget: int) -> DataFrame:
 def pull(pullers: DataFrame, neighbours: DataFrame, structure: DataFrame, budget: int) -> DataFrame:
     """(a, b, node, n): what is pulled in, in order, while the facts it brings, n each, stay within one budget.
 
-    pullers: (c, rank), the few most salient concepts; neighbours: (c, node); structure: (node, pid) facts that come with a node.
+    pullers: (c, rank), the most salient concepts, no rank given twice; neighbours: (c, node); structure: (node, pid) facts that come with a node.
     What two pullers share comes first, by their ranks, then what one has alone (b null). Items without new facts are free
     and left out. The first item that doesn't fit ends the pull.
     """
-    near = neighbours.join(F.broadcast(pullers.where(F.col("rank") <= MOST_PULLERS)), "c").select("c", "rank", "node").distinct()
+    near = neighbours.join(small(pullers), "c").select("c", "rank", "node").distinct()
+    # every item brings a fact, so a node's items with pullers beyond its first budget + 1 come when the budget is spent
+    place = F.row_number().over(Window.partitionBy("node").orderBy("rank", "c"))
+    near = near.withColumn("_k", place).where(F.col("_k") <= budget + 1).drop("_k")
     a, b = (near.select("node", F.col("c").alias(k), F.col("rank").alias(f"_{k}")) for k in "ab")
     pairs = a.join(b, "node").where("_a < _b")
     single = a.select("node", "a", "_a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("int").alias("_b"))
