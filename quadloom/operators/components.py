@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.operators.closure import bounded
 from quadloom.sources.staging import staged
 
 
-#: Edges that are so few are handled in one task; more are spread.
+#: Edges that are so few are handled in one task, which bounds its memory; more are spread.
 GATHERED = 100_000
 
 
@@ -21,8 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large stars (a node's larger neighbours move to its smallest neighbour) and small stars (its smaller
     ones do) until the edges are stars around the smallest nodes; rounds grow with the logarithm of the size, and
     the edges never grow in number. Each round is written to the shared folder. Null ends and loops are dropped.
-    Goes on until the edges are stars; more than max_rounds is an error. At most GATHERED edges are kept in one partition, where
-    no round needs a shuffle.
+    Goes on until the edges are stars; more than max_rounds is an error. Where at most GATHERED edges are left, one task ends
+    the work without further rounds.
     """
     a, b = F.col(f"`{src}`"), F.col(f"`{dst}`")
     now = staged(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -33,7 +34,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         bounded(n, max_rounds)
         last = sign
-        now = staged(_round(now) if sign[0] > GATHERED else _round_here(now))
+        if sign[0] <= GATHERED:
+            now = staged(_stars(now))
+            break
+        now = staged(_round(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
@@ -46,10 +50,34 @@ def _round(now: DataFrame) -> DataFrame:
     return large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
 
 
-def _round_here(now: DataFrame) -> DataFrame:
-    """The same for few edges, in one partition without a shuffle."""
-    least = F.min("v").over(Window.partitionBy("u"))
-    both = now.union(now.select("v", "u")).coalesce(1).withColumn("m", F.least("u", least))
-    large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().withColumn("m", least)
-    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
-    return large.select(ends).select("e.u", "e.v").where("u <> v").distinct()
+def _order(x):
+    """A value's place in Spark's order: nulls first, structs field by field."""
+    return (0,) if x is None else (1, *map(_order, x.values())) if isinstance(x, dict) else (1, x)
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    """The stars of few edges (u, v), found in one task."""
+
+    def run(batches):
+        above, node, kinds = {}, {}, None
+
+        def top(k):
+            while above[k] != k:
+                above[k] = k = above[above[k]]
+            return k
+
+        for batch in batches:
+            kinds = batch.schema
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends = [_order(u), _order(v)]
+                for k, x in zip(ends, (u, v), strict=True):
+                    node.setdefault(k, x)
+                    above.setdefault(k, k)
+                low, high = sorted(map(top, ends))
+                above[high] = low
+        if kinds is not None:
+            far = [k for k in node if top(k) != k]
+            ends = ([node[k] for k in far], [node[top(k)] for k in far])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(ends, kinds, strict=True)], schema=kinds)
+
+    return now.coalesce(1).mapInArrow(run, now.schema)

@@ -23,10 +23,10 @@ def propagate(quads: DataFrame, salience: DataFrame, rounds: int) -> DataFrame:
     nodes = args.select("c").union(args.select("pid")).distinct()
     now = staged(nodes.join(salience, "c", "left").select("c", F.coalesce("salience", F.lit(0.0)).alias("salience")))
     for _ in range(rounds):
-        up = args.join(now, "c").groupBy(F.col("pid").alias("c")).agg((F.avg("salience") - ASSOCIATION_LOSS).alias("m"))
-        down = args.join(now.withColumnRenamed("c", "pid"), "pid").groupBy("c").agg(F.max("salience").alias("m"))
-        best = up.union(down).groupBy("c").agg(F.max("m").alias("m"))
-        now = staged(now.join(best, "c", "left").select("c", F.greatest("salience", F.coalesce("m", F.lit(0.0))).alias("salience")))
+        # nodes are unique, so the hashed side is never skewed; all that reaches a node meets in one aggregation with its own value
+        up = args.join(now.hint("shuffle_hash"), "c").groupBy(F.col("pid").alias("c")).agg((F.avg("salience") - ASSOCIATION_LOSS).alias("m"))
+        down = args.join(now.select(F.col("c").alias("pid"), "salience").hint("shuffle_hash"), "pid").select("c", "salience")
+        now = staged(now.union(up).union(down).groupBy("c").agg(F.greatest(F.max("salience"), F.lit(0.0)).alias("salience")))
     return now
 
 

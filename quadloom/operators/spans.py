@@ -17,8 +17,8 @@ def _grams(toks: str, sizes: list[int], each) -> Column:
     """An array with each(n, start, phrase) of all n-grams of a token column."""
 
     def of_size(n: int) -> Column:
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: each(F.lit(n), i, F.array_join(F.slice(toks, i, n), " ")))
+        firsts = F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0)))
+        return F.transform(firsts, lambda w, i: each(F.lit(n), i + 1, F.concat_ws(" ", w, *(F.get(toks, i + k) for k in range(1, n)))))
 
     return F.concat(*map(of_size, sizes))
 

@@ -12,6 +12,7 @@ from quadloom.operators.closure import types
 from quadloom.operators.match import match
 from quadloom.plans.registry import query
 from quadloom.sources.graphs import star_graph
+from quadloom.sources.staging import spread
 
 _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 SIZES = [2, 3]
@@ -27,12 +28,12 @@ hits AS (SELECT h.key, h.phrase, CAST(h.start AS INTEGER) AS "start", CAST(h.sta
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     texts = _read(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
-    docs = _read(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), "doc_id").alias("key"), spans.tokens(F.col("text")).alias("toks"))
     return spans.phrase_dictionary(texts.union(docs), SIZES, 5)
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("key"), spans.tokens(F.col("text")).alias("toks"))
+    return spread(_read(spark, d, "conversations").select("conv_id", "turn", "text")).select(F.concat_ws("_", "conv_id", "turn").alias("key"), spans.tokens(F.col("text")).alias("toks"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.sources.staging import shared_dir
+from quadloom.sources.staging import shared_dir, staged
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: The star schema as one graph. Valid for Spark and for DuckDB; tables stand in braces.
-STAR = """
+#: The star schema as one graph, its lines with an id and then the facts. Valid for Spark and for DuckDB; tables stand in braces.
+LINES = """
 lines AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
     ORDER BY l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS nth FROM {lineitem}
 ), li AS (
   SELECT *, concat('li:', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', nth) AS id FROM lines
-), facts AS (
+)
+"""
+FACTS = """
+facts AS (
   SELECT concat('r:', r_regionkey) AS s, 'part_of' AS t, 'world' AS o, CAST(NULL AS VARCHAR(200)) AS id FROM {region}
   UNION ALL SELECT concat('n:', n_nationkey), 'part_of', concat('r:', n_regionkey), NULL FROM {nation}
   UNION ALL SELECT concat('n:', n_nationkey), 'type', 'nation', NULL FROM {nation}
@@ -41,11 +45,11 @@ lines AS (
   UNION ALL SELECT concat('c:', c_custkey), 'in', concat('n:', c_nationkey), NULL FROM {customer}
   UNION ALL SELECT concat('s:', s_suppkey), 'in', concat('n:', s_nationkey), NULL FROM {supplier}
   UNION ALL SELECT concat('c:', o_custkey), 'place', concat('o:', o_orderkey), concat('po:', o_orderkey) FROM {orders}
-  UNION ALL SELECT concat('o:', l_orderkey), 'contain', concat('p:', l_partkey), id FROM li
+  UNION ALL SELECT concat('o:', l_orderkey), 'contain', concat('p:', l_partkey), id FROM {li}
   UNION ALL SELECT DISTINCT concat('s:', l_suppkey), 'supply', concat('p:', l_partkey), concat('sp:', l_suppkey, '_', l_partkey) FROM {lineitem}
   UNION ALL SELECT concat('po:', o_orderkey), 'urgent', NULL, NULL FROM {orders} WHERE o_orderpriority LIKE '1%'
-  UNION ALL SELECT id, 'not', NULL, NULL FROM li WHERE l_returnflag = 'R'
-  UNION ALL SELECT id, 'maybe', NULL, NULL FROM li WHERE l_linestatus = 'O' AND l_returnflag <> 'R'
+  UNION ALL SELECT id, 'not', NULL, NULL FROM {li} WHERE l_returnflag = 'R'
+  UNION ALL SELECT id, 'maybe', NULL, NULL FROM {li} WHERE l_linestatus = 'O' AND l_returnflag <> 'R'
   UNION ALL SELECT 'place', 'type', 'buy', NULL
   UNION ALL SELECT 'contain', 'type', 'include', NULL
   UNION ALL SELECT 'supply', 'type', 'provide', NULL
@@ -58,6 +62,8 @@ lines AS (
 )
 """
 
+STAR = f"{LINES.rstrip()},{FACTS.replace('{li}', 'li')}"
+
 #: Users' events as a graph for each user.
 EVENTS = """
 turns AS (
@@ -73,24 +79,25 @@ def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES if "{" + n + "}" in text}
 
 
-def derived(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
-    return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **tables(spark, sf_dir, ctes))
+def derived(spark: SparkSession, sf_dir: str, ctes: str, name: str, **made: DataFrame) -> DataFrame:
+    return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **tables(spark, sf_dir, ctes), **made)
 
 
 _written: dict[tuple[str, ...], str] = {}
 
 
-def graph_table(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
+def graph_table(spark: SparkSession, sf_dir: str, ctes: str, name: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
     """A derived graph, written once in a session and folder, a partition for each predicate type, and read back.
 
     Operators ask for few types each, so their scans read those partitions alone. forget() makes the next call derive
-    the graph anew, as is needed when the tables have changed.
+    the graph anew, as is needed when the tables have changed. make: gives what is to be written, where that is cheaper than
+    one plan of the ctes.
     """
     graph = derived(spark, sf_dir, ctes, name)
     key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
     if key not in _written:
         path = f"{shared_dir(spark)}/quadloom-{name}-{uuid.uuid4().hex}"
-        graph.write.partitionBy("t").parquet(path)
+        (make() if make else graph).write.partitionBy("t").parquet(path)
         _written[key] = path
     return spark.read.schema(graph.schema).parquet(_written[key]).select(*graph.columns)
 
@@ -101,7 +108,13 @@ def forget() -> None:
 
 def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations, customers, suppliers, parts, orders and their lines as one graph 'g1'."""
-    return graph_table(spark, sf_dir, STAR, "quads")
+
+    def make() -> DataFrame:
+        """Lines are numbered once; three kinds of facts read them."""
+        lines = derived(spark, sf_dir, LINES, "li").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "id")
+        return derived(spark, sf_dir, FACTS, "quads", li=staged(lines))
+
+    return graph_table(spark, sf_dir, STAR, "quads", make)
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,20 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
 
 
+#: Tasks a core below which a scan may lie in fewer row groups than there are cores.
+SCARCE = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, a scan, dealt out evenly where it has few tasks, before work that is costly by the row.
+
+    A file of one row group is read by one task, however many the scan has. A scan of many tasks a core is left as it is,
+    so what this shuffles is bounded by the cores' number and not by the table.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < SCARCE * cores else rows
+
+
 #: Spark's setting that drops an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
