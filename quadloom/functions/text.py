@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 NEGATED = "are could did do does had has have is must need should was were would".split()
 IRREGULAR = {"can't": "can not", "cannot": "can not", "won't": "will not", "shan't": "shall not", "ain't": "is not", "let's": "let us", "y'all": "you all", "gonna": "going to", "wanna": "want to", "gotta": "got to"}
 PRONOUNS = {"i": ["'m am", "'ve have", "'ll will", "'d would"], "you": ["'re are", "'ve have", "'ll will", "'d would"], "we": ["'re are", "'ve have", "'ll will", "'d would"], "they": ["'re are", "'ve have", "'ll will", "'d would"], "he": ["'s is", "'ll will", "'d would"], "she": ["'s is", "'ll will", "'d would"], "it": ["'s is", "'ll will", "'d would"]}
+MODALS = "could might must should would".split()
 ASKED = "what where who how that there here when why".split()
 #: Forms that are other words without their apostrophe, and so are left alone there.
 AMBIGUOUS = {"we're", "we'll", "we'd", "i'll", "i'd", "he'll", "he'd", "she'll", "she'd", "it's", "shan't", "let's"}
@@ -18,6 +19,10 @@ def contractions() -> dict[str, str]:
     """Contractions and what they stand for, with and without the apostrophe where that is no other word."""
     out = {f"{v}n't": f"{v} not" for v in NEGATED} | IRREGULAR | {f"{w}'s": f"{w} is" for w in ASKED}
     out |= {p + x.split()[0]: f"{p} {x.split()[1]}" for p, xs in PRONOUNS.items() for x in xs}
+    out |= {f"{w}'{x}": f"{w} {full}" for w in ASKED for x, full in (("re", "are"), ("ve", "have"), ("ll", "will"))}
+    # have after a modal, after a negated one and after would or will
+    out |= {f"{v}'ve": f"{v} have" for v in MODALS}
+    out |= {f"{k}'ve": f"{x} have" for k, x in out.items() if k.endswith(("n't", "'d", "'ll")) and k.split("n't")[0] in [*MODALS, "ca", *PRONOUNS] or k in [p + e for p in PRONOUNS for e in ("'d", "'ll")]}
     return out | {k.replace("'", ""): v for k, v in out.items() if "'" in k and k not in AMBIGUOUS}
 
 

@@ -19,9 +19,14 @@ def tag_kinds(tags: DataFrame) -> DataFrame:
     return tags.select("tag", F.explode(F.coalesce(F.try_element_at(table, F.col("tag")), F.array("tag"))).alias("kind"))
 
 
-def lemma(word: Column) -> Column:
+def lemma(word: Column, tag: Column | None = None) -> Column:
+    """The overriding lemma, else the word; with its tag a shortened s is be where it is a verb, us where it is a pronoun."""
     table = F.create_map(*[F.lit(x) for kv in LEMMAS.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, word), word)
+    found = F.coalesce(F.try_element_at(table, word), word)
+    if tag is None:
+        return found
+    short, low = word.isin("'s", "s"), F.lower(tag)
+    return F.when(short & F.contains(low, F.lit("vb")), "be").when(short & F.contains(low, F.lit("prp")), "us").otherwise(found)
 
 
 def concept_of(words: DataFrame, names: DataFrame) -> DataFrame:
@@ -38,6 +43,33 @@ def covered(nodes: DataFrame, marked: DataFrame, mark: str) -> DataFrame:
     return nodes.select("c").distinct().join(marked.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("s"), F.lit(mark).alias("t"))
 
 
+def spoken(facts: DataFrame, said: DataFrame, known: DataFrame, inserts: DataFrame) -> DataFrame:
+    """(graph_id, c, aware, turn, salience, warm): what changes once an answer's facts have been said.
+
+    facts: (graph_id, s, t, o, pid) of the graphs; said: those of the answer, with its turn; known: (graph_id, c) that the user is
+    aware of; inserts: facts to add, such as anchors of a topic, with the ids they get where they aren't there yet.
+    warm: a said fact is no cold start any more. turn: the bot's turn on every fact and its arguments. aware: facts the user
+    now knows of and didn't before. salience: 1 for said and inserted facts and the subjects of inserts. What only names an
+    expression is warm and nothing more. Columns are null where they say nothing; nulls among nodes get no row.
+    """
+    own = said.where("t IS NULL OR t <> 'expr'")
+    row = lambda rows, c, **is_: rows.select(
+        "graph_id", F.col(c).alias("c"), *(is_.get(n, F.lit(None)).cast(k).alias(n) for n, k in (("aware", "boolean"), ("turn", "long"), ("salience", "double"), ("warm", "boolean")))
+    )
+    there = facts.select("graph_id", "s", "t", F.col("o").alias("_o"), F.col("pid").alias("_pid"))
+    new = inserts.select("graph_id", F.col("s").alias("_s"), F.col("t").alias("_t"), "o", "pid").distinct()
+    same = (new["graph_id"] == there["graph_id"]) & (F.col("_s") == F.col("s")) & (F.col("_t") == F.col("t")) & F.col("o").eqNullSafe(F.col("_o"))
+    put = new.join(there, same, "left").select(new["graph_id"], "_s", F.coalesce("_pid", "pid").alias("pid"))
+    stamped = own.select("graph_id", "turn", F.explode(F.array("s", "o", "pid")).alias("c"))
+    unknown = own.where("t IS NULL OR t <> 'user_aware'").select("graph_id", F.col("pid").alias("c")).join(known, ["graph_id", "c"], "left_anti")
+    one = F.lit(1.0)
+    parts = [row(said, "pid", warm=F.lit(True)), row(unknown, "c", aware=F.lit(True)), row(own, "pid", salience=one), row(put, "pid", salience=one), row(put, "_s", salience=one)]
+    out = row(stamped, "c", turn=F.col("turn"))
+    for p in parts:
+        out = out.union(p)
+    return out.where("c IS NOT NULL").groupBy("graph_id", "c").agg(*(F.max(c).alias(c) for c in ("aware", "turn", "salience", "warm")))
+
+
 def request_status(requests: DataFrame, answered: DataFrame) -> DataFrame:
     """(request, status): satisfied once answered, else unsatisfied."""
     done = answered.select("request").distinct().withColumn("_done", F.lit(True))

@@ -53,6 +53,24 @@ def after_speak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acts.join(last, ["graph_id", "turn"]).select("graph_id", F.col("o").alias("c"), F.lit("user_aware").alias("mark")).distinct()
 
 
+@query("spoken_updates", """
+WITH last AS (SELECT * FROM acts QUALIFY turn = max(turn) OVER (PARTITION BY graph_id)), old AS (SELECT a.* FROM acts a JOIN last l ON l.graph_id = a.graph_id AND a.turn < l.turn),
+put AS (SELECT l.graph_id, l.o AS s, coalesce(b.pid, concat('an:', l.pid)) AS pid FROM last l LEFT JOIN (SELECT graph_id, o, concat('an:', pid) AS pid FROM old WHERE t = 'purchase') b ON b.graph_id = l.graph_id AND b.o = l.o),
+f AS (SELECT graph_id, pid AS c, NULL AS aware, turn, 1.0::DOUBLE AS salience, true AS warm FROM last UNION ALL SELECT graph_id, s, NULL, turn, NULL, NULL FROM last UNION ALL SELECT graph_id, o, NULL, turn, NULL, NULL FROM last
+UNION ALL SELECT graph_id, pid, true, NULL, NULL, NULL FROM last WHERE t <> 'view' UNION ALL SELECT graph_id, pid, NULL, NULL, 1.0, NULL FROM put UNION ALL SELECT graph_id, s, NULL, NULL, 1.0, NULL FROM put)
+SELECT graph_id, c, bool_or(aware) AS aware, max(turn) AS turn, max(salience) AS salience, bool_or(warm) AS warm FROM f WHERE c IS NOT NULL GROUP BY graph_id, c""", "events")
+def spoken_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's last act as what was just said: what was viewed is known already, and what the act is about becomes a topic, as
+    the things purchased before it are."""
+    acts = event_graph(spark, sf_dir)
+    last = acts.groupBy("graph_id").agg(F.max("turn").alias("last"))
+    rows = acts.join(last, "graph_id")
+    said, old = rows.where("turn = last"), rows.where("turn < last")
+    topic = lambda r: r.select("graph_id", F.col("o").alias("s"), F.lit("type").alias("t"), F.lit("topic").alias("o"), F.concat(F.lit("an:"), "pid").alias("pid"))
+    known = acts.where("t = 'view'").select("graph_id", F.col("pid").alias("c"))
+    return dia.spoken(topic(old.where("t = 'purchase'")), said.select("graph_id", "s", "t", "o", "pid", "turn"), known, topic(said))
+
+
 @query("pattern_merges", "SELECT pid AS focus, kind, node FROM (SELECT pid, 'subject' AS kind, s AS node FROM quads WHERE t = 'place' UNION ALL SELECT pid, 'object', o FROM quads WHERE t = 'place' UNION ALL SELECT pid, 'type', t FROM quads WHERE t = 'place')", "star")
 def pattern_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match(star_graph(spark, sf_dir), [("?s", "place", "?o", "?pid")])
