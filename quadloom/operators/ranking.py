@@ -35,6 +35,24 @@ def first_rules(rows: DataFrame) -> DataFrame:
     return out.drop("covers")
 
 
+def composed(candidates: DataFrame, default: Column) -> DataFrame:
+    """(session, text): one answer of each session's candidates (session, kind, score, text), kind being react, present or rpresent.
+
+    The best rpresent, which reacts and presents at once, is the answer where no present has a higher score. Else it is the best
+    present behind the best react, whatever that one's score, or behind the default, a column of the session; where that
+    is null, the present alone. A session with reacts alone has a null text, as a fallback is its to find. Of equal scores the
+    smallest text; null scores count least, null texts and other kinds not at all.
+    """
+    rows = candidates.where("text IS NOT NULL AND kind IN ('react', 'present', 'rpresent')")
+    top = best(rows, ["session", "kind"], [F.desc_nulls_last("score"), "text"])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"_{k}_{c}")
+    one = top.groupBy("session").agg(*(of(k, c) for k in ("react", "present", "rpresent") for c in ("score", "text")))
+    least = F.lit(float("-inf"))
+    whole = F.col("_rpresent_text").isNotNull() & (F.col("_present_text").isNull() | (F.coalesce("_rpresent_score", least) >= F.coalesce("_present_score", least)))
+    behind = F.when(F.col("_present_text").isNotNull(), F.concat_ws(" ", F.coalesce(F.col("_react_text"), default), "_present_text"))
+    return one.select("session", F.when(whole, F.col("_rpresent_text")).otherwise(behind).alias("text"))
+
+
 def allowed(candidates: DataFrame, history: DataFrame) -> DataFrame:
     """Candidates (session, rule, form, text, mode) that a session may use after its history (session, rule, form, text, at).
 

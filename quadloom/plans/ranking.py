@@ -66,6 +66,19 @@ def compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("c", F.when(F.col("pid2").isNull(), F.col("pid1")).when(F.col("score2") >= F.col("score1"), F.col("pid2")).otherwise(F.concat_ws(" ", "pid1", "pid2")).alias("text"))
 
 
+@query("compose_kinds", f"""
+WITH {_CAND}, k AS (SELECT c, pid AS text, score, CASE WHEN l_returnflag = 'R' THEN 'react' WHEN l_linestatus = 'O' THEN 'rpresent' ELSE 'present' END AS kind FROM sc JOIN li ON li.id = sc.pid),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c, kind ORDER BY score DESC, text) = 1),
+o AS (SELECT c, max(CASE WHEN kind = 'react' THEN text END) AS r, max(CASE WHEN kind = 'present' THEN text END) AS p, max(CASE WHEN kind = 'rpresent' THEN text END) AS rp, max(CASE WHEN kind = 'present' THEN score END) AS ps, max(CASE WHEN kind = 'rpresent' THEN score END) AS rs FROM b GROUP BY c)
+SELECT c, CASE WHEN rp IS NOT NULL AND (p IS NULL OR rs >= ps) THEN rp WHEN p IS NOT NULL THEN concat(coalesce(r, 'okay'), ' ', p) END AS text FROM o""", "star")
+def compose_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's bought lines as candidates: returned ones react, doubted ones react and present at once, sure ones present."""
+    marks = star_graph(spark, sf_dir).where("t IN ('not', 'maybe')").select(F.col("s").alias("pid"), "t")
+    kind = F.when(F.col("t") == "not", "react").when(F.col("t") == "maybe", "rpresent").otherwise("present")
+    rows = _candidates(spark, sf_dir).join(marks, "pid", "left").select(F.col("c").alias("session"), kind.alias("kind"), "score", F.col("pid").alias("text"))
+    return rank.composed(rows, F.lit("okay")).withColumnRenamed("session", "c")
+
+
 @query("open_question", "SELECT graph_id, pid FROM (SELECT *, max(turn) OVER (PARTITION BY graph_id) AS last FROM acts) WHERE turn >= last - 1 QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY value DESC, pid) = 1", "events")
 def open_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = event_graph(spark, sf_dir)

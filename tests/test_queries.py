@@ -10,7 +10,7 @@ from quadloom.sources.graphs import TABLES
 QUICK = """has_bulk by_pid degree predicates_by_st undefined_concepts match_path2 match_triangle match_reified match_disconnected type_closure
 components infer_conf infer_negated chain_2 remove_cascade merge_groups merge_congruence assign_ids salience_1 conf_or gazetteer longest_match
 best_candidate fill_template attention bounded_memory roundtrip_json src_kg_blocks render_flat khop pull_budget
-semi_edges anti_edges pull_by_query candidate_score chain_marks rules_chain rules_bulk rules_assembled rules_roundtrip resolve_refs resolve_all khop_limits marked_sections expression_dict expression_hits mention_instances spanning_forest ingest_parse match_parse rule_cover spoken_updates contractions after_speak""".split()
+semi_edges anti_edges pull_by_query candidate_score chain_marks rules_chain rules_bulk rules_assembled rules_roundtrip resolve_refs resolve_all khop_limits marked_sections expression_dict expression_hits mention_instances spanning_forest ingest_parse match_parse rule_cover compose_kinds spoken_updates contractions after_speak""".split()
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.text import CONTRACTIONS, expanded
 from quadloom.operators.dialogue import lemma, spoken
+from quadloom.operators.ranking import composed
 
 FACT = "graph_id string, s string, t string, o string, pid string"
 
@@ -47,3 +48,17 @@ def test_lemmas_by_tag(spark):
     rows = [("'s", "VBZ"), ("s", "vbz"), ("'s", "PRP"), ("'s", "POS"), ("s", None), ("was", "VBD"), ("dog", "NN"), (None, "NN")]
     got = [r.x for r in spark.createDataFrame(rows, "w string, t string").select(lemma(F.col("w"), F.col("t")).alias("x")).collect()]
     assert got == ["be", "be", "us", "'s", "s", "be", "dog", None]
+
+
+def test_answers_by_kind(spark):
+    rows = [
+        ("both", "rpresent", 0.5, "rp"), ("both", "present", 0.5, "p"), ("both", "react", 9.0, "r"),
+        ("better", "rpresent", 0.5, "rp"), ("better", "present", 0.6, "p2"), ("better", "present", 0.6, "p1"), ("better", "react", 0.1, "r"), ("better", "react", 0.2, "s"),
+        ("plain", "present", 0.1, "p"), ("plain", "react", 0.4, None), ("mute", "react", 0.4, "r"),
+        ("none", "present", None, "p"), ("none", "rpresent", 0.0, "rp"), ("odd", "other", 1.0, "x"),
+    ]
+    cands = spark.createDataFrame(rows, "session string, kind string, score double, text string")
+    got = {r.session: r.text for r in composed(cands, F.lit("okay")).collect()}
+    assert got == {"both": "rp", "better": "s p1", "plain": "okay p", "mute": None, "none": "rp"}
+    assert {r.session: r.text for r in composed(cands, F.lit(None).cast("string")).collect()}["plain"] == "p"
+    assert composed(cands.limit(0), F.lit("okay")).count() == 0
