@@ -99,7 +99,7 @@ def merge_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("request_status", "SELECT concat('po:', o_orderkey) AS request, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') THEN 'satisfied' ELSE 'unsatisfied' END AS status FROM orders")
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = star_graph(spark, sf_dir).where("t = 'place'").select(F.col("pid").alias("request"))
+    requests = star_graph(spark, sf_dir, "place").select(F.col("pid").alias("request"))
     done = _read(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.concat(F.lit("po:"), "l_orderkey").alias("request"))
     return dia.request_status(requests, done)
 
@@ -160,7 +160,7 @@ def promote_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("broad_rules", f"WITH RECURSIVE {TY} SELECT c AS rule FROM ty WHERE c <> sup AND c NOT LIKE '%:%' GROUP BY c HAVING bool_and(sup IN ('entity', 'party', 'product', 'event'))", "star")
 def broad_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes whose types are all among the most general ones."""
-    kinds = types(star_graph(spark, sf_dir)).where("c <> sup AND c NOT LIKE '%:%'").select(F.col("c").alias("rule"), F.col("sup").alias("kind"))
+    kinds = types(star_graph(spark, sf_dir, "type")).where("c <> sup AND c NOT LIKE '%:%'").select(F.col("c").alias("rule"), F.col("sup").alias("kind"))
     return dia.broad(kinds, ["entity", "party", "product", "event"])
 
 

@@ -16,7 +16,7 @@ _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star graph's place facts written as text files, and listed again."""
     path = doc.scratch(spark, "text")
-    doc.fact_lines(star_graph(spark, sf_dir).where("t = 'place'")).write.text(path)
+    doc.fact_lines(star_graph(spark, sf_dir, "place")).write.text(path)
     files = doc.read_files(spark, path, "*.txt")
     return files.agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", ";")) - 1).alias("n_facts"))
 
@@ -24,7 +24,7 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_kg_blocks", "SELECT s, t, o, pid FROM quads WHERE t IN ('place', 'urgent')", "star")
 def src_kg_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = doc.scratch(spark, "text")
-    facts = star_graph(spark, sf_dir).where("t IN ('place', 'urgent')")
+    facts = star_graph(spark, sf_dir, "place", "urgent")
     doc.fact_lines(facts.withColumn("pid", F.translate("pid", "|", "!"))).write.text(path)
     return doc.facts_in(doc.read_files(spark, path)).select("s", "t", "o", F.translate("pid", "!", "|").alias("pid"))
 

@@ -21,7 +21,7 @@ WITH {_GIVEN}, f AS (SELECT q.pid, q.s, greatest(a.salience, b.salience) AS sal
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sal DESC, pid) AS k FROM f) SELECT s, pid FROM r WHERE k <= 2""", "star")
 def topk_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sal = star_salience(spark, sf_dir)
-    facts = star_graph(spark, sf_dir).where("t = 'contain'")
+    facts = star_graph(spark, sf_dir, "contain")
     rows = facts.join(sal.select(F.col("c").alias("s"), F.col("salience").alias("a")), "s").join(sal.select(F.col("c").alias("o"), F.col("salience").alias("b")), "o")
     return rank.best(rows.withColumn("sal", F.greatest("a", "b")), ["s"], [F.desc("sal"), "pid"], 2).select("s", "pid")
 
@@ -33,7 +33,7 @@ sc AS (SELECT cand.c, cand.pid, round((a.salience + b.salience + d.salience) / 3
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Bought lines of each customer, scored by mean salience, the segment's priority and the part's salience."""
-    quads, sal = star_graph(spark, d), star_salience(spark, d)
+    quads, sal = star_graph(spark, d, "place", "contain", "type"), star_salience(spark, d)
     found = match(quads, [("?c", "place", "?o"), ("?o", "contain", "?p", "?pid")])
     kinds = quads.where("t = 'type' AND s LIKE 'c:%'").select(F.col("s").alias("c"), F.col("o").alias("seg"))
     for v in ("c", "o", "p"):
@@ -73,7 +73,7 @@ o AS (SELECT c, max(CASE WHEN kind = 'react' THEN text END) AS r, max(CASE WHEN
 SELECT c, CASE WHEN rp IS NOT NULL AND (p IS NULL OR rs >= ps) THEN rp WHEN p IS NOT NULL THEN concat(coalesce(r, 'okay'), ' ', p) END AS text FROM o""", "star")
 def compose_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's bought lines as candidates: returned ones react, doubted ones react and present at once, sure ones present."""
-    marks = star_graph(spark, sf_dir).where("t IN ('not', 'maybe')").select(F.col("s").alias("pid"), "t")
+    marks = star_graph(spark, sf_dir, "not", "maybe").select(F.col("s").alias("pid"), "t")
     kind = F.when(F.col("t") == "not", "react").when(F.col("t") == "maybe", "rpresent").otherwise("present")
     rows = _candidates(spark, sf_dir).join(marks, "pid", "left").select(F.col("c").alias("session"), kind.alias("kind"), "score", F.col("pid").alias("text"))
     return rank.composed(rows, F.lit("okay")).withColumnRenamed("session", "c")
@@ -88,7 +88,7 @@ def open_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resolve_best", f"WITH {_GIVEN}, r AS (SELECT q.s AS ref, q.o AS match, row_number() OVER (PARTITION BY q.s ORDER BY g.salience DESC, q.o) AS k FROM quads q JOIN given g ON g.c = q.o WHERE q.t = 'supply') SELECT ref, match FROM r WHERE k = 1", "star")
 def resolve_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star_graph(spark, sf_dir).where("t = 'supply'").select(F.col("s").alias("ref"), F.col("o").alias("c")).join(star_salience(spark, sf_dir), "c")
+    rows = star_graph(spark, sf_dir, "supply").select(F.col("s").alias("ref"), F.col("o").alias("c")).join(star_salience(spark, sf_dir), "c")
     return rank.best(rows, ["ref"], [F.desc("salience"), "c"]).select("ref", F.col("c").alias("match"))
 
 
@@ -102,7 +102,7 @@ def arg_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rule_priority", "SELECT o AS centre, s AS rule FROM quads WHERE t = 'supply' QUALIFY row_number() OVER (PARTITION BY o ORDER BY CAST(substr(s, 3) AS BIGINT)) = 1", "star")
 def rule_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star_graph(spark, sf_dir).where("t = 'supply'").withColumn("rindex", F.expr("try_cast(substring(s, 3) AS BIGINT)"))
+    rows = star_graph(spark, sf_dir, "supply").withColumn("rindex", F.expr("try_cast(substring(s, 3) AS BIGINT)"))
     return rank.best(rows, ["o"], ["rindex"]).select(F.col("o").alias("centre"), F.col("s").alias("rule"))
 
 
@@ -130,9 +130,9 @@ g AS (SELECT session, rule, count(DISTINCT form) > 1 AS several, coalesce(bool_o
 SELECT session, rule, form, text, mode FROM j JOIN g USING (session, rule) WHERE CASE mode WHEN 'nr' THEN lform IS NULL AND NOT said WHEN 'ur' THEN lform IS NULL OR (changed AND form <> lform) ELSE lform IS NULL OR NOT several OR form <> lform END""", "star")
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What customers may be told of the lines they have open, after those that are done: brands are rules, suppliers their forms."""
-    from quadloom.sources.graphs import STAR, derived
+    from quadloom.sources.graphs import star_lines
 
-    li = derived(spark, sf_dir, STAR, "li")
+    li = star_lines(spark, sf_dir)
     o, p = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "part")
     rows = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
     mode = F.when(F.col("l_returnflag") == "R", "nr").when(F.col("l_returnflag") == "A", "ur").otherwise("r")
