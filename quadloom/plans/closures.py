@@ -19,12 +19,12 @@ _read = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
 
 @query("type_closure", f"WITH RECURSIVE {TY} SELECT c, sup FROM ty", "star")
 def type_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return types(star_graph(spark, sf_dir)).select("c", "sup")
+    return types(star_graph(spark, sf_dir, "type")).select("c", "sup")
 
 
 @query("subtypes", f"WITH RECURSIVE {TY} SELECT sup AS concept, CAST(count(*) AS BIGINT) AS n FROM ty GROUP BY sup", "star")
 def subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return types(star_graph(spark, sf_dir)).groupBy(F.col("sup").alias("concept")).agg(F.count("*").alias("n"))
+    return types(star_graph(spark, sf_dir, "type")).groupBy(F.col("sup").alias("concept")).agg(F.count("*").alias("n"))
 
 
 @query("type_predicates", f"WITH RECURSIVE {TY} SELECT DISTINCT q.pid FROM ty JOIN quads q ON q.t = 'type' AND q.s = ty.sup WHERE ty.c LIKE 's:%'", "star")
@@ -56,17 +56,17 @@ n AS (SELECT DISTINCT a AS node FROM e), r(node, x) AS (SELECT node, node FROM n
 
 @query("components", f"WITH RECURSIVE {_REGIONAL} m AS (SELECT node AS root, min(x) AS component FROM r GROUP BY node) SELECT DISTINCT r.x AS node, m.component FROM r JOIN m ON m.root = r.node", "star")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(_regional(star_graph(spark, sf_dir)))
+    return connected_components(_regional(star_graph(spark, sf_dir, "in", "part_of")))
 
 
 @query("component_count", f"WITH RECURSIVE {_REGIONAL} m AS (SELECT node AS root, min(x) AS component FROM r GROUP BY node) SELECT CAST(count(DISTINCT component) AS BIGINT) AS n FROM m", "star")
 def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(_regional(star_graph(spark, sf_dir))).agg(F.count_distinct("component").alias("n"))
+    return connected_components(_regional(star_graph(spark, sf_dir, "in", "part_of"))).agg(F.count_distinct("component").alias("n"))
 
 
 @query("reachable", f"WITH RECURSIVE {_REGIONAL} p AS (SELECT concat('c:', c_custkey) AS a, concat('n:', c_custkey % 25) AS b FROM customer) SELECT p.a, p.b FROM p WHERE EXISTS (SELECT 1 FROM r JOIN r q ON r.node = q.node WHERE r.x = p.a AND q.x = p.b)", "star")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = connected_components(_regional(star_graph(spark, sf_dir)))
+    label = connected_components(_regional(star_graph(spark, sf_dir, "in", "part_of")))
     pairs = _read(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("a"), F.concat(F.lit("n:"), F.col("c_custkey") % 25).alias("b"))
     one, two = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     return pairs.join(one, "a").join(two, "b").where("ca = cb").select("a", "b")
@@ -84,7 +84,7 @@ def subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("connected_deps", f"WITH RECURSIVE {_REGIONAL} k AS (SELECT node, count(*) - 1 AS n FROM r GROUP BY node) SELECT DISTINCT r.x AS node, CAST(k.n AS BIGINT) AS n FROM r JOIN k ON k.node = r.node", "star")
 def connected_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = connected_components(_regional(star_graph(spark, sf_dir)))
+    label = connected_components(_regional(star_graph(spark, sf_dir, "in", "part_of")))
     sizes = label.groupBy("component").agg((F.count("*") - 1).alias("n"))
     return label.join(sizes, "component").select("node", "n")
 
@@ -93,7 +93,7 @@ def connected_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT s AS c, min(o) AS parent FROM quads WHERE t = 'in' GROUP BY s), k AS (SELECT parent, count(*) AS n FROM (SELECT s, o AS parent FROM quads WHERE t = 'in') GROUP BY parent)
 SELECT p.c, p.parent, CAST(k.n AS BIGINT) AS n_with_parent FROM p JOIN k USING (parent)""", "star")
 def parent_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = star_graph(spark, sf_dir).where("t = 'in'").select(F.col("s").alias("c"), F.col("o").alias("parent"))
+    where = star_graph(spark, sf_dir, "in").select(F.col("s").alias("c"), F.col("o").alias("parent"))
     first = where.groupBy("c").agg(F.min("parent").alias("parent"))
     below = where.groupBy("parent").agg(F.count("*").alias("n"))  # the parent's subtree without c itself, and the parent
     return first.join(below, "parent").select("c", "parent", F.col("n").alias("n_with_parent"))
@@ -117,18 +117,18 @@ def bfs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM quads WHERE t = 'type' AND s NOT LIKE '%:%'), r(x, path) AS (SELECT a, a FROM e UNION SELECT e.b, concat(r.path, ' -> ', e.b) FROM r JOIN e ON e.a = r.x)
 SELECT path FROM r WHERE x NOT IN (SELECT a FROM e)""", "star")
 def ancestor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = type_edges(star_graph(spark, sf_dir)).where("src NOT LIKE '%:%'")
+    edges = type_edges(star_graph(spark, sf_dir, "type")).where("src NOT LIKE '%:%'")
     return paths(edges).select("path")
 
 
 @query("classify_roots", f"WITH RECURSIVE {TY} SELECT c, bool_or(sup = 'entity') AS entity_like, bool_or(sup IN ('buy', 'include', 'provide', 'event')) AS predicate_like FROM ty GROUP BY c", "star")
 def classify_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return types(star_graph(spark, sf_dir)).groupBy("c").agg(F.bool_or(F.col("sup") == "entity").alias("entity_like"), F.bool_or(F.col("sup").isin("buy", "include", "provide", "event")).alias("predicate_like"))
+    return types(star_graph(spark, sf_dir, "type")).groupBy("c").agg(F.bool_or(F.col("sup") == "entity").alias("entity_like"), F.bool_or(F.col("sup").isin("buy", "include", "provide", "event")).alias("predicate_like"))
 
 
 @query("concrete_type", f"WITH RECURSIVE {TY}, k AS (SELECT c, sup FROM ty WHERE c LIKE 'c:%' AND c <> sup) SELECT c, min(sup) AS kind FROM k WHERE NOT EXISTS (SELECT 1 FROM k j JOIN ty ON ty.c = j.sup WHERE j.c = k.c AND ty.sup = k.sup AND ty.c <> ty.sup) GROUP BY c", "star")
 def concrete_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = types(star_graph(spark, sf_dir))
+    of = types(star_graph(spark, sf_dir, "type"))
     kinds = of.where("c LIKE 'c:%' AND c <> sup")
     above = kinds.select("c", F.col("sup").alias("mid")).join(of.where("c <> sup").select(F.col("c").alias("mid"), "sup"), "mid").select("c", "sup")
     return kinds.join(above, ["c", "sup"], "left_anti").groupBy("c").agg(F.min("sup").alias("kind"))
@@ -147,7 +147,7 @@ def _salience_sql(rounds: int) -> str:
 
 
 for _n in (1, 5):
-    query(f"salience_{_n}", _salience_sql(_n), "star")(lambda spark, d, n=_n: rel.propagate(star_graph(spark, d).where("t IN ('place', 'contain')"), star_salience(spark, d), n).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience")))
+    query(f"salience_{_n}", _salience_sql(_n), "star")(lambda spark, d, n=_n: rel.propagate(star_graph(spark, d, "place", "contain"), star_salience(spark, d), n).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience")))
 
 
 @query("salience_matvec", """
@@ -155,7 +155,7 @@ WITH g AS (SELECT concat('c:', c_custkey) AS c, least(1.0, greatest(0.0, c_acctb
 m AS (SELECT q.o AS c, sum(g.salience) * 0.1 AS x FROM quads q JOIN g ON g.c = q.s WHERE q.t = 'place' GROUP BY q.o)
 SELECT g.c, round(least(1.0, g.salience + coalesce(m.x, 0.0)) + 1e-9, 6) AS salience FROM g LEFT JOIN m ON m.c = g.c""", "star")
 def salience_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = star_graph(spark, sf_dir).where("t = 'place'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    edges = star_graph(spark, sf_dir, "place").select(F.col("s").alias("src"), F.col("o").alias("dst"))
     given = star_salience(spark, sf_dir).where("c NOT LIKE 'p:%'")
     return rel.matvec(edges, given).select("c", F.round(F.col("salience") + 1e-9, 6).alias("salience"))
 
