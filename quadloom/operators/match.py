@@ -80,7 +80,7 @@ def match(quads: DataFrame | list[DataFrame], pattern: list[tuple], types: DataF
 
 def without_doubt(rows: DataFrame, quads: DataFrame, pid: str = "pid") -> DataFrame:
     """Rows whose predicate id carries no mark of DOUBTS."""
-    marks = quads.where(F.col("t").isin(*DOUBTS)).select("graph_id", F.col("s").alias(pid)).distinct()
+    marks = quads.where(F.col("t").isin(*DOUBTS)).select("graph_id", F.col("s").alias(pid))
     return rows.join(marks, ["graph_id", pid], "left_anti")
 
 
