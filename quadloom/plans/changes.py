@@ -31,12 +31,12 @@ def concat_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("assign_ids", "SELECT item, concat('id_', row_number() OVER (ORDER BY item) + 3) AS id FROM (SELECT DISTINCT s AS item FROM quads WHERE t = 'supply')", "star")
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutate.fresh_ids(star_graph(spark, sf_dir).where("t = 'supply'").select(F.col("s").alias("item")), "id_", 4)
+    return mutate.fresh_ids(star_graph(spark, sf_dir, "supply").select(F.col("s").alias("item")), "id_", 4)
 
 
 @query("copy_ns", "SELECT concat('k_', s) AS s, t, concat('k_', o) AS o, concat('k_', pid) AS pid FROM quads WHERE t = 'supply'", "star")
 def copy_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = star_graph(spark, sf_dir).where("t = 'supply'")
+    quads = star_graph(spark, sf_dir, "supply")
     return mutate.concatenated(quads.limit(0), quads, "k_", lambda c: F.lit(True)).select("s", "t", "o", "pid")
 
 
@@ -69,20 +69,20 @@ def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("merge_simple", f"WITH {_REP} SELECT coalesce(rep.new, q.s) AS s, CAST(count(*) AS BIGINT) AS n FROM quads q LEFT JOIN rep ON rep.old = q.s WHERE q.t = 'place' GROUP BY 1", "star")
 def merge_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = mutate.representatives(_neighbours(spark, sf_dir)).withColumn("graph_id", F.lit("g1"))
-    return mutate.renamed(star_graph(spark, sf_dir).where("t = 'place'"), names, ("s",)).groupBy("s").agg(F.count("*").alias("n"))
+    return mutate.renamed(star_graph(spark, sf_dir, "place"), names, ("s",)).groupBy("s").agg(F.count("*").alias("n"))
 
 
 @query("merge_congruence", f"""
 WITH {_REP} SELECT coalesce(rep.new, q.s) AS s, q.t, q.o, min(q.pid) AS pid FROM quads q LEFT JOIN rep ON rep.old = q.s WHERE q.t = 'type' AND q.s LIKE 'c:%' GROUP BY 1, 2, 3
 UNION ALL SELECT coalesce(rep.new, q.s), q.t, q.o, q.pid FROM quads q LEFT JOIN rep ON rep.old = q.s WHERE q.t = 'place'""", "star")
 def merge_congruence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = star_graph(spark, sf_dir).where("t = 'place' OR (t = 'type' AND s LIKE 'c:%')")
+    quads = star_graph(spark, sf_dir, "place", "type").where("t = 'place' OR (t = 'type' AND s LIKE 'c:%')")
     return mutate.merged(quads, _neighbours(spark, sf_dir).withColumn("graph_id", F.lit("g1"))).select("s", "t", "o", "pid")
 
 
 @query("merge_metalinks", f"WITH {_REP} SELECT DISTINCT coalesce(rep.new, q.s) AS src, q.o AS dst, CASE WHEN rep.new = rep.old THEN 'ref' ELSE 'rref' END AS label FROM quads q JOIN rep ON rep.old = q.s WHERE q.t = 'place'", "star")
 def merge_metalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = star_graph(spark, sf_dir).where("t = 'place'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    links = star_graph(spark, sf_dir, "place").select(F.col("s").alias("src"), F.col("o").alias("dst"))
     names = mutate.representatives(_neighbours(spark, sf_dir)).withColumnRenamed("old", "src")
     moved = links.join(names, "src", "left")
     return moved.select(F.coalesce("new", "src").alias("src"), "dst", F.when(F.col("new") != F.col("src"), "rref").otherwise("ref").alias("label")).distinct()
@@ -91,16 +91,16 @@ def merge_metalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("support_cascade", "SELECT s, t, o FROM quads WHERE t IN ('not', 'maybe') AND s IN (SELECT id FROM li WHERE l_quantity >= 10)", "star")
 def support_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks stay only while the line they rest on does; lines of small quantity go."""
-    quads = star_graph(spark, sf_dir).where("t IN ('contain', 'not', 'maybe')")
-    from quadloom.sources.graphs import STAR, derived
+    quads = star_graph(spark, sf_dir, "contain", "not", "maybe")
+    from quadloom.sources.graphs import star_lines
 
-    gone = derived(spark, sf_dir, STAR, "li").where("l_quantity < 10").select(F.lit("g1").alias("graph_id"), F.col("id").alias("pid"))
+    gone = star_lines(spark, sf_dir).where("l_quantity < 10").select(F.lit("g1").alias("graph_id"), F.col("id").alias("pid"))
     return mutate.remove(quads, pids=gone).where("t <> 'contain'").select("s", "t", "o")
 
 
 @query("add_links", "SELECT concat('r:', n_regionkey) AS src, concat('n:', n_nationkey) AS dst, 'comps' AS label FROM nation")
 def add_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = star_graph(spark, sf_dir).where("t = 'part_of' AND o <> 'world'").groupBy(F.col("o").alias("src")).agg(F.collect_set("s").alias("targets"))
+    groups = star_graph(spark, sf_dir, "part_of").where("t = 'part_of' AND o <> 'world'").groupBy(F.col("o").alias("src")).agg(F.collect_set("s").alias("targets"))
     return groups.select("src", F.explode("targets").alias("dst"), F.lit("comps").alias("label"))
 
 
@@ -143,5 +143,5 @@ def redirect_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nonassert_marks", "SELECT pid AS s, mark FROM quads, (SELECT unnest(['maybe', '_exists']) AS mark) WHERE t = 'prefer' AND s IN (SELECT concat('c:', c_custkey) FROM customer WHERE c_acctbal < 0)", "star")
 def nonassert_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     unsure = _read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c:"), "c_custkey").alias("s"))
-    facts = star_graph(spark, sf_dir).where("t = 'prefer'").join(unsure, "s", "left_semi")
+    facts = star_graph(spark, sf_dir, "prefer").join(unsure, "s", "left_semi")
     return facts.select(F.col("pid").alias("s"), F.explode(F.array(F.lit("maybe"), F.lit("_exists"))).alias("mark"))
