@@ -14,7 +14,7 @@ from quadloom.operators.components import connected_components
 from quadloom.operators.mutate import FACT, merged
 from quadloom.operators.retrieve import subsets
 from quadloom.operators.rulebook import compiled, solve
-from quadloom.sources.staging import staged
+from quadloom.sources.staging import small, staged
 
 #: Requests in the order in which a reply settles them, and whose question each is.
 REQUESTS = [("bot", "truth"), ("bot", "arg"), ("user", "truth"), ("user", "arg")]
@@ -235,7 +235,7 @@ def mention_links(mentions: DataFrame, facts: DataFrame, rules: DataFrame) -> Da
     mention's question or the focus itself belongs to the components, and whether the reference hangs on the `focus`,
     on the `object` of the question, or on nothing (null).
     """
-    of = mentions.join(rules, "rule")
+    of = mentions.join(small(rules), "rule")  # few rules, each with a large share of the mentions
     inner = facts.where("t NOT IN ('focus', 'center', 'cover')").join(of.select("graph_id", "mention", "focus"), ["graph_id", "mention"])
     asks = facts.where("t IN ('req_arg', 'req_truth')").groupBy("graph_id", "mention").agg(F.min_by("o", F.struct(F.col("t") != "req_arg", "pid")).alias("asked"))
     asked = of.join(asks, ["graph_id", "mention"], "left")
