@@ -6,6 +6,8 @@ the nodes that a match may bind, `comps` from a focus to the parts of its mentio
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from quadloom.operators.components import connected_components
 from quadloom.operators.mutate import FACT, merged
 from quadloom.operators.retrieve import subsets
-from quadloom.operators.rulebook import compiled, solve
+from quadloom.operators.rulebook import compiled, ends, leaves
 from quadloom.sources.staging import small, staged
 
 #: Requests in the order in which a reply settles them, and whose question each is.
@@ -84,20 +86,45 @@ def patterns(refs: DataFrame, quads: DataFrame) -> DataFrame:
 
 
 def candidates(quads: DataFrame, refs: DataFrame, types: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """(graph_id, ref, match) of what fits a reference's constraints: another node, both or neither of them predicates, and
-    none of the reference's own types. facts: where matches are looked for, by default the other facts of quads."""
+    """(graph_id, ref, match) of what fits a reference's constraints, a row for each pair; alike() says the same without the pairs."""
+    members, fits, barred = alike(quads, refs, types, facts)
+    return members.join(fits, ["graph_id", "kind"]).join(barred, ["graph_id", "ref", "kind", "match"], "left_anti").select("graph_id", "ref", "match").distinct()
+
+
+def alike(quads: DataFrame, refs: DataFrame, types: DataFrame, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References by kind, as many may ask for the same: (graph_id, ref, kind), (graph_id, kind, match) of what fits the constraints of a
+    kind, and (graph_id, ref, kind, match) of what a reference must not stand for although its kind may.
+
+    A reference stands for another node, both or neither of them predicates, and for none of its own types. facts: where matches are looked
+    for, by default the other facts of quads.
+    """
+    trie = compiled(patterns(refs, quads), unstated="any")
     named = refs.select("graph_id", "ref", F.array_position("vars", F.col("ref")).alias("at"), F.concat_ws("|", "graph_id", "ref").alias("rule")).where("at > 0")
-    found = solve(quads if facts is None else facts, compiled(patterns(refs, quads), unstated="any")).withColumnRenamed("graph_id", "_in")
-    match = F.try_element_at("bindings", F.concat(F.lit("v"), F.col("at").cast("string"))).alias("match")
-    pairs = found.join(named, "rule").where("_in = graph_id").select("graph_id", "ref", match).where("match <> ref").distinct()
-    ids = quads.select("graph_id", "pid").distinct()
-    is_id = lambda c: ids.select("graph_id", F.col("pid").alias(c), F.lit(True).alias(f"_{c}"))
-    both = pairs.join(is_id("ref"), ["graph_id", "ref"], "left").join(is_id("match"), ["graph_id", "match"], "left").where("_ref <=> _match")
-    return both.join(types.select(F.col("c").alias("ref"), F.col("sup").alias("match")), ["ref", "match"], "left_anti").select("graph_id", "ref", "match")
+    slot = F.array_position("names", F.concat(F.lit("v"), F.col("at").cast("string"))).cast("int").alias("slot")
+    own = named.join(leaves(trie), "rule").select("graph_id", "ref", "node", slot).where("slot > 0")
+    ids = quads.select("graph_id", "pid").distinct().withColumn("is_id", F.lit(True))
+    kind = F.concat_ws("|", "node", "slot", F.coalesce("is_id", F.lit(False)).cast("string")).alias("kind")
+    own = own.join(ids.withColumnRenamed("pid", "ref"), ["graph_id", "ref"], "left").select("graph_id", "ref", kind, "node", "slot")
+    members = staged(own.distinct())
+    found = ends(quads if facts is None else facts, trie)
+    if found is None:
+        none = members.limit(0).withColumn("match", F.col("ref"))
+        return members.select("graph_id", "ref", "kind"), none.select("graph_id", "kind", "match"), none.select("graph_id", "ref", "kind", "match")
+    fits = found.join(small(members.select("node", "slot").distinct()), "node").select("graph_id", "node", "slot", F.get("b", F.col("slot") - 1).alias("match")).distinct()
+    fits = staged(fits.join(ids.withColumnRenamed("pid", "match"), ["graph_id", "match"], "left").select("graph_id", kind, "match"))
+    members = members.select("graph_id", "ref", "kind")
+    bars = members.withColumn("match", F.col("ref")).union(members.join(types.select(F.col("c").alias("ref"), F.col("sup").alias("match")), "ref").select("graph_id", "ref", "kind", "match"))
+    return members, fits, staged(bars.join(fits, ["graph_id", "kind", "match"], "left_semi").select("graph_id", "ref", "kind", "match").distinct())
 
 
 def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
-    """(graph_id, ref, match) that are merged, from candidates (graph_id, ref, match); salience: (graph_id, c, salience).
+    """chosen_alike() of candidates (graph_id, ref, match), each reference being a kind of its own."""
+    rows = pairs.select("graph_id", "ref", "match").distinct()
+    return chosen_alike(rows.select("graph_id", "ref", F.col("ref").alias("kind")).distinct(), rows.withColumnRenamed("ref", "kind"), salience)
+
+
+def chosen_alike(members: DataFrame, fits: DataFrame, salience: DataFrame, barred: DataFrame | None = None) -> DataFrame:
+    """(graph_id, ref, match) that are merged; salience: (graph_id, c, salience), the others as in alike(). A reference may be of several kinds.
 
     A reference takes its most salient constant and, while they agree, the references among its candidates: the one with the
     least salient best candidate first; a reference that was taken keeps only candidates that both have, and after a
@@ -106,29 +133,47 @@ def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
     Only references that may be one another depend on each other. One without such candidates takes its best constant by
     aggregation; the others are split into connected components of the graph of references, and each component is settled by
     itself, in parallel. Of constants a component needs those alone that are the best of one of its references: what a
-    reference that was taken can still choose is its taker's best, and its own best decides its turn.
+    reference that was taken can still choose is its taker's best, and its own best decides its turn. Constants are ranked
+    once for each kind, so references are paired with each other and with what a component needs, never with all constants.
     """
+    if barred is not None and barred.isEmpty():
+        barred = None
+    members = staged(members.select("graph_id", "ref", "kind").distinct())
     sal = salience.select("graph_id", F.col("c").alias("match"), "salience")
-    known = pairs.select("graph_id", F.col("ref").alias("match")).distinct().withColumn("also", F.lit(True))
-    rows = pairs.select("graph_id", "ref", "match").distinct().join(sal, ["graph_id", "match"], "left").join(known, ["graph_id", "match"], "left")
-    rows = staged(rows.select("graph_id", "ref", "match", F.coalesce("salience", F.lit(0.0)).alias("salience"), F.coalesce("also", F.lit(False)).alias("also")))
+    sizes = fits.select("graph_id", "kind", "match").distinct().groupBy("graph_id", "kind").agg(F.count("*").alias("n"))
+    live = members.join(sizes, ["graph_id", "kind"])
+    if barred is not None:
+        live = live.join(barred.groupBy("graph_id", "ref", "kind").agg(F.count("*").alias("less")), ["graph_id", "ref", "kind"], "left").where("n > coalesce(less, 0)")
+    known = live.select("graph_id", F.col("ref").alias("match")).distinct().withColumn("also", F.lit(True))
+    rows = fits.select("graph_id", "kind", "match").distinct().join(sal, ["graph_id", "match"], "left").join(known, ["graph_id", "match"], "left")
+    rows = staged(rows.select("graph_id", "kind", "match", F.coalesce("salience", F.lit(0.0)).alias("salience"), F.coalesce("also", F.lit(False)).alias("also")))
+    open_to = lambda x: x if barred is None else x.join(barred, ["graph_id", "ref", "kind", "match"], "left_anti")
+    met = staged(open_to(members.join(rows.where("also"), ["graph_id", "kind"])).select("graph_id", "ref", "match", "salience", "also").distinct())
     node = lambda c: F.struct("graph_id", F.col(c).alias("n"))
-    parts = connected_components(rows.where("also").select(node("ref").alias("src"), node("match").alias("dst")))
-    parts = parts.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("ref"), F.col("component.n").alias("part"))
-    of = staged(rows.join(parts, ["graph_id", "ref"], "left"))
-    best = of.where("NOT also").groupBy("graph_id", "part", "ref").agg(F.min_by("match", F.struct(-F.col("salience"), "match")).alias("match"))
+    parts = connected_components(met.select(node("ref").alias("src"), node("match").alias("dst")))
+    parts = staged(parts.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("ref"), F.col("component.n").alias("part")))
+    constants = rows.where("NOT also").drop("also")
+    best = staged(_best(members, constants, barred).join(parts, ["graph_id", "ref"], "left"))
     alone = best.where("part IS NULL").select("graph_id", "ref", "match")
-    wanted = best.where("part IS NOT NULL").select("graph_id", "part", "match").distinct()
-    joint = of.where("also AND part IS NOT NULL").select(*rows.columns, "part").union(of.where("NOT also").join(wanted, ["graph_id", "part", "match"], "left_semi").select(*rows.columns, "part"))
+    wanted = best.where("part IS NOT NULL").select("graph_id", "part", "match").distinct().join(constants, ["graph_id", "match"])
+    within = open_to(members.join(parts, ["graph_id", "ref"]).join(wanted, ["graph_id", "part", "kind"])).withColumn("also", F.lit(False))
+    cols = ["graph_id", "part", "ref", "match", "salience", "also"]
+    joint = met.join(parts, ["graph_id", "ref"]).select(cols).union(within.select(cols).distinct())
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         weight = dict(zip(group["match"], group["salience"], strict=True))
         also = set(group.loc[group["also"], "match"])
         left = {r: set(g["match"]) for r, g in group.groupby("ref")}
         first = lambda names: min(names, key=lambda c: (-weight[c], c))
+        turn = lambda r: (max((weight[c] for c in left[r]), default=0.0), r)
+        turns = [turn(r) for r in left]
+        heapq.heapify(turns)
         out = []
-        while left:
-            ref = min(left, key=lambda r: (max((weight[c] for c in left[r]), default=0.0), r))
+        while turns:
+            at = heapq.heappop(turns)
+            ref = at[1]
+            if ref not in left or at != turn(ref):
+                continue
             constants = left[ref] - also
             open_ = (left[ref] & also) | ({first(constants)} if constants else set())
             while open_:
@@ -138,6 +183,7 @@ def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
                     if take in left:
                         open_ &= left[take]
                         left[take] &= open_
+                        heapq.heappush(turns, turn(take))
                 else:
                     open_ = {c for c in open_ if c not in also or take in left.get(c, ())}
                 open_.discard(take)
@@ -147,11 +193,32 @@ def chosen(pairs: DataFrame, salience: DataFrame) -> DataFrame:
     return alone.union(joint.groupBy("graph_id", "part").applyInPandas(settle, "graph_id string, ref string, match string"))
 
 
-def best_constant(pairs: DataFrame, salience: DataFrame) -> DataFrame:
-    """chosen() where no candidate is a reference itself: the most salient one of each reference, without gathering a graph."""
-    rows = pairs.join(salience.select("graph_id", F.col("c").alias("match"), "salience"), ["graph_id", "match"], "left")
-    order = F.struct(-F.coalesce("salience", F.lit(0.0)), "match")
-    return rows.groupBy("graph_id", "ref").agg(F.min_by("match", order).alias("match"))
+def _best(members: DataFrame, constants: DataFrame, barred: DataFrame | None) -> DataFrame:
+    """(graph_id, ref, match): each reference's most salient constant that isn't barred to it; constants: (graph_id, kind, match, salience).
+
+    A reference that may not take k constants of its kind finds its own among the kind's first k + 1.
+    """
+    order = F.struct(-F.col("salience"), "match")
+    first = constants.groupBy("graph_id", "kind").agg(F.min(order).alias("b"))
+    if barred is None:
+        tried = members.join(small(staged(first)), ["graph_id", "kind"])
+    else:
+        held = barred.select("graph_id", "ref", "kind").distinct()
+        most = barred.groupBy("graph_id", "ref", "kind").count().agg(F.max("count")).first()[0]
+        rank = F.row_number().over(Window.partitionBy("graph_id", "kind").orderBy(F.desc("salience"), "match"))
+        some = constants.join(held.select("graph_id", "kind").distinct(), ["graph_id", "kind"], "left_semi")
+        some = some.withColumn("_k", rank).where(F.col("_k") <= most + 1).select("graph_id", "kind", "match", order.alias("b"))
+        mine = members.join(held, ["graph_id", "ref", "kind"], "left_semi").join(some, ["graph_id", "kind"]).join(barred, ["graph_id", "ref", "kind", "match"], "left_anti")
+        free = members.join(held, ["graph_id", "ref", "kind"], "left_anti").join(small(staged(first)), ["graph_id", "kind"])
+        tried = free.select("graph_id", "ref", "b").union(mine.select("graph_id", "ref", "b"))
+    return tried.groupBy("graph_id", "ref").agg(F.min("b")["match"].alias("match"))
+
+
+def best_constant(members: DataFrame, fits: DataFrame, barred: DataFrame, salience: DataFrame) -> DataFrame:
+    """chosen_alike() where no candidate is a reference itself: the most salient one of each reference, without gathering a graph."""
+    rows = fits.join(salience.select("graph_id", F.col("c").alias("match"), "salience"), ["graph_id", "match"], "left")
+    rows = rows.select("graph_id", "kind", "match", F.coalesce("salience", F.lit(0.0)).alias("salience"))
+    return _best(members, rows, None if barred.isEmpty() else barred)
 
 
 def resolved(quads: DataFrame, links: DataFrame, types: DataFrame, salience: DataFrame, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +226,8 @@ def resolved(quads: DataFrame, links: DataFrame, types: DataFrame, salience: Dat
 
     facts: where candidates are looked for, by default quads itself.
     """
-    pairs = staged(chosen(candidates(quads, references(links), types, facts), salience))
+    members, fits, barred = alike(quads, references(links), types, facts)
+    pairs = staged(chosen_alike(members, fits, salience, barred))
     return merged(quads, pairs.select("graph_id", F.col("match").alias("a"), F.col("ref").alias("b"))), pairs
 
 
