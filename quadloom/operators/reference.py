@@ -96,7 +96,7 @@ def alike(quads: DataFrame, refs: DataFrame, types: DataFrame, facts: DataFrame
     kind, and (graph_id, ref, kind, match) of what a reference must not stand for although its kind may.
 
     A reference stands for another node, both or neither of them predicates, and for none of its own types. facts: where matches are looked
-    for, by default the other facts of quads.
+    for, by default the other facts of quads. types: (c, sup), with a column graph_id each graph's own.
     """
     trie = compiled(patterns(refs, quads), unstated="any")
     named = refs.select("graph_id", "ref", F.array_position("vars", F.col("ref")).alias("at"), F.concat_ws("|", "graph_id", "ref").alias("rule")).where("at > 0")
@@ -113,7 +113,8 @@ def alike(quads: DataFrame, refs: DataFrame, types: DataFrame, facts: DataFrame
     fits = found.join(small(members.select("node", "slot").distinct()), "node").select("graph_id", "node", "slot", F.get("b", F.col("slot") - 1).alias("match")).distinct()
     fits = staged(fits.join(ids.withColumnRenamed("pid", "match"), ["graph_id", "match"], "left").select("graph_id", kind, "match"))
     members = members.select("graph_id", "ref", "kind")
-    bars = members.withColumn("match", F.col("ref")).union(members.join(types.select(F.col("c").alias("ref"), F.col("sup").alias("match")), "ref").select("graph_id", "ref", "kind", "match"))
+    own = ["graph_id"] if "graph_id" in types.columns else []
+    bars = members.withColumn("match", F.col("ref")).union(members.join(types.select(*own, F.col("c").alias("ref"), F.col("sup").alias("match")), [*own, "ref"]).select("graph_id", "ref", "kind", "match"))
     return members, fits, staged(bars.join(fits, ["graph_id", "kind", "match"], "left_semi").select("graph_id", "ref", "kind", "match").distinct())
 
 

@@ -8,16 +8,17 @@ reads and writes the sessions that speak alone. A derived fact `ask_x`(s, o) is
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadloom.operators.closure import types
+from quadloom.operators.closure import types, types_within
 from quadloom.operators.mutate import FACT, add, renamed, representatives
 from quadloom.operators.reference import open_request, resolved, truth_answers
 from quadloom.operators.rulebook import chain_stored, compiled
 from quadloom.operators.salience import DECAY
-from quadloom.sources.staging import remove_folder, scratch, staged
+from quadloom.sources.staging import discard, remove_folder, scratch, small, staged
 
 SAID = "session string, turn long, row string, s string, t string, o string, pid string"
 #: facts and links of the session; when each concept was mentioned last; what was asked, by whom, and whether that is settled.
@@ -30,21 +31,26 @@ STATE = {
 RESPONSE = "session string, turn long, kind string, text string, about string"
 #: What is said when nothing else can be; rounds of rules in a turn; batches after which the state's versions are put together.
 FALLBACK, ROUNDS, COMPACT = "tell me more", 2, 10
+#: Turns from which on it pays to take them at once, and the rows of all their states, as far as known before, that are taken at once.
+AHEAD, TOGETHER = 6, 4_000_000
 
 
 @dataclass(frozen=True)
 class Knowledge:
-    """Facts that hold in every session (types above all), and stored rules with their conditions; tries: the rules compiled, once."""
+    """Facts that hold in every session (types above all), and stored rules with their conditions; once made: tries, the rules compiled,
+    and above, the types (c, sup) that hold in every session."""
 
     facts: DataFrame
     edges: DataFrame
     conditions: DataFrame | None = None
     tries: tuple[DataFrame, DataFrame] | None = None
+    above: DataFrame | None = None
 
     def ready(self) -> Knowledge:
-        if self.tries:
+        if self.tries and self.above is not None:
             return self
-        return replace(self, edges=staged(self.edges), tries=(compiled(self.edges, self.conditions), compiled(self.edges, self.conditions, delta=True)))
+        tries = self.tries or (compiled(self.edges, self.conditions), compiled(self.edges, self.conditions, delta=True))
+        return replace(self, edges=staged(self.edges), tries=tries, above=small(staged(types(self.facts.select(FACT)).where("c <> sup"))))
 
 
 def starting(spark: SparkSession, facts: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -61,7 +67,7 @@ def step(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple
     was resolved, else a new question that a rule raised, else a newly derived fact, else FALLBACK. Ties go to the more salient
     subject, then to the smaller id.
     """
-    said = staged(said)
+    said, know = staged(said), know.ready()
     now = staged(said.groupBy(F.col("session").alias("graph_id")).agg(F.max("turn").cast("long").alias("turn")))
     mine = {k: v.join(F.broadcast(now.select("graph_id")), "graph_id", "left_semi") for k, v in state.items()}  # as many rows as the batch has sessions
     own = lambda kind: said.where(F.col("row") == kind).select(F.col("session").alias("graph_id"), "s", "t", "o", "pid", "turn")
@@ -73,7 +79,7 @@ def step(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple
     asks = own("ask").select("graph_id", "pid", F.lit("user").alias("who"), F.col("t").alias("kind"), F.col("s").alias("focus"), "turn", F.lit(1.0).alias("salience"), F.lit(False).alias("settled"))
     requests = mine["requests"].union(asks)
 
-    kinds = staged(types(facts.union(know.facts.select(FACT))))
+    kinds = staged(types_within(facts, know.above))
     facts, pairs = resolved(facts, links, kinds, fresh(features).select("graph_id", "c", "salience"))
     pairs = staged(pairs)
     names = staged(representatives(pairs.select("graph_id", F.col("match").alias("a"), F.col("ref").alias("b"))).where("old <> new"))
@@ -113,22 +119,95 @@ def step(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple
 
 
 def run_turns(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(state of the sessions in said, responses): one turn of all sessions after another, in the order of their numbers."""
+    """(state of the sessions in said, responses): the turns of all sessions in the order of their numbers, many of them at once by ahead()."""
     spark, said, parts, know = said.sparkSession, staged(said), [], know.ready()
     spoken = said.select(F.col("session").alias("graph_id")).distinct()
     state = {k: staged(v.join(spoken, "graph_id", "left_semi")) for k, v in state.items()}
-    for turn in sorted(r.turn for r in said.select("turn").distinct().collect()):  # as many as the longest session has turns
-        rows = said.where(F.col("turn") == turn)
+    turns = sorted(r.turn for r in said.select("turn").distinct().collect())  # as many as the longest session has turns
+    while turns:
+        n = _at_once(state, said.where(F.col("turn") >= turns[0])) if len(turns) >= AHEAD else 1
+        take = step if n < AHEAD else ahead
+        n = 1 if n < AHEAD else n
+        rows = said.where(F.col("turn").between(turns[0], turns[n - 1]))
         speaking = rows.select(F.col("session").alias("graph_id")).distinct()
-        after, some = step(state, rows, know)
+        after, some = take(state, rows, know)
         state = {k: staged(v.join(speaking, "graph_id", "left_anti").unionByName(after[k])) for k, v in state.items()}
         parts.append(some)
+        turns = turns[n:]
     out = spark.createDataFrame([], RESPONSE)
     for some in parts:
         out = out.union(some)
     return state, out
 
 
+def _at_once(state: dict[str, DataFrame], said: DataFrame) -> int:
+    """How many of the first turns of said have no more than TOGETHER rows before them, a session's counted for each of its turns."""
+    own = said.groupBy(F.col("session").alias("graph_id"), "turn").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("graph_id").orderBy("turn"))
+    held = _packed(state).groupBy("graph_id").agg(F.sum("n").alias("held"))
+    rows = own.withColumn("n", so_far).join(held, "graph_id", "left").groupBy("turn").agg(F.sum(F.col("n") + F.coalesce("held", F.lit(0))).alias("n"))
+    sums = accumulate(r.n for r in rows.orderBy("turn").collect())  # a row for each turn
+    return sum(n <= TOGETHER for n in sums)
+
+
+def _cells(table: str) -> list[str]:
+    return STATE[table].split(", ")[1:]
+
+
+def _packed(state: dict[str, DataFrame]) -> DataFrame:
+    """(graph_id, row, n): the rows of all tables of a state as one table, and how often each stands there."""
+    out = None
+    for k, v in state.items():
+        cell = lambda x: (F.struct(*(c.split()[0] for c in _cells(x))) if x == k else F.lit(None)).cast(f"struct<{','.join(c.replace(' ', ':') for c in _cells(x))}>").alias(x)  # noqa: B023, E731
+        rows = v.select("graph_id", F.struct(*map(cell, STATE)).alias("row"))
+        out = rows if out is None else out.union(rows)
+    return out.groupBy("graph_id", "row").agg(F.count("*").alias("n"))
+
+
+def _unpacked(rows: DataFrame) -> dict[str, DataFrame]:
+    """The state whose _packed() rows these are."""
+    table = lambda k: rows.where(F.col(f"row.{k}").isNotNull()).select("graph_id", f"row.{k}.*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_k")).drop("_k")
+    return {k: table(k) for k in STATE}
+
+
+def ahead(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What step() makes of the turns in said one after another, by steps that take many turns of a session at once.
+
+    Each turn of a session is a session of its own to step() and begins with a guess of the state before it: the session's state with
+    what the turns before changed when they ran last. Turns whose guess has changed run again until there are none. A first
+    turn's guess is right, and so is a turn's if those before ran with right ones; so a round settles one turn of each session at
+    least, and ends with what step() makes of one after another. There are as many rounds as turns really depend on one another in a row. Guesses
+    are compared by 128 bits of hashes and their numbers of rows.
+    """
+    turns = staged(said.where("session IS NOT NULL").select("session", "turn", F.concat_ws("#", "session", "turn").alias("graph_id")).distinct())
+    said = said.withColumn("session", F.concat_ws("#", "session", "turn"))
+    long = lambda n: F.lit(n).cast("long")
+    held = staged(_packed(state).select(F.col("graph_id").alias("session"), "row", long(-(1 << 63)).alias("turn"), "n"))
+    events, changes, out, marks = held, None, None, None
+    while True:
+        until = F.coalesce(F.lead("turn").over(Window.partitionBy("session", "row").orderBy("turn")), long((1 << 63) - 1))
+        spans = events.select("session", "row", F.col("turn").alias("since"), until.alias("until"), "n").where("n > 0")
+        guess = staged(turns.join(spans, "session").where("since < turn AND turn <= until").select("graph_id", "row", "n"))
+        text = F.to_json("row")
+        mark = guess.groupBy("graph_id").agg(F.count("*").alias("m0"), F.bit_xor(F.xxhash64(text, "n")).alias("m1"), F.bit_xor(F.xxhash64(F.lit("#"), text, "n")).alias("m2"))
+        now = staged(turns.select("graph_id").join(mark, "graph_id", "left").na.fill(0))
+        todo = staged((now if marks is None else now.join(marks, now.columns, "left_anti")).select("graph_id"))
+        if todo.isEmpty():
+            break
+        again = lambda rows, kind: rows.join(todo, "graph_id", kind)  # noqa: B023, E731
+        after, some = step(_unpacked(guess), said.join(todo.select(F.col("graph_id").alias("session")), "session", "left_semi"), know)
+        both = _packed(after).select("graph_id", "row", "n", long(0).alias("was")).union(again(guess, "left_semi").select("graph_id", "row", long(0), "n"))
+        new = both.groupBy("graph_id", "row").agg(F.sum("n").alias("n"), F.sum("was").alias("was")).where("n <> was").select("graph_id", "row", "n")
+        old = changes, out, marks, guess
+        changes = staged(new if changes is None else again(changes, "left_anti").union(new))
+        some = some.withColumnRenamed("session", "graph_id")
+        out = staged(some if out is None else again(out, "left_anti").union(some))
+        marks, events = now, held.union(changes.join(turns, "graph_id").select("session", "row", "turn", "n"))
+        discard(*(x for x in old if x is not None))
+    last = events.groupBy(F.col("session").alias("graph_id"), "row").agg(F.max_by("n", "turn").alias("n")).where("n > 0")
+    return _unpacked(staged(last)), out.join(turns.select("graph_id", "session"), "graph_id").select("session", "turn", "kind", "text", "about")
+
+
 class Sessions:
     """The state of all sessions as versions: a batch writes those of its sessions; a session's state is its last version.
 
