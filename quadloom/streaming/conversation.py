@@ -176,7 +176,7 @@ def ahead(state: dict[str, DataFrame], said: DataFrame, know: Knowledge) -> tupl
     Each turn of a session is a session of its own to step() and begins with a guess of the state before it: the session's state with
     what the turns before changed when they ran last. Turns whose guess has changed run again until there are none. A first
     turn's guess is right, and so is a turn's if those before ran with right ones; so a round settles one turn of each session at
-    least, and ends with what step() makes of one after another. There are as many rounds as turns really depend on one another in a row. Guesses
+    least, and ends with what step() makes of one after another. Guesses
     are compared by 128 bits of hashes and their numbers of rows.
     """
     turns = staged(said.where("session IS NOT NULL").select("session", "turn", F.concat_ws("#", "session", "turn").alias("graph_id")).distinct())
