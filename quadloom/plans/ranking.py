@@ -31,16 +31,22 @@ cand AS (SELECT q.s AS c, l.s AS o, l.o AS p, l.pid, c_mktsegment AS seg FROM qu
 sc AS (SELECT cand.c, cand.pid, round((a.salience + b.salience + d.salience) / 3 + coalesce(prio.p, 0.5) + 0.5 * d.salience + 1e-9, 6) AS score FROM cand JOIN given a ON a.c = cand.c JOIN given b ON b.c = cand.o JOIN given d ON d.c = cand.p LEFT JOIN prio ON prio.seg = cand.seg)"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Bought lines of each customer, scored by mean salience, the segment's priority and the part's salience."""
+def _candidates(spark: SparkSession, d: str, *of_order: DataFrame) -> DataFrame:
+    """Bought lines of each customer, scored by mean salience, the segment's priority and the part's salience.
+
+    of_order: further tables by order (o, ...), whose columns the lines then have. What hangs on an order is put together before its
+    lines come in, and a line brings its part's salience, so that lines are shuffled by part and by order alone.
+    """
     quads, sal = star_graph(spark, d, "place", "contain", "type"), star_salience(spark, d)
-    found = match(quads, [("?c", "place", "?o"), ("?o", "contain", "?p", "?pid")])
     kinds = quads.where("t = 'type' AND s LIKE 'c:%'").select(F.col("s").alias("c"), F.col("o").alias("seg"))
-    for v in ("c", "o", "p"):
-        found = found.join(sal.select(F.col("c").alias(v), F.col("salience").alias(f"s_{v}")), v)
+    of = lambda v: sal.select(F.col("c").alias(v), F.col("salience").alias(f"s_{v}"))
+    orders = match(quads, [("?c", "place", "?o")]).join(of("c"), "c").join(kinds, "c").join(of("o"), "o")
+    for more in of_order:
+        orders = orders.join(more, "o", "left")
+    found = match(quads, [("?o", "contain", "?p", "?pid")]).join(of("p"), "p").join(orders, ["graph_id", "o"])
     priority = F.when(F.col("seg") == "seg:BUILDING", 1.0).when(F.col("seg") == "seg:MACHINERY", 0.1).otherwise(0.5)
-    rows = found.join(kinds, "c")
-    return rows.select("c", "pid", rank.score([F.col("s_c"), F.col("s_o"), F.col("s_p")], priority, F.col("s_p")).alias("score"))
+    more = [c for t in of_order for c in t.columns if c != "o"]
+    return found.select("c", "pid", rank.score([F.col("s_c"), F.col("s_o"), F.col("s_p")], priority, F.col("s_p")).alias("score"), *more)
 
 
 @query("candidate_score", f"WITH {_CAND} SELECT c, pid, score FROM sc", "star")
@@ -51,10 +57,9 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("best_candidate", f"WITH {_CAND}, r AS (SELECT sc.*, row_number() OVER (PARTITION BY sc.c ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END, score DESC, sc.pid) AS k FROM sc JOIN cand USING (pid) JOIN orders ON concat('o:', o_orderkey) = cand.o) SELECT c, pid, score FROM r WHERE k = 1", "star")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's best line, those of an urgent order, which is an open question, before all others."""
-    quads = star_graph(spark, sf_dir)
-    asked = match(quads, [("?x", "place", "?o", "?q"), ("?q", "urgent", None), ("?o", "contain", "?p", "?pid")]).select("pid", F.lit(1).alias("answers")).distinct()
-    rows = _candidates(spark, sf_dir).join(asked, "pid", "left")
-    return rank.best(rows, ["c"], [F.desc_nulls_last("answers"), F.desc("score"), "pid"]).select("c", "pid", "score")
+    quads = star_graph(spark, sf_dir, "place", "urgent")
+    asked = match(quads, [("?x", "place", "?o", "?q"), ("?q", "urgent", None)]).select("o", F.lit(1).alias("answers")).distinct()
+    return rank.best(_candidates(spark, sf_dir, asked), ["c"], [F.desc_nulls_last("answers"), F.desc("score"), "pid"]).select("c", "pid", "score")
 
 
 @query("compose", f"""WITH {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, pid) AS k FROM sc)
