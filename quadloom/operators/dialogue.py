@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.sources.staging import staged
+
 #: A template's priority, and the tags that its tokens may carry.
 PRIORITIES = {"low": 0.1, "normal": 0.5, "high": 1.0}
 #: Tags and what they are kinds of.
@@ -76,16 +78,34 @@ def request_status(requests: DataFrame, answered: DataFrame) -> DataFrame:
     return requests.join(done, "request", "left").select("request", F.when(F.col("_done"), "satisfied").otherwise("unsatisfied").alias("status"))
 
 
+#: Longs in which a candidate's values are marked, each value a bit of one of them.
+MARKS = 4
+
+
+def _marks(hashes: Column) -> Column:
+    """An array of hashes as MARKS longs in which their bits are set."""
+    bits = lambda i: F.aggregate(F.filter(hashes, lambda h: F.shiftright(h, 6) == i), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h % 64)))
+    return F.struct(*(bits(i).alias(f"m{i}") for i in range(MARKS)))
+
+
 def answering(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(q, cand): candidates whose values hold every constraint of a question; questions (q, x), candidates (cand, x)."""
-    asked = questions.distinct()
-    often = candidates.groupBy("x").agg(F.count("*").alias("_often"))
+    """(q, cand): candidates whose values hold every constraint of a question; questions (q, x), candidates (cand, x).
+
+    A question is looked up under its rarest constraint alone, so that frequent values make no pairs. Where it has others, most
+    candidates that lack one are told by a few marked bits as they meet it, and only the rest is shuffled to be compared whole.
+    """
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(64 * MARKS)).cast("int")
+    held = staged(candidates.where("cand IS NOT NULL").groupBy("cand").agg(F.collect_set("x").alias("has")).withColumn("marks", _marks(F.transform("has", place))))
+    each = held.select("cand", "marks", F.explode("has").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("_often"))
     order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)), "x"))), lambda e: e["x"])
-    whole = asked.join(often, "x", "left").groupBy("q").agg(order.alias("needs"))
-    held = candidates.groupBy("cand").agg(F.collect_set("x").alias("has"))
-    # looked up under its rarest constraint alone, so that frequent values make no pairs; then compared whole
-    meet = whole.select("q", "needs", F.col("needs")[0].alias("x")).join(candidates.distinct(), "x")
-    return meet.join(held, "cand").where(F.size(F.array_except("needs", "has")) == 0).select("q", "cand")
+    whole = questions.distinct().join(often, "x", "left").groupBy("q").agg(order.alias("needs"))
+    whole = staged(whole.select("q", "needs", F.col("needs")[0].alias("x"), _marks(F.transform("needs", lambda x: F.coalesce(place(x), F.lit(0)))).alias("asks")))
+    one = whole.where(F.size("needs") == 1).select("q", "x").join(each.select("x", "cand"), "x")
+    fits = " AND ".join(f"(asks.m{i} & marks.m{i}) = asks.m{i}" for i in range(MARKS))
+    near = whole.where(F.size("needs") > 1).join(each, "x").where(fits).select("q", "needs", "cand")
+    several = near.join(held.select("cand", "has"), "cand").where(F.size(F.array_except("needs", "has")) == 0)
+    return one.select("q", "cand").union(several.select("q", "cand"))
 
 
 def normalised(templates: DataFrame) -> DataFrame:
