@@ -49,20 +49,35 @@ def gathered(quads: DataFrame, links: DataFrame, gather: str, promote: list[str]
     A span's focus is the object of its `ref` fact, the smallest of several, also under its linking name; of the
     focus's components those stay that are no predicate of an ignored type and hang together with the linking node.
     """
-    spans = links_of(links, gather, "node", "span")
-    spans = spans.union(spans.select("graph_id", "node", F.concat(F.lit("__linking__"), "span")))
+    part = staged(_together(quads))
+    of = lambda c: part.select("graph_id", F.col("node").alias(c), "component")
     foci = quads.where("t = 'ref'").groupBy("graph_id", F.col("s").alias("span")).agg(F.min("o").alias("focus"))
-    found = spans.join(foci, ["graph_id", "span"]).join(links_of(links, "comps", "focus", "dst"), ["graph_id", "focus"]).select("graph_id", "node", "dst").distinct()
+    foci = foci.union(foci.where(F.col("span").startswith("__linking__")).select("graph_id", F.expr("substring(span, 12)"), "focus"))
+    spans = links_of(links, gather, "node", "span").join(foci, ["graph_id", "span"]).select("graph_id", "node", "focus").distinct().join(of("node"), ["graph_id", "node"])
     ignored = quads.where(F.col("t").isin(*ignore)).select("graph_id", F.col("pid").alias("dst"))
-    place = lambda c: F.struct("graph_id", F.col(c).alias("n"))
-    ends = quads.select(place("pid").alias("src"), place("s").alias("dst")).union(quads.where("o IS NOT NULL").select(place("pid"), place("o")))
-    part = connected_components(ends)
-    of = lambda c: part.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias(c), F.col("component").alias(f"_{c}"))
-    near = found.join(ignored, ["graph_id", "dst"], "left_anti").join(of("node"), ["graph_id", "node"]).join(of("dst"), ["graph_id", "dst"]).where("_node = _dst")
+    comps = links.where("label = 'comps'").select("graph_id", F.col("src").alias("focus"), "dst").join(of("dst"), ["graph_id", "dst"]).join(ignored, ["graph_id", "dst"], "left_anti")
+    near = spans.join(comps, ["graph_id", "focus", "component"]).select("graph_id", "node", "dst").distinct()
     new = near.select("graph_id", F.col("node").alias("src"), F.explode(F.array(*map(F.lit, promote))).alias("label"), "dst")
     return links.where(F.col("label") != gather).select("graph_id", "src", "label", "dst").union(new).distinct()
 
 
+def _together(quads: DataFrame) -> DataFrame:
+    """(graph_id, node, component) of all subjects, objects and predicate ids that hang together over facts.
+
+    Nodes are numbered, as numbers are compared much faster than ids. A predicate id hangs on its subject; one that is no fact's
+    subject or object makes no edge and takes its subject's component.
+    """
+    facts = quads.where("graph_id IS NOT NULL AND pid IS NOT NULL").withColumn("s", F.coalesce("s", "o")).where("s IS NOT NULL").select("graph_id", "s", "o", "pid")
+    nodes = facts.select("graph_id", F.explode(F.array_compact(F.array("s", "o"))).alias("node")).distinct()
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))
+    held = facts.join(nodes.select("graph_id", F.col("node").alias("s"), F.col("id").alias("sid")), ["graph_id", "s"])
+    held = held.select("graph_id", "sid", F.explode(F.array_compact(F.array("o", "pid"))).alias("node")).join(nodes, ["graph_id", "node"], "left")
+    held = staged(held.select("graph_id", F.when(F.col("id").isNull(), F.col("node")).alias("node"), "sid", "id"))
+    part = connected_components(held.where("id IS NOT NULL"), "sid", "id").withColumnRenamed("node", "id")
+    own = held.where("id IS NULL").select("graph_id", "node", F.col("sid").alias("id"))
+    return nodes.union(own).join(part, "id", "left").select("graph_id", "node", F.coalesce("component", "id").alias("component")).distinct()
+
+
 def more_info(quads: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts and metalinks after each `op_more_info`(new, old): new takes over the resolved constraints (rref, rvar) of old
     and must be something specific; the operator's own fact goes."""
