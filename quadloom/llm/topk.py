@@ -86,7 +86,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS
     chunks = _packed(classes, n_parts, width, lists)
     blocks = _packed(asking, n_blocks, width, lists).select(F.col("part").alias("block"), "list", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     part, block = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("cid", n_parts), ("qid", n_blocks)))
-    cells = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))), ["list", "block", "part"])
+
+    def cells(asked_of: DataFrame) -> DataFrame:
+        """Blocks of queries, each beside the chunks that it is to meet, all where it names none.
+
+        A chunk is shuffled once and a block once for each chunk; neither is broadcast, as what a block grows to isn't told by its file.
+        """
+        if "part" not in asked_of.columns:
+            asked_of = asked_of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        return asked_of.join(chunks.hint("merge"), ["list", "part"])
+
     out = "qid long, cid long, list int, s long"
 
     def local_best(batches):
@@ -118,14 +127,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS
         """Sums over all lists of the pairs (qid, cid)."""
         wanted = pairs.select("qid", "cid", part.alias("part"), block.alias("block")).groupBy("block", "part").agg(F.collect_list(F.struct("qid", "cid")).alias("r"))
         wanted = wanted.select("block", "part", F.col("r.qid").alias("r_q"), F.col("r.cid").alias("r_c"))
-        return cells.join(wanted, ["block", "part"]).mapInArrow(asked_for, out).groupBy("qid", "cid").agg(F.sum("s").alias("score"))
+        return cells(wanted.join(blocks, "block")).mapInArrow(asked_for, out).groupBy("qid", "cid").agg(F.sum("s").alias("score"))
 
-    first = cells.mapInArrow(local_best, out).select("qid", "cid").where("qid <> cid").distinct()
+    first = cells(blocks).mapInArrow(local_best, out).select("qid", "cid").where("qid <> cid").distinct()
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     cutoff = staged(exact(first).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("qid", F.col("score").alias("cutoff")))
     floors = cutoff.groupBy(block.alias("block")).agg(F.collect_list(F.struct("qid", F.ceil(F.col("cutoff") / lists).alias("f"))).alias("c"))
     floors = floors.select("block", F.col("c.qid").alias("c_ids"), F.col("c.f").alias("c_floor"))
-    seen = cells.join(floors, "block", "left").mapInArrow(reaching, out).groupBy("qid", "cid").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    seen = cells(blocks.join(floors, "block", "left")).mapInArrow(reaching, out).groupBy("qid", "cid").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
     bound = F.col("s") + (lists - F.col("n")) * (F.ceil(F.col("cutoff") / lists) - 1)
     seen = staged(seen.join(cutoff, "qid", "left").where(F.col("cutoff").isNull() | (F.col("n") == lists) | (bound >= F.col("cutoff"))))
     own = asking.select(F.col("cid").alias("qid"), "cid")
