@@ -184,7 +184,8 @@ class Index:
             at = F.flatten(F.transform("a", lambda x, i: F.transform(x["r"], lambda y: i)))
             r = lambda name: F.flatten(F.transform("a", lambda x: F.transform(x["r"], lambda y: y[name]))).alias(f"r_{name}")
             flat = packed.select("need", F.col("a.label").alias("a_label"), F.flatten("a.q").alias("a_flat"), at.alias("r_at"), r("rid").alias("r_id"), r("lo"), r("hi"), r("least"))
-            return flat.withColumn("bucket", F.explode(bucket)).join(self.buckets, "bucket")
+            # shuffled, as what a few blocks grow to over their buckets isn't told by their size
+            return flat.withColumn("bucket", F.explode(bucket)).join(self.buckets.hint("merge"), "bucket")
 
         first = staged(run(cells(own.withColumn("least", F.lit(LEAST)), F.array(F.lit(0)))))
         kth = Window.partitionBy("rid").orderBy(F.desc("score"), "cid")
